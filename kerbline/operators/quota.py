@@ -1,0 +1,234 @@
+"""Problem 4: a sample that meets target shares of categories in several fields at once.
+
+Every sequence falls into a cell, its combination of categories. Raking (iterative proportional fitting) of the
+cell counts to the target shares gives each cell its share of the sample. Within the sample a divisor method decides:
+records of a cell are ranked in random order, a record's priority is (rank - 0.5) / share of its cell, records that
+a category's minimum asks for come first, and the n smallest priorities are kept. Seats of exhausted cells go to the
+others by themselves.
+
+Scale: only cell counts reach the driver; their number is bounded by the product of the numbers of target
+categories (plus one each for everything else), not by the data. The n smallest priorities are found as seats per
+cell, so no global sort is needed. The rank inside a cell, which may hold most rows, is computed from counts of
+hash ranges: position of the range plus position inside the range, so no task sees a whole cell.
+
+Defined results: null and blank categories and those without target belong to no target category; repeated rows
+of one sequence count once (the smallest spelling); null ids are not part of the pool; an empty pool gives an empty
+sample and reports all targets with a positive need; other input columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from kerbline.functions.text import split_pipe, strip
+from kerbline.session import broadcast_if_small
+
+FIELDS = ("preferred_camera_rule", "weather_tags", "approach", "target_object")
+#: Fields that join several values with ``|``; the first non-blank one counts.
+MULTI_VALUED = ("weather_tags",)
+RANGES = 256
+MAX_TARGETS = 10_000
+
+
+def category_key(field: str) -> Column:
+    """Normalised category of a field, or null."""
+    text = F.get(split_pipe(field), F.lit(0)) if field in MULTI_VALUED else strip(field)
+    key = F.lower(text)
+    return F.when(key != "", key)
+
+
+def read_targets(targets: DataFrame) -> list[tuple[str, str, str, int, int]]:
+    """(field, category as spelled, key, permille, minimum) of the target table, whose size is checked."""
+    rows = targets.select(
+        "field_name", "category", F.lower(strip("category")).alias("key"), F.coalesce("target_permille", F.lit(0)), F.coalesce("min_rows", F.lit(0))
+    ).filter(F.col("category").isNotNull())
+    found = [tuple(r) for r in rows.limit(MAX_TARGETS + 1).collect()]
+    if len(found) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    return sorted(found)
+
+
+def pool(candidates: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One row per sequence: sequence_id and its category keys."""
+    keys = candidates.filter(F.col("sequence_id").isNotNull()).select("sequence_id", *[category_key(f).alias(f) for f in fields])
+    return keys.groupBy("sequence_id").agg(*[F.min(f).alias(f) for f in fields])
+
+
+def availability(candidates: DataFrame, targets: DataFrame, fraction: int = 10) -> DataFrame:
+    """Each target with what the pool holds: field_name, category, target_permille, min_rows, available, sample_size,
+    needed (per mille of a row) and unmet. Distinct sequences are counted in the pool's own rows, so a sequence
+    with two categories counts in both."""
+    base = candidates.filter(F.col("sequence_id").isNotNull()).select("sequence_id", *[category_key(f).alias(f) for f in FIELDS])
+    names = [F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key")) for f in FIELDS]
+    # one row per sequence first: repeated rows collapse before the counts, which then combine map-side
+    once = base.groupBy("sequence_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array(*names)))).alias("c"))
+    counts = once.select(F.explode(F.concat("c", F.array(F.struct(F.lit("").alias("field_name"), F.lit("").alias("key"))))).alias("c"))
+    counts = counts.filter(F.col("c.key").isNotNull()).groupBy("c.field_name", "c.key").agg(F.count("*").alias("available"))
+    wanted = targets.select("field_name", "category", "target_permille", "min_rows", F.lower(strip("category")).alias("key"))
+    wanted = broadcast_if_small(wanted, MAX_TARGETS)
+    size = counts.filter((F.col("field_name") == "") & (F.col("key") == "")).agg(F.floor(F.coalesce(F.sum("available"), F.lit(0)) / fraction).alias("sample_size"))
+    held = counts.join(wanted.select("field_name", "key").distinct(), ["field_name", "key"], "left_semi")
+    out = wanted.join(F.broadcast(held), ["field_name", "key"], "left").crossJoin(F.broadcast(size))  # held: at most one row per target; size: one row
+    available = F.coalesce("available", F.lit(0))
+    needed = F.coalesce("target_permille", F.lit(0)) * F.col("sample_size")
+    return out.select(
+        "field_name",
+        "category",
+        "target_permille",
+        "min_rows",
+        available.alias("available"),
+        "sample_size",
+        needed.alias("needed_permille"),
+        ((available * 1000 < needed) | (available < F.coalesce("min_rows", F.lit(0)))).alias("unmet"),
+    )
+
+
+def rake(counts: np.ndarray, members: list[list[np.ndarray]], shares: list[list[float]], size: int, rounds: int = 200) -> np.ndarray:
+    """Cell weights whose marginals approach ``shares`` x ``size``, never above the cell counts."""
+    w = counts.astype(float)
+    for _ in range(rounds):
+        for masks, wanted in zip(members, shares):
+            for mask, share in zip(masks, wanted):
+                have = w[mask].sum()
+                if have > 0:
+                    w[mask] *= share * size / have
+        w = np.minimum(w, counts)
+    return w
+
+
+def divisor_seats(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int) -> np.ndarray:
+    """Seats per cell: the ``size`` smallest priorities (rank - 0.5) / share, floor records first, ties by cell."""
+    size = int(min(size, counts.sum()))
+    seats = np.minimum(floors, counts).astype(np.int64)
+    if seats.sum() >= size:
+        return seats
+    live = shares > 0
+
+    def at(level: float) -> np.ndarray:
+        k = np.zeros(len(counts), dtype=np.int64)
+        k[live] = np.minimum(np.floor(level * shares[live] + 0.5), counts[live]).astype(np.int64)
+        return np.maximum(seats, k)
+
+    low, high = 0.0, 1.0
+    while at(high).sum() < size and high < 1e18:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if at(mid).sum() <= size else (low, mid)
+    out = at(low)
+    while out.sum() < size:  # ties at the last level, or only cells without a share are left
+        room = out < counts
+        priority = np.where(live & room, (out + 0.5) / np.where(live, shares, 1.0), np.inf)
+        best = int(np.argmin(priority)) if np.isfinite(priority).any() else int(np.argmax(room))
+        take = 1 if np.isfinite(priority).any() else int(min(size - out.sum(), counts[best] - out[best]))
+        out[best] += take
+    return out
+
+
+def balance(weight: np.ndarray, counts: np.ndarray, members: list[list[np.ndarray]], goals: list[np.ndarray], rounds: int = 40) -> np.ndarray:
+    """Scale cell weights until the seats they round to meet each category's goal (alternating scaling).
+
+    Many cells have weights below one half, which plain rounding would drop together; scaling by category with
+    the rounding inside keeps the marginals. Stops when all goals are met or after ``rounds``; the best weights count.
+    """
+
+    def seats(w: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        return np.minimum(np.floor(w + 0.5), cap)
+
+    def miss(w: np.ndarray) -> float:
+        got = seats(w, counts)
+        return sum(abs(got[m].sum() - g) for ms, gs in zip(members, goals) for m, g in zip(ms, gs))
+
+    w = weight.astype(float).copy()
+    best, least = w.copy(), miss(w)
+    for _ in range(rounds):
+        for masks, wanted in zip(members, goals):
+            for mask, goal in zip(masks, wanted):
+                own, cap = w[mask], counts[mask]
+                if not len(own) or own.sum() <= 0 or seats(own, cap).sum() == goal:
+                    continue
+                low, high = -40.0, 40.0  # of the binary logarithm of the factor
+                for _ in range(60):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if seats(own * 2**mid, cap).sum() <= goal else (low, mid)
+                w[mask] = own * 2**low
+        now = miss(w)
+        if now < least:
+            best, least = w.copy(), now
+        if not now:
+            break
+    return best
+
+
+def draw_sample(candidates: DataFrame, targets: DataFrame, fraction: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(sample, report). Runs one counting job when called.
+
+    sample: sequence_id, the category keys, cell, rank, priority, is_floor. report: field_name, category,
+    target_permille, min_rows, available, sample_size, sampled, unmet.
+    """
+    spark = candidates.sparkSession
+    wanted = read_targets(targets)
+    rows = pool(candidates)
+    # keys without target become null: the number of cells is bounded by the targets
+    keys = {f: [k for field, _, k, _, _ in wanted if field == f] for f in FIELDS}
+    rows = rows.select("sequence_id", *[F.when(F.col(f).isin(keys[f]), F.col(f)).alias(f) if keys[f] else F.lit(None).cast("string").alias(f) for f in FIELDS])
+    order = F.xxhash64(F.lit(seed), "sequence_id")
+    rows = rows.withColumns({"order": order, "range": F.pmod(F.shiftrightunsigned(order, 40), F.lit(RANGES))})
+    by_range = rows.groupBy(*FIELDS, "range").agg(F.count("*").alias("n"))
+    cells = [tuple(r) for r in by_range.groupBy(*FIELDS).agg(F.sum("n")).collect()]  # bounded by the targets
+    cells.sort(key=lambda c: tuple((x is None, x or "") for x in c[:-1]))
+    counts = np.array([c[-1] for c in cells], dtype=np.int64)
+    size = int(counts.sum()) // fraction
+    members = [[np.array([c[i] == k for c in cells], dtype=bool) for f, _, k, _, _ in wanted if f == name] for i, name in enumerate(FIELDS)]
+    shares = [[p / 1000 for f, _, _, p, _ in wanted if f == name] for name in FIELDS]
+    weight = rake(counts, members, shares, size) if len(cells) else np.zeros(0)
+    if len(cells):
+        goals = []
+        for i, name in enumerate(FIELDS):
+            held = np.array([counts[m].sum() for m in members[i]], dtype=np.int64)
+            least = np.array([x[4] for x in wanted if x[0] == name], dtype=np.int64)
+            goals.append(divisor_seats(held, np.array(shares[i]), np.minimum(least, size), size))
+        weight = balance(weight, counts, members, goals)
+    outside = np.array([any(x is None for x in c[:-1]) for c in cells], dtype=bool)
+    weight = np.where(outside, weight * 1e-6, weight) if len(cells) else weight  # only when nothing else is left
+    floors = np.zeros(len(cells), dtype=np.int64)
+    for i, name in enumerate(FIELDS):
+        for mask, least in zip(members[i], [m for f, _, _, _, m in wanted if f == name]):
+            if least and mask.any():
+                own = np.where(mask, np.maximum(weight, 1e-9), 0.0)
+                floors = np.maximum(floors, divisor_seats(np.where(mask, counts, 0), own, np.zeros_like(counts), min(least, size)))
+    seats = divisor_seats(counts, weight, floors, size) if len(cells) else counts
+
+    schema = ", ".join(f"{f} string" for f in FIELDS) + ", cell int, seats long, floors long, share double"
+    table = spark.createDataFrame([(*c[:-1], i, int(s), int(fl), float(w)) for i, (c, s, fl, w) in enumerate(zip(cells, seats, floors, weight))], schema)
+    same = lambda a, b: [a[f].eqNullSafe(b[f]) for f in FIELDS]
+    # rank = records in earlier hash ranges of the cell + position inside the range
+    w = Window.partitionBy(*FIELDS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_range.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    seated = F.broadcast(table)  # one row per cell
+    before = before.join(seated, same(before, table), "inner").select(*[before[f] for f in FIELDS], "range", "before", "cell", "seats", "floors", "share")
+    before = before.filter(F.col("before") < F.col("seats")).drop(*FIELDS)
+    placed = rows.join(seated, same(rows, table), "inner").select("sequence_id", *[rows[f] for f in FIELDS], "order", "range", "cell")
+    placed = placed.join(before, ["cell", "range"])
+    inside = Window.partitionBy("cell", "range").orderBy("order", "sequence_id")
+    placed = placed.withColumn("rank", F.row_number().over(inside) + F.col("before")).filter(F.col("rank") <= F.col("seats"))
+    sample = placed.select(
+        "sequence_id", *FIELDS, "cell", "rank", F.when(F.col("share") > 0, (F.col("rank") - 0.5) / F.col("share")).alias("priority"), (F.col("rank") <= F.col("floors")).alias("is_floor")
+    )
+    sampled = []
+    for i, name in enumerate(FIELDS):
+        for mask, (_, category, _, _, _) in zip(members[i], [x for x in wanted if x[0] == name]):
+            sampled.append((name, category, int(seats[mask].sum()) if len(cells) else 0))
+    got = spark.createDataFrame(sampled, "field_name string, category string, sampled long")
+    report = availability(candidates, targets, fraction).drop("needed_permille").join(F.broadcast(got), ["field_name", "category"], "left")
+    return sample, report
+
+
+def unmet_targets(candidates: DataFrame, targets: DataFrame, fraction: int = 10) -> DataFrame:
+    """(field_name, category) of the targets that the pool cannot meet."""
+    return availability(candidates, targets, fraction).filter("unmet").select("field_name", "category").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.operators import rejects
+from kerbline.operators import drift, quota, rejects, units
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("reason") != "missing_header").select(F.col("id").alias("record_id"), "reason")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.schema_changes(table(spark, sf_dir, "label_sequence_profile"), table(spark, sf_dir, "label_column_profile"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets the pool cannot meet, as the report of the drawn sample says."""
+    _, report = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
+    return report.filter("unmet").select("field_name", "category").distinct()
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample, _ = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
+    return sample.select("sequence_id", *quota.FIELDS, "rank", "is_floor")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, report = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
+    return report
+
+
+def p5_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every speed in km/h, with the unit it came in and where that unit was stated."""
+    rows = units.convert_speeds(table(spark, sf_dir, "sequence_manifest_enriched"), table(spark, sf_dir, "rig_speed_units"))
+    return rows.select("sequence_id", "field_name", "value", "unit", "unit_from", F.round(F.col("converted") * 100).cast("bigint").alias("kph_x100"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units.convert_speeds(table(spark, sf_dir, "sequence_manifest_enriched"), table(spark, sf_dir, "rig_speed_units"))
+    kph = F.round(F.col("converted") * 100).cast("bigint")
+    return rows.filter(F.col("unit") != units.TARGET).select("sequence_id", "field_name", kph.alias("kph_x100")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_sample, p4_report, p5_converted, p5_found)}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +45,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     back to a shuffle, whose skew adaptive execution splits.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark application.
+
+    Spark's own file server hands the archive out, so executors need no shared folder and no installation.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_kerbline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    out = tempfile.mkdtemp(prefix="kerbline-package-")
+    staging = os.path.join(out, "staging")
+    shutil.copytree(package, os.path.join(staging, package.name), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    archive = shutil.make_archive(os.path.join(out, "kerbline_package"), "zip", staging)
+    shutil.rmtree(staging)
+    sc.addPyFile(archive)
+    sc._kerbline_shipped = True
