@@ -90,7 +90,7 @@ SPELLINGS = {
     "m/s": r"m\s?/\s?s|m/sec|mps|met(?:re|er)s? per second|met(?:re|er)s?/s|metern? (?:pro|je) sekunde",
     "kn": r"knots?|kn|kts?|knoten",
 }
-_TENTH = r"0[.,]1\s?(?:km\s?/\s?h|kmh|kph)"
+_TENTH = r"(?<![\d.,])0[.,]1\s?(?:km\s?/\s?h|kmh|kph)"
 _NUMBER = r"\d+(?:[.,]\d+)?"
 #: Words by which a note speaks of the logged speeds.
 LOGGED = r"speeds?|tempo|geschwindigkeit\w*|logger|logged|channel|kanal|encoder|recorder|receiver|empfänger|gnss|gps|dash|export\w*|aufzeichnung"

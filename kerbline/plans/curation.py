@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.operators import drift, quota, rejects, units
+from kerbline.operators import drift, inlining, quota, rejects, units
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("reason") != "missing_header").select(F.col("id").alias("record_id"), "reason")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inlining.object_nodes(table(spark, sf_dir, "metadata_json"))
+
+
+def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the flat tables with their attributes as JSON text."""
+    rows = inlining.shred(table(spark, sf_dir, "metadata_json"))
+    entries = F.array_sort(F.map_entries("attributes"))
+    return rows.select("record_id", "element", "parent_path", "node_path", F.to_json(F.map_from_entries(entries)).alias("attributes"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "label_sequence_profile"), table(spark, sf_dir, "label_column_profile"))
 
@@ -52,4 +63,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
