@@ -118,30 +118,34 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def votes(self, sequence: list[int], least: int) -> int:
+    def prepare(self, least: int) -> None:
+        """Give each state the sequences that contain the last ``least`` words of its strings: those of its first
+        suffix ancestor that holds a string of that length. Matches nested in longer matches of other sequences
+        are voted for by it as well."""
+        self.least = least
+        self.seeds = [0] * len(self.length)
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            up = self.link[state]
+            self.seeds[state] = self.seeds[up] if self.length[up] >= least else self.owners[state]
+
+    def votes(self, sequence: list[int]) -> int:
         """Bits of the sequences that share ``least`` words in a row with ``sequence``."""
-        following, link, length, owners = self.next, self.link, self.length, self.owners
+        following, link, length, seeds, least = self.next, self.link, self.length, self.seeds, self.least
         state = matched = found = 0
         for word in sequence:
-            edges = following[state]
-            if word in edges:
-                state, matched = edges[word], matched + 1
-                continue
-            # the match cannot go on: a maximal match ends here
-            if matched >= least:
-                found |= owners[state]
             if word < 0:
                 state = matched = 0
                 continue
-            while state and word not in following[state]:
+            while word not in following[state]:
+                if not state:
+                    break
                 state = link[state]
-                # shorter matches that end here belong to more sequences
-                if length[state] >= least:
-                    found |= owners[state]
-            matched = length[state]
-            if word in following[state]:
+                matched = length[state]
+            else:
                 state, matched = following[state][word], matched + 1
-        return found | owners[state] if matched >= least else found
+                if matched >= least:
+                    found |= seeds[state]
+        return found
 
 
 def _runs(document: list[int], at: dict[int, list[int]]) -> list[tuple[int, int, int]]:
@@ -206,6 +210,7 @@ class Matcher:
         self.share = share
         self.seed = min((seed_length(len(w), share) for w in self.items), default=2)
         self.automaton = SuffixAutomaton(self.items)
+        self.automaton.prepare(self.seed)
 
     def find(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int, int, int]]]]:
         """(item id, share of the item's words, passages) of every item that the text repeats."""
@@ -213,7 +218,7 @@ class Matcher:
             return []
         get = self.vocabulary.get
         document = [get(w, -1) for w in words(text, self.vocabulary)]
-        votes = self.automaton.votes(document, self.seed)
+        votes = self.automaton.votes(document)
         if not votes:
             return []
         held, out = Counter(document), []
