@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import encoding, leaks
+from kerbline.llm import encoding, leaks, quality
 
 
 def tokenizer_folder() -> str:
@@ -41,5 +41,13 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.filter(F.size("leaked_items") > 0)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.find_non_prose(table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_cleaned)}
+    return {f.__name__: f for f in (p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
