@@ -59,7 +59,7 @@ def fields_long(parsed: DataFrame) -> DataFrame:
 def key_counts(parsed: DataFrame) -> DataFrame:
     """(key, present_count, nonempty_count) of top-level keys; 0 and false are not empty."""
     keys = parsed.filter("ok").select(F.explode(F.array_distinct(F.json_object_keys("text"))).alias("key"), F.from_json("text", "map<string,string>").alias("m"))
-    value = F.col("m").getItem(F.col("key"))
+    value = F.col("m")[F.col("key")]
     filled = value.isNotNull() & ~F.regexp_replace(value, r"\s+", "").isin("", "[]", "{}")
     return keys.groupBy("key").agg(F.count("*").alias("present_count"), F.count_if(filled).alias("nonempty_count"))
 

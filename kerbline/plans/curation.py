@@ -64,3 +64,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
+
+
+_TEXT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_UNMET = (
+    "with p as (select count(distinct sequence_id) as n from sequence_sample), c as (select sequence_id, 'preferred_camera_rule' as f, preferred_camera_rule as v from sequence_sample "
+    "union all select sequence_id, 'approach', approach from sequence_sample union all select sequence_id, 'target_object', target_object from sequence_sample "
+    "union all select sequence_id, 'weather_tags', list_filter(string_split(coalesce(weather_tags, ''), '|'), lambda x: trim(x, chr(32) || chr(9)) <> '')[1] from sequence_sample), "
+    f"h as (select f, lower({_TEXT.format(x='v')}) as k, count(distinct sequence_id) as n from c group by all) "
+    "select field_name, category from sample_targets t left join h on h.f = t.field_name "
+    f"and h.k = lower({_TEXT.format(x='t.category')}), p where coalesce(h.n, 0) * 1000 < target_permille * (p.n // 10) or coalesce(h.n, 0) < min_rows"
+)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p4_found": _UNMET}
