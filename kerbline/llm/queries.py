@@ -51,3 +51,22 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
+
+
+def _statistics_sql() -> str:
+    words = ", ".join(f"'{w}'" for w in sorted(quality._COMMON))
+    share = lambda a, b: f"case when {b} > 0 then {a} / {b} else 0.0 end::double"
+    return (
+        "with t as (select doc_id, regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g') as t from documents), "
+        r"s as (select doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words, "
+        r"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) as lines, "
+        r"length(regexp_replace(t, '\s+', '', 'g')) as solid, length(regexp_replace(t, '[\p{L}\p{N}\s]+', '', 'g')) as symbols from t) "
+        f"select doc_id, len(words) as n_words, {share('length(array_to_string(words, chr(0)))', 'len(words)').replace('chr(0)', chr(39) * 2)} as mean_word_length, "
+        f"{share('symbols', 'solid')} as symbol_ratio, "
+        rf"{share('len(list_filter(lines, lambda x: regexp_matches(x, ' + chr(39) + r'[.!?…。！？]\s*$' + chr(39) + ')))', 'len(lines)')} as punctuated_lines, "
+        f"{share(f'len(list_filter(words, lambda w: w in ({words})))', 'len(words)')} as common_share from s"
+    )
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p8_statistics": _statistics_sql()}
