@@ -125,13 +125,13 @@ def auto_review(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths)
     if old is not None and "ai_status" not in old.columns:
         old = old.withColumn("ai_status", F.lit(""))
     todo = review.unreviewed(rows, old if old is not None and "sequence_id" in old.columns else rows.limit(0).withColumn("ai_status", F.lit("")), start=a.start_idx, limit=a.limit)
-    new = review.review(todo).cache()
+    new = review.review(todo).persist()
     n = new.count()
-    if n:
-        frames = [new] if old is None else [old.cache(), new]
-        for f in frames:
-            f.count()
-        sinks.write_csv(sinks.union_fields(frames, rows.columns), str(out))
+    if n:  # the old file is read until the new one is complete
+        draft = out.with_name(out.name + ".new")
+        sinks.write_csv(sinks.union_fields([new] if old is None else [old, new], rows.columns), str(draft))
+        draft.replace(out)
+    new.unpersist()
     return {"out": str(out), "reviewed": n}
 
 

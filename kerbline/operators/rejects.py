@@ -75,7 +75,7 @@ def _positions(names: Column, test) -> Column:
 
 def read_headers(headers: DataFrame) -> DataFrame:
     """(file, text) of header lines to the separator, the normalised field names and the positions of roles."""
-    text = F.regexp_replace("text", r"\A﻿", "")
+    text = F.regexp_replace("text", "\\A\ufeff", "")
     bare = F.regexp_replace(text, '"[^"]*"', "")
     n = {s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS}
     top = F.greatest(*n.values())

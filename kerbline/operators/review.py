@@ -122,7 +122,7 @@ class RuleReviewer:
     def review(self, prompt: str, board_path: str) -> str:
         import hashlib
 
-        seed = hashlib.md5(board_path.encode()).digest()
+        seed = hashlib.sha256(board_path.encode()).digest()
         names = list(QUALITIES)
         scores = [{"ratio": r, **{s: seed[3 * i + j] % 4 for j, s in enumerate(SCORES)}, "candidate_quality": names[seed[i] % 4], "reason": ""} for i, r in enumerate(RATIO_BOUNDS)][:5]
         return json.dumps({"ratio_scores": scores, "model_best_ratio": "0.60", "confidence": "low", "overall_reason": "rule"})
