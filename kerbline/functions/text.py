@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space plus the four separators U+001C..U+001F, which ``\s`` leaves out.
-_BLANK = r"[\s\x1c-\x1f]"
+#: Every character that counts as white space, the separators U+001C..U+001F included.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(col: Column | str) -> Column:
     """Remove white space of every kind (Unicode) from both ends; null stays null."""
-    return F.regexp_replace(_c(col), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(_c(col), F.lit(BLANKS))
 
 
 def or_blank(col: Column | str) -> Column:

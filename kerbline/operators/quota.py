@@ -73,7 +73,8 @@ def availability(candidates: DataFrame, targets: DataFrame, fraction: int = 10)
     wanted = broadcast_if_small(wanted, MAX_TARGETS)
     size = counts.filter((F.col("field_name") == "") & (F.col("key") == "")).agg(F.floor(F.coalesce(F.sum("available"), F.lit(0)) / fraction).alias("sample_size"))
     held = counts.join(wanted.select("field_name", "key").distinct(), ["field_name", "key"], "left_semi")
-    out = wanted.join(F.broadcast(held), ["field_name", "key"], "left").crossJoin(F.broadcast(size))  # held: at most one row per target; size: one row
+    out = wanted.join(F.broadcast(held), ["field_name", "key"], "left")  # held: at most one row per target
+    out = out.withColumn("sample_size", size.scalar())
     available = F.coalesce("available", F.lit(0))
     needed = F.coalesce("target_permille", F.lit(0)) * F.col("sample_size")
     return out.select(
@@ -156,7 +157,7 @@ def balance(weight: np.ndarray, counts: np.ndarray, members: list[list[np.ndarra
                 for _ in range(60):
                     mid = (low + high) / 2
                     low, high = (mid, high) if seats(own * 2**mid, cap).sum() <= goal else (low, mid)
-                w[mask] = own * 2**low
+                w[mask] = np.clip(own * 2**low, 1e-12, cap + 1.0)  # weights beyond the cap change nothing
         now = miss(w)
         if now < least:
             best, least = w.copy(), now

@@ -77,5 +77,87 @@ _UNMET = (
 )
 
 
+
+def _fields_sql(sep: str) -> tuple[str, str]:
+    """(pattern of a well quoted record, expression of its field texts) for one separator."""
+    field = f'(?:"(?:[^"]|"")*"|[^"{sep}]*)'
+    whole = f"regexp_full_match(text, '{field}(?:{sep}{field})*', 's')"
+    raw = f"regexp_extract_all('{sep}' || text, '{sep}({field})', 1, 's')"
+    return whole, f"list_transform({raw}, lambda x: case when x like '\"%' then replace(x[2:-2], '\"\"', '\"') else x end)"
+
+
+def _rejects_sql() -> str:
+    by = {s: _fields_sql(s) for s in rejects.SEPARATORS}
+    each = lambda k: " ".join(f"when '{s}' then {by[s][k]}" for s in by)
+    bare = "regexp_replace(t, '\"[^\"]*\"', '', 'g')"
+    n = {s: f"(length({bare}) - length(replace({bare}, '{s}', '')))" for s in by}
+    names = "list_transform(string_split(replace(t, '\"', ''), sep), lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')))"
+    distance = ", ".join(f"'{d}'" for d in rejects.DISTANCE_NAMES)
+    missing = "v in ('', 'NA', 'None')"
+
+    def good(number: str) -> str:
+        whole = lambda form: f"regexp_full_match(v, '{form.format(n=number)}')"
+        return (
+            f"case when n = 'frame_idx' then regexp_full_match(v, '[0-9]+') when regexp_full_match(n, '(bbox_)?[xy]_?(min|max)') then {missing} or {whole('{n}')} "
+            f"when regexp_full_match(n, 'poly(gon)?_?[xy]') then {missing} or {whole('{n}(?: {n})*')} when n in ({distance}) then {missing} or {whole('{n} *(?:mm|cm|m)?')} else true end"
+        )
+
+    return (
+        "with raw as (select record_id, file_path, line_no, coalesce(label_v2_csv, '') as text from label_v2_csv), "
+        "h as (select file_path, regexp_replace(arg_min(text, record_id), '^' || chr(65279), '') as t from raw where line_no = 0 group by 1), "
+        f"s as (select file_path, t, case when {n[',']} >= {n[';']} and {n[',']} >= {n[chr(9)]} then ',' when {n[';']} >= {n[chr(9)]} then ';' else chr(9) end as sep from h), "
+        f"hs as (select file_path, sep, {names} as names from s), "
+        f"q as (select record_id, sep, names, text, case sep {each(0)} end as ok from raw join hs using (file_path) where line_no is distinct from 0), "
+        f"f as (select record_id, sep, names, ok, case when ok then case sep {each(1)} end end as fields from q), "
+        "v as (select record_id, sep, unnest(names) as n, unnest(fields) as v from f where ok and len(fields) = len(names)), "
+        f"b as (select distinct record_id from v where not case when sep = ';' then {good('[0-9]+(?:,[0-9]+)?')} else {good('[0-9]+(?:[.][0-9]+)?')} end) "
+        "select record_id, case when not ok then 'broken_quoting' when len(fields) <> len(names) then 'column_count' else 'invalid_value' end as reason "
+        "from f where not ok or len(fields) <> len(names) or record_id in (select record_id from b)"
+    )
+
+
+_NODES = (
+    "with p as (select record_id, t, json_valid(t) and json_type(case when json_valid(t) then t end) = 'OBJECT' as ok from (select record_id, "
+    f"{_TEXT.format(x='regexp_replace(' + _TEXT.format(x='payload') + ', chr(65279), chr(32))')} as t from metadata_json) where t is not null), "
+    "d as (select record_id, t from p where ok), "
+    "r as (select record_id, k, json_extract(t, '$.' || k) as v from d, (select unnest(['tags', 'customFieldValues']) as k)), "
+    "w as (select record_id, k, case json_type(v) when 'OBJECT' then json_array(v) when 'ARRAY' then v end as v from r where json_type(v) in ('OBJECT', 'ARRAY')), "
+    "n as (select record_id, k || substr(j.fullkey, 2) as node_path from w, json_tree(w.v) j where j.type = 'OBJECT' and j.fullkey like '%]') "
+    "select n.record_id, coalesce((select arg_max(m.node_path, length(m.node_path)) from n m where m.record_id = n.record_id and "
+    "(starts_with(n.node_path, m.node_path || '.') or starts_with(n.node_path, m.node_path || '['))), '') as parent_path, n.node_path from n"
+)
+
+
+def _speeds_sql() -> str:
+    any_unit = "|".join(f"(?:{p})" for p in units.SPELLINGS.values())
+    edge = lambda p: rf"(?:^|[^\p{{L}}/])(?:{p})(?:$|[^\p{{L}}/])"
+    pad = lambda x: f"regexp_replace({x}, '([0-9])([a-z])', '\\1 \\2', 'g')"
+    first = lambda x: (
+        "(select arg_min(u, place) from (values "
+        + ", ".join(f"('{u}', strpos(' ' || {x}, nullif(regexp_extract(' ' || {x}, '{edge(p)}'), '')))" for u, p in units.SPELLINGS.items())
+        + ") c(u, place) where place > 0)"
+    )
+    tenth = r"0[.,]1\s?(?:km\s?/\s?h|kmh|kph)"
+    own = f"case when regexp_matches(lower(value), '[0-9]\\s*(?:x|\\(|\\sx)\\s*\\(?\\s*{tenth}') then '0.1 km/h' else {first(pad('lower(value)'))} end"
+    setting = lambda c: f"case when regexp_full_match(lower(trim({c})), '{tenth}') then '0.1 km/h' else {first(f'lower(trim({c}))')} end"
+    kept = (
+        f"regexp_replace(regexp_replace(lower(logger_note), '[0-9]+(?:[.,][0-9]+)?\\s*(?:{any_unit})', ' ', 'g'), "
+        f"'(?:statt|anstatt|instead of|rather than|not|nicht)\\s+(?:in\\s+|auf\\s+)?(?:{any_unit})', ' ', 'g')"
+    )
+    note = f"case when regexp_matches(lower(logger_note), '{edge(units.LOGGED.replace(chr(92) + 'w*', '[a-z]*'))}') then {first(kept)} end"
+    scale = " ".join(f"when '{u}' then {float(a):.10f}" for u, (a, _) in units.speed_units().to(units.TARGET).items())
+    return (
+        f"with g as (select rig_id, valid_from, valid_to, {setting('limit_speed_unit')} as lu, {setting('avg_speed_unit')} as au from rig_speed_units), "
+        f"m as (select distinct sequence_id, rig_id, recorded_at, logger_note, max_speed_kph, min_speed_kph, avg_speed from sequence_manifest_enriched), "
+        f"n as (select logger_note, {note} as note_unit from (select distinct logger_note from m where logger_note is not null)), "
+        "e as (select sequence_id, rig_id, recorded_at, logger_note, unnest(['max_speed_kph', 'min_speed_kph', 'avg_speed']) as field_name, unnest([max_speed_kph, min_speed_kph, avg_speed]) as value from m), "
+        "x as (select e.*, n.note_unit, case when field_name = 'avg_speed' then g.au else g.lu end as set_unit from e left join n using (logger_note) "
+        "left join g on g.rig_id = e.rig_id and g.valid_from <= e.recorded_at and (g.valid_to is null or e.recorded_at < g.valid_to)), "
+        f"y as (select sequence_id, field_name, replace(regexp_extract(value, '-?[0-9]+(?:[.,][0-9]+)?'), ',', '.') as number, coalesce({own}, note_unit, set_unit, 'km/h') as unit from x "
+        "where regexp_matches(coalesce(value, ''), '[0-9]')) "
+        f"select distinct sequence_id, field_name, round(number::decimal(18, 6) * (case unit {scale} end)::decimal(14, 8) * 100)::bigint as kph_x100 from y where unit <> 'km/h'"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _UNMET}
+    return {"p1_found": _rejects_sql(), "p2_found": _NODES, "p4_found": _UNMET, "p5_found": _speeds_sql()}
