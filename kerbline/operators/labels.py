@@ -91,13 +91,28 @@ def rows_per_file(lines: DataFrame, **columns: str) -> DataFrame:
 def preview_lines(lines: DataFrame, k: int = PREVIEW_ROWS, **columns: str) -> DataFrame:
     """The first ``k`` loadable rows of each file with the values of their roles."""
     order = Window.partitionBy("file").orderBy("line_no")
-    rows = loaded_lines(lines, **columns).withColumn("label_row_idx", F.row_number().over(order) - 1).filter(F.col("label_row_idx") < k)
+    # ranked and cut before the shuffle, so a file that holds most rows does not reach one task
+    rows = loaded_lines(lines, **columns).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).withColumn("label_row_idx", F.col("_rank") - 1)
     at = lambda role: F.coalesce(F.try_element_at(F.map_from_arrays(F.array_distinct("names"), F.slice("fields", 1, F.size(F.array_distinct("names")))), find_column("names", CANDIDATES[role])), F.lit(""))
     picks = {"class_value": "class_col", "object_value": "object_col", "distance_value": "distance_col"} | {r[:-4]: r for r in list(CANDIDATES)[3:]}
     unique = F.size(F.array_distinct("names")) == F.size("names")
     return rows.select("file", "label_row_idx", *[F.when(unique, strip(at(role))).otherwise("").alias(name) for name, role in picks.items()])
 
 
+def value_counts(lines: DataFrame, top_objects: int = 100, top_classes: int = 50, **columns: str) -> DataFrame:
+    """(group, value, count): the most frequent object and class values of all loadable rows."""
+    rows = loaded_lines(lines, **columns).withColumns({"o": find_column("names", CANDIDATES["object_col"]), "c": find_column("names", CANDIDATES["class_col"])})
+
+    def value(name: str) -> Column:
+        at = F.array_position("names", F.col(name)).cast("int")
+        v = strip(F.try_element_at(F.col("fields"), F.when(at > 0, at)))
+        return F.when((v == "") | v.isin("NA", "None"), None).otherwise(v)
+
+    held = rows.select(value("o").alias("o"), value("c").alias("c"))
+    kept = lambda c: F.array_compact(F.array(c))
+    return counter_profile(held, [Group("label_object_values", kept("o"), many=True, top=top_objects), Group("class_values", kept("c"), many=True, top=top_classes)])
+
+
 #: Ways to read a label file, tried in order; the first that gives more than one column counts.
 ATTEMPTS = (("utf-8-sig", ","), ("utf-8", ","), ("utf-8-sig", ";"), ("utf-8", ";"), ("latin1", ","), ("latin1", ";"))
 

@@ -135,3 +135,87 @@ def tile_pairs(tiles: DataFrame) -> DataFrame:
     keys = ["sequence_id", "ratio"]
     side = lambda name, cond: tiles.filter(cond).select(*keys, F.struct("frame_idx", "time_sec", "success").alias(name))
     return side("chosen", F.col("camera_name") != "topview").join(side("topview", F.col("camera_name") == "topview"), keys)
+
+
+class Codec(Protocol):
+    """Reads and writes image files; ``read`` gives None for what it cannot read, ``write`` says whether it worked."""
+
+    def read(self, path: str) -> np.ndarray | None: ...
+
+    def write(self, path: str, image: np.ndarray) -> bool: ...
+
+
+class NumpyCodec:
+    """Plain arrays on disk, for tests and where no image library is at hand."""
+
+    def read(self, path: str) -> np.ndarray | None:
+        try:
+            return np.load(path)
+        except (OSError, ValueError):
+            return None
+
+    def write(self, path: str, image: np.ndarray) -> bool:
+        import os
+
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:  # the name stays as it is
+            np.save(f, image)
+        return True
+
+
+SHEET_SCHEMA = "sequence_id string, chosen_contact_saved int, topview_contact_saved int, pair_mid_saved int"
+PAIR_RATIO = 0.60
+
+
+def contact_sheets(plan: DataFrame, root: str, make_decoder: Callable[[], Decoder], make_codec: Callable[[], Codec] = NumpyCodec) -> DataFrame:
+    """Writes the contact sheets and the middle pair of every row of a contact plan whose paths are set, and says what was saved.
+
+    ``plan``: sequence_id, preferred_camera_rule, label_text, chosen_video, topview_video, the two ``_exists`` flags and the
+    three artifact paths. A video that exists but cannot be opened gives a grey sheet, which counts as saved.
+    """
+    ship_package(plan.sparkSession)
+
+    def sheet(decoder: Decoder, path: str, label: str) -> np.ndarray:
+        info = decoder.probe(path)
+        count = info[0] if info else 0
+        tiles = decoder.frames(path, [round((count - 1) * r) for r in RATIOS]) if count > 0 else [None] * len(RATIOS)
+        return text_block(contact_grid(tiles), [label], 12, 12)
+
+    def middle(decoder: Decoder, path: str) -> np.ndarray | None:
+        info = decoder.probe(path)
+        return decoder.frames(path, [round((info[0] - 1) * PAIR_RATIO)])[0] if info and info[0] > 0 else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder, codec = make_decoder(), make_codec()
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                chosen, top = bool(row["chosen_video_exists"]), bool(row["topview_video_exists"])
+                saved = [
+                    int(chosen and codec.write(row["chosen_contact_path"], sheet(decoder, f"{root}/{row['chosen_video']}", row["label_text"]))),
+                    int(top and codec.write(row["topview_contact_path"], sheet(decoder, f"{root}/{row['topview_video']}", row["label_text"]))),
+                ]
+                pair = [middle(decoder, f"{root}/{row[v]}") for v in ("chosen_video", "topview_video")] if chosen and top else [None]
+                saved.append(int(all(p is not None for p in pair) and codec.write(row["pair_mid_path"], text_block(side_by_side(*pair), row["label_text"].split(" | "), 20, 30))))
+                out.append((row["sequence_id"], *saved))
+            yield pd.DataFrame(out, columns=["sequence_id", "chosen_contact_saved", "topview_contact_saved", "pair_mid_saved"])
+
+    return plan.mapInPandas(run, SHEET_SCHEMA)
+
+
+def review_boards(rows: DataFrame, make_codec: Callable[[], Codec] = NumpyCodec) -> DataFrame:
+    """(sequence_id, review_board_path, review_board_saved): boards of the rows whose two contact sheets can be read."""
+    ship_package(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = make_codec()
+        for batch in batches:
+            out = []
+            for sequence, chosen, top, board in zip(batch["sequence_id"], batch["chosen_contact_path"], batch["topview_contact_path"], batch["review_board_path"]):
+                sheets = [codec.read(chosen), codec.read(top)]
+                saved = all(s is not None for s in sheets) and codec.write(board, review_board(*sheets))
+                out.append((sequence, board if saved else "", int(saved)))
+            yield pd.DataFrame(out, columns=["sequence_id", "review_board_path", "review_board_saved"])
+
+    wanted = rows.select("sequence_id", "chosen_contact_path", "topview_contact_path", "review_board_path")
+    return wanted.mapInPandas(run, "sequence_id string, review_board_path string, review_board_saved int")

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from kerbline.functions import documents as D
 from kerbline.functions.text import get_or_blank, join_distinct, or_blank, strip
 from kerbline.operators.profile import Group, counter_profile, overview, piped
+from kerbline.session import spread
 
 
 def parse(records: DataFrame, payload: str = "payload") -> DataFrame:
     """``records`` with ``text`` (clean payload), ``ok`` (exactly one JSON object) and ``doc`` (null unless ok)."""
     D.allow_repeated_keys(records.sparkSession)
-    rows = records.withColumn("text", D.document_text(payload))
+    rows = spread(records).withColumn("text", D.document_text(payload))
     rows = rows.withColumn("ok", D.is_object("text"))
     return rows.withColumn("doc", F.when(F.col("ok"), F.from_json("text", D.DOCUMENT_SCHEMA)))
 

@@ -84,6 +84,14 @@ def contact_plan(sample: DataFrame, inventory: DataFrame) -> DataFrame:
     return rows.withColumns({"pair_possible": F.col("chosen_video_exists") * F.col("topview_video_exists"), "label_text": label})
 
 
+def contact_summary(plan: DataFrame, saved: DataFrame) -> DataFrame:
+    """The 12 columns of a contact-sheet summary: the plan with what was saved; the camera is the resolved one."""
+    flags = ["chosen_contact_saved", "topview_contact_saved", "pair_mid_saved"]
+    rows = plan.drop(*flags).join(saved.select("sequence_id", *flags), "sequence_id", "left").fillna(0, flags)
+    own = "sequence_id preferred_camera_rule driving_direction approach primary_label_object weather_tags chosen_video_exists topview_video_exists".split()
+    return rows.select(*own, *flags, F.when(F.col("pair_mid_saved") == 1, F.col("pair_mid_path")).otherwise("").alias("pair_mid_path"))
+
+
 def review_sheet(sample: DataFrame, contacts: DataFrame, root: str, order: str = "sequence_id") -> DataFrame:
     """The 24 columns of a review sheet: sample, saved flags of its contact sheets, paths, blanks to fill in."""
     rows = lookup(sample, contacts, "sequence_id", ["chosen_contact_saved", "topview_contact_saved", "pair_mid_saved"], order)

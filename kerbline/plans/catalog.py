@@ -427,6 +427,11 @@ def label_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.preview_lines(table(spark, sf_dir, "label_v2_csv"))
 
 
+@query()
+def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.value_counts(table(spark, sf_dir, "label_v2_csv"))
+
+
 @query("unpivot (select " + ", ".join(f"count(*) filter (trim(coalesce({c}, '')) <> '') as {c}" for c in ("sequence_id", "driving_direction", "approach", "logger_note", "rear_video")) + f" from {MANIFEST}) on columns(*) into name metric value value")
 def nonempty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("sequence_id", "driving_direction", "approach", "logger_note", "rear_video")

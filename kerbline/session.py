@@ -47,6 +47,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source gives fewer partitions than there are cores (one small file, say).
+
+    Meant for narrow work that costs far more than moving the rows; a large input has enough partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per Spark application.
 

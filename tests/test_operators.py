@@ -138,3 +138,32 @@ def test_tiles(spark):
     got = {(r.sequence_id, r.camera_name, r.ratio): (r.frame_idx, r.time_sec, r.success) for r in tiles.collect()}
     assert got[("s", "front", 0.15)] == (15, 0.606, 1) and got[("s", "front", 0.9)] == (90, 3.636, 0) and got[("z", "front", 0.3)] == (-1, None, 0)
     assert media.tile_pairs(tiles).count() == 6
+
+
+def test_sheets_and_boards(spark, tmp_path):
+    class Still:
+        def probe(self, path):
+            return None if "bad" in path else (50, 25.0, 4, 4)
+
+        def frames(self, path, indices):
+            return [np.full((8, 12, 3), 9, np.uint8) for _ in indices]
+
+    sample = spark.createDataFrame(
+        [("s1", "rear", "f1", "r1", "t1"), ("s2", "front", "bad", "", "t2"), ("s3", "x", "gone", "", "")], "sequence_id string, preferred_camera_rule string, front_video string, rear_video string, topview_video string"
+    ).withColumns({c: F.lit("") for c in ("driving_direction", "approach", "primary_label_object", "weather_tags")})
+    inventory_rows = spark.createDataFrame([(p,) for p in ("f1", "r1", "t1", "bad", "t2")], "path string")
+    plan = review.artifact_paths(review.contact_plan(sample, inventory_rows), str(tmp_path)).cache()
+    saved = media.contact_sheets(plan, "raw", Still).cache()
+    assert {tuple(r) for r in saved.collect()} == {("s1", 1, 1, 1), ("s2", 1, 1, 0), ("s3", 0, 0, 0)}
+    summary = {r.sequence_id: r for r in review.contact_summary(plan, saved).collect()}
+    assert summary["s1"].pair_mid_path.endswith("s1/pair_rear_mid.jpg") and summary["s2"].pair_mid_path == "" and len(summary["s1"]) == 12
+    boards = {r.sequence_id: r.review_board_saved for r in media.review_boards(plan).collect()}
+    assert boards == {"s1": 1, "s2": 1, "s3": 0}
+    assert media.NumpyCodec().read(str(tmp_path / "s1" / "ratio_review_board.jpg")).shape == (1517, 792, 3)
+
+
+def test_label_values(spark):
+    lines = [(1, "f", 0, "frame_idx,Class,Which object"), (2, "f", 1, "1,a,Pole"), (3, "f", 2, "2,a,"), (4, "f", 2, "2,a,"), (5, "f", 3, "x,b,Pole"), (6, "f", 4, "3,NA,Pole")]
+    df = spark.createDataFrame(lines, "record_id long, file_path string, line_no long, label_v2_csv string")
+    assert {tuple(r) for r in labels.value_counts(df).collect()} == {("label_object_values", "Pole", 2), ("class_values", "a", 2)}
+    assert {(r.label_row_idx, r.class_value, r.object_value) for r in labels.preview_lines(df).collect()} == {(0, "a", "Pole"), (1, "a", ""), (2, "NA", "Pole")}
