@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.session import ship_package
+from kerbline.session import ship_package, spread
 
 MAX_ITEMS = 5_000
 MIN_SHARE = 0.45
@@ -280,7 +280,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE)
                     names=["doc_id", "item_id", "share", "passages"],
                 )
 
-        found = documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull()).mapInArrow(scan, RESULT_SCHEMA)
+        found = spread(documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())).mapInArrow(scan, RESULT_SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -335,4 +335,4 @@ def remove_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHAR
                 names=["doc_id", "text", "leaked_items", "dropped"],
             )
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, text string, leaked_items array<bigint>, dropped boolean")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(scan, "doc_id bigint, text string, leaked_items array<bigint>, dropped boolean")
