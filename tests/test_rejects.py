@@ -98,3 +98,8 @@ def test_fields_equal_brute_force(spark, texts, sep):
     rows = [(0, "f", 0, f"frame_idx{sep}b")] + [(i + 1, "f", i + 1, t) for i, t in enumerate(texts)]
     got = {r.id: r.fields for r in judge_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i + 1: brute(t, sep) for i, t in enumerate(texts)}
+
+
+def test_lines_of_every_block_meet_their_header(spark):
+    rows = [(0, "f", 0, "frame_idx,x")] + [(k, "f", n, f"{k},1" if k % 2 else "x,1") for k, n in enumerate((1, 4095, 4096, 5000, 5000, 10**15, -3, 123_456_789), 1)]
+    assert found(spark, rows) == {(k, "invalid_value") for k in (2, 4, 6, 8)}
