@@ -197,11 +197,15 @@ def passages(document: list[int], item: list[int], at: dict[tuple[int, int], lis
     kept = [(m, k0, k1, j0, j1) for _, m, r, k0, k1, j0, j1 in chains if m >= MIN_PASSAGE and r <= (m + r) / REPLACED_ONE_IN + 1]
     kept.sort(reverse=True)
     top: list[tuple[int, int, int, int, int]] = []
-    for i, a in enumerate(kept[:50]):  # the larger passage of the best pair is among the largest
+    best = 0
+    for i, a in enumerate(kept):
+        if best >= len(item) or 2 * a[0] <= best:  # no pair from here on can hold more
+            break
         other = next((b for b in kept[i + 1 :] if (b[2] <= a[1] or a[2] <= b[1]) and (b[4] <= a[3] or a[4] <= b[3])), None)
         pair = [a, other] if other else [a]
-        if sum(p[0] for p in pair) > sum(p[0] for p in top):
-            top = pair
+        total = sum(p[0] for p in pair)
+        if total > best:
+            top, best = pair, total
     return top
 
 
