@@ -308,3 +308,23 @@ def unified_fields(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame
         yield pd.DataFrame(found, columns=names)
 
     return staged.mapInPandas(run, FIELD_SCHEMA)
+
+
+def unified_rows(loaded: DataFrame, fields: DataFrame, lines_per_block: int = 4096) -> DataFrame:
+    """(id, file, line_no, values): loaded label rows with their values under the unified field names of their file.
+
+    ``loaded``: id, file, line_no, names, fields (arrays); ``fields``: the result of ``unified_fields``. A file without
+    profile keeps its own names; of repeated names the first counts. The names of a file meet its lines block by
+    block, so that one file with most of the rows is spread over many tasks.
+    """
+    block = F.floor(F.greatest(F.coalesce("line_no", F.lit(0)), F.lit(0)) / lines_per_block)
+    rows = loaded.select("id", "file", "line_no", "names", "fields", block.alias("block"))
+    pairs = fields.groupBy(F.col("label_v2_csv").alias("file"), "column_name").agg(F.min("field_name").alias("field_name"))
+    names = pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "field_name"))).alias("unified"))
+    spread_names = rows.filter(F.col("file").isNotNull()).select("file", "block").distinct().join(names, "file")
+    joined = rows.join(spread_names.hint("shuffle_hash"), ["file", "block"], "left")
+    keys = F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("unified"), n), n))
+    joined = joined.withColumn("keys", keys)
+    entries = F.arrays_zip(F.col("keys").alias("k"), F.col("fields").alias("v"))
+    first = F.filter(entries, lambda z, i: F.array_position(F.col("keys"), z["k"]) == i + 1)
+    return joined.select("id", "file", "line_no", F.map_from_entries(F.transform(first, lambda z: F.struct(z["k"], z["v"]))).alias("values"))

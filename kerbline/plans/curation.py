@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.operators import drift, inlining, quota, rejects, units
+from kerbline.operators import drift, inlining, labels, quota, rejects, units
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "label_sequence_profile"), table(spark, sf_dir, "label_column_profile"))
 
 
+def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's columns under the name with which the field began in its campaign."""
+    return drift.unified_fields(table(spark, sf_dir, "label_sequence_profile"), table(spark, sf_dir, "label_column_profile"))
+
+
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All loadable label rows as one table, values under unified names (JSON text)."""
+    rows = drift.unified_rows(labels.loaded_lines(table(spark, sf_dir, "label_v2_csv")), p3_fields(spark, sf_dir))
+    return rows.select(F.col("id").alias("record_id"), "line_no", F.to_json("values").alias("label_values"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets the pool cannot meet, as the report of the drawn sample says."""
     _, report = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
@@ -63,7 +74,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p3_fields, p3_rows, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
 
 
 _TEXT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import permutations
 
-from kerbline.operators.drift import ROLES, assign, schema_changes, unified_fields
+from kerbline.operators.drift import ROLES, assign, schema_changes, unified_fields, unified_rows
 
 PROFILE = "campaign_id string, recorded_at timestamp, profiled_at timestamp, sequence_id string, label_v2_csv string, columns string, " + ", ".join(f"{r} string" for r in ROLES)
 COLUMN = "sequence_id string, label_v2_csv string, column_name string, nonempty_count long, sample_values string"
@@ -93,3 +93,14 @@ def test_matching_is_optimal():
         size = max(n, m)
         full = [[w[i][j] if i < n and j < m else 0 for j in range(size)] for i in range(size)]
         assert abs(got - max(sum(full[i][p[i]] for i in range(size)) for p in permutations(range(size)))) < 1e-9
+
+
+def test_rows_under_unified_names(spark):
+    ps = [profile("1", 0, "f|Class", class_col="Class"), profile("2", 1, "f|label class", class_col="label class")]
+    fields = unified_fields(spark.createDataFrame(ps, PROFILE), spark.createDataFrame([], COLUMN))
+    loaded = spark.createDataFrame(
+        [(1, "1", 1, ["f", "class"], ["1", "a"]), (2, "2", 9000, ["f", "label class"], ["2", "b"]), (3, "x", 1, ["f", "f"], ["3", "4"]), (4, None, None, ["z"], ["9"])],
+        "id long, file string, line_no long, names array<string>, fields array<string>",
+    )
+    got = {r.id: r["values"] for r in unified_rows(loaded, fields).collect()}
+    assert got == {1: {"f": "1", "class": "a"}, 2: {"f": "2", "class": "b"}, 3: {"f": "3"}, 4: {"z": "9"}}
