@@ -318,13 +318,17 @@ def unified_rows(loaded: DataFrame, fields: DataFrame, lines_per_block: int = 40
     block, so that one file with most of the rows is spread over many tasks.
     """
     block = F.floor(F.greatest(F.coalesce("line_no", F.lit(0)), F.lit(0)) / lines_per_block)
-    rows = loaded.select("id", "file", "line_no", "names", "fields", block.alias("block"))
+    rows = loaded.select("id", "file", "line_no", "names", "fields", F.col("block") if "block" in loaded.columns else block.alias("block"))
     pairs = fields.groupBy(F.col("label_v2_csv").alias("file"), "column_name").agg(F.min("field_name").alias("field_name"))
-    names = pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "field_name"))).alias("unified"))
-    spread_names = rows.filter(F.col("file").isNotNull()).select("file", "block").distinct().join(names, "file")
-    joined = rows.join(spread_names.hint("shuffle_hash"), ["file", "block"], "left")
+    maps = pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "field_name"))).alias("unified"))
+    # headers are renamed once per file and block, not once per line
+    headers = rows.filter(F.col("file").isNotNull()).select("file", "block", "names").distinct().join(maps, "file", "left")
     keys = F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("unified"), n), n))
-    joined = joined.withColumn("keys", keys)
+    headers = headers.select("file", "block", "names", keys.alias("keys"))
+    joined = rows.join(headers.hint("shuffle_hash"), ["file", "block", "names"], "left").withColumn("keys", F.coalesce("keys", "names"))
     entries = F.arrays_zip(F.col("keys").alias("k"), F.col("fields").alias("v"))
     first = F.filter(entries, lambda z, i: F.array_position(F.col("keys"), z["k"]) == i + 1)
-    return joined.select("id", "file", "line_no", F.map_from_entries(F.transform(first, lambda z: F.struct(z["k"], z["v"]))).alias("values"))
+    repeated = F.map_from_entries(F.transform(first, lambda z: F.struct(z["k"], z["v"])))
+    unique = F.size(F.array_distinct("keys")) == F.size("keys")
+    values = F.when(unique & (F.size("keys") == F.size("fields")), F.map_from_arrays("keys", "fields")).otherwise(repeated)
+    return joined.select("id", "file", "line_no", values.alias("values"))

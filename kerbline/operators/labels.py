@@ -59,10 +59,10 @@ def nonempty_count(column: Column | str) -> Column:
 
 
 def loaded_lines(lines: DataFrame, **columns: str) -> DataFrame:
-    """Loadable lines, a redelivered line (same file and line number) once, with names and fields."""
+    """Loadable lines, a redelivered line (same file and line number) once, with names, fields and block."""
     judged = judge_lines(lines, **columns)
-    ok = judged.select("id", "file", "line_no", "names", "fields", F.explode(F.when(F.size("errors") == 0, F.array(F.lit(1)))).alias("_")).drop("_")
-    first = Window.partitionBy("file", "line_no").orderBy("id")
+    ok = judged.select("id", "file", "block", "line_no", "names", "fields", F.explode(F.when(F.size("errors") == 0, F.array(F.lit(1)))).alias("_")).drop("_")
+    first = Window.partitionBy("file", "block", "line_no").orderBy("id")
     return ok.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 

@@ -101,7 +101,7 @@ def judge_lines(
     """Each data line with its header, its fields, its error array and the names of its bad fields.
 
     Columns: id, file, line_no, text, sep, names, fields, errors (array of reasons in order of precedence, empty
-    for a loadable line), bad_fields.
+    for a loadable line), bad_fields, block.
     """
     rows = lines.select(
         F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(line_col).alias("line_no"), F.col(text_col).alias("text")
@@ -156,6 +156,7 @@ def judge_lines(
         "fields",
         errors.alias("errors"),
         F.transform("bad_at", lambda i: F.try_element_at(F.col("names"), i)).alias("bad_fields"),
+        "block",  # rows are partitioned by (file, block): later steps that include both need no new shuffle
     )
 
 
