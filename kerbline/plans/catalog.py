@@ -397,9 +397,15 @@ def label_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct label_v2_csv as file, lower(trim(column_name)) as column_name, nonempty_count, sample_values from label_column_profile")
 def label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column profile of the raw lines; the stored profile leaves the long run out, so its files decide."""
+    """``label_columns_all`` of the files in the stored profile, which leaves the long run out, for comparison with it."""
     files = table(spark, sf_dir, "label_column_profile").select(F.col("label_v2_csv").alias("file")).distinct()
-    return labels.profile_lines(table(spark, sf_dir, "label_v2_csv")).join(files, "file", "left_semi")
+    return label_columns_all(spark, sf_dir).join(files, "file", "left_semi")
+
+
+@query()
+def label_columns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column profile of the raw lines of every file, whether or not a stored profile has it."""
+    return labels.profile_lines(table(spark, sf_dir, "label_v2_csv"))
 
 
 @query("select num_label_rows, count(*) as files from (select distinct label_v2_csv, num_label_rows from label_sequence_profile) group by 1")
