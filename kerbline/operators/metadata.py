@@ -58,9 +58,10 @@ def fields_long(parsed: DataFrame) -> DataFrame:
 
 
 def key_counts(parsed: DataFrame) -> DataFrame:
-    """(key, present_count, nonempty_count) of top-level keys; 0 and false are not empty."""
+    """(key, present_count, nonempty_count) of top-level keys; 0 and false are not empty, of repeated keys the last counts."""
     keys = parsed.filter("ok").select(F.explode(F.array_distinct(F.json_object_keys("text"))).alias("key"), F.from_json("text", "map<string,string>").alias("m"))
-    value = F.col("m")[F.col("key")]
+    # a lookup in the map would give the first of repeated keys
+    value = F.element_at(F.filter(F.map_entries("m"), lambda e: e["key"] == F.col("key")), -1)["value"]
     filled = value.isNotNull() & ~F.regexp_replace(value, r"\s+", "").isin("", "[]", "{}")
     return keys.groupBy("key").agg(F.count("*").alias("present_count"), F.count_if(filled).alias("nonempty_count"))
 

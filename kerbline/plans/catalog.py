@@ -183,7 +183,13 @@ def json_tags_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FIELDS} select record_id, sequence_id, field_id, field_name, field_type from long")
 def json_fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.fields_long(_parsed(spark, sf_dir)).drop("value")
+    return json_fields_long_all(spark, sf_dir).drop("value")
+
+
+@query()
+def json_fields_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns; the engines render nested values differently."""
+    return metadata.fields_long(_parsed(spark, sf_dir))
 
 
 @query(
@@ -194,7 +200,12 @@ def json_fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated keys are read differently by the two engines; ``status`` is the one that repeats."""
-    return metadata.key_counts(_parsed(spark, sf_dir)).filter("key <> 'status'")
+    return json_key_counts_all(spark, sf_dir).filter("key <> 'status'")
+
+
+@query()
+def json_key_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.key_counts(_parsed(spark, sf_dir))
 
 
 @query(f"{_TAGS} select tag_name, count(*) as \"count\" from long group by 1")
@@ -229,6 +240,12 @@ def json_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.count_by(rows, "field_name", "value", top=500)
 
 
+@query()
+def json_field_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent of all non-empty values, nested ones as JSON text."""
+    return metadata.count_by(metadata.fields_long(_parsed(spark, sf_dir)).filter("value <> ''"), "field_name", "value", top=500)
+
+
 @query(
     f"with {_DOCS} select record_id, sequence_id, case when trim(coalesce(metadata_json, '')) = '' then 'missing_metadata_path' when absent then 'metadata_file_not_found' "
     "else 'unreadable: not exactly one JSON object' end as error from docs where trim(coalesce(metadata_json, '')) = '' or absent or not ok"
@@ -262,7 +279,12 @@ _FLAT = (
 
 @query(f"{_FLAT} select *, {_CAMERA.format(d='driving_direction')} as preferred_camera_from_json from flat")
 def json_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.flat(_parsed(spark, sf_dir)).drop("json_status", "max_speed_kph", "min_speed_kph", "avg_speed")
+    return json_flat_all(spark, sf_dir).drop("json_status", "max_speed_kph", "min_speed_kph", "avg_speed")
+
+
+@query()
+def json_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.flat(_parsed(spark, sf_dir))
 
 
 @query(
@@ -279,7 +301,12 @@ def json_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.document_profile(metadata.flat(_parsed(spark, sf_dir))).filter("group <> 'status'")
+    return json_profile_all(spark, sf_dir).filter("group <> 'status'")
+
+
+@query()
+def json_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.document_profile(metadata.flat(_parsed(spark, sf_dir)))
 
 
 @query(

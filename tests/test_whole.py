@@ -1,5 +1,8 @@
 """Queries that cover more than their SQL can state, compared with brute force on small tables."""
 
+import json
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +43,39 @@ def test_columns_of_all_files(spark, label_tables):
     got = [tuple(r) for r in entry.queries()["label_columns_all"](spark, label_tables).collect()]
     assert len(got) == len(want) == 9 and set(got) == want
     assert {r.file for r in entry.queries()["label_columns"](spark, label_tables).collect()} == {"f", "g"}
+
+
+VALUES = ["1", 2.5, True, None, "", "plain [text]", "{odd", [1, {"b": "x"}], {"c": [None]}, "1", [1, {"b": "x"}]]
+DOCUMENTS = [
+    '{"name": "a", "status": "open", "maxSpeedInKph": 7, "customFieldValues": ' + json.dumps([{"field": {"id": 1, "name": "n", "type": "t"}, "value": v} for v in VALUES]) + "}",
+    '{"name": "b", "status": "", "status": "done", "minSpeedInKph": "3", "customFieldValues": [{"field": {"name": "Avg speed"}, "value": 5.5}, {"field": {"name": "n"}, "value": [ 1, {"b":"x"} ]}]}',
+    '{"name": "c", "status": "open", "status": ""}',
+    "no json",
+    None,
+]
+
+
+@pytest.fixture(scope="module")
+def json_tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("json"))
+    rows = [(i, f"s{i}", "p", d) for i, d in enumerate(DOCUMENTS)]
+    spark.createDataFrame(rows, "record_id long, sequence_id string, metadata_json string, payload string").write.parquet(f"{at}/metadata_json.parquet")
+    return at
+
+
+def text(v):
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+
+
+def test_documents_with_all_values_and_columns(spark, json_tables):
+    docs = {i: json.loads(d) for i, d in enumerate(DOCUMENTS) if d and d.startswith("{")}
+    run = lambda name: entry.queries()[name](spark, json_tables).collect()
+    fields = [(i, c["field"]["name"], text(c["value"])) for i, d in docs.items() for c in d.get("customFieldValues", [])]
+    assert sorted((r.record_id, r.field_name, r.value) for r in run("json_fields_long_all")) == sorted(fields)
+    assert {(r.field_name, r.value): r["count"] for r in run("json_field_values_all")} == Counter((n, v) for _, n, v in fields if v != "")
+    keys = Counter(k for d in docs.values() for k in d)
+    filled = Counter(k for d in docs.values() for k, v in d.items() if v not in (None, "", [], {}))
+    assert {r.key: (r.present_count, r.nonempty_count) for r in run("json_key_counts_all")} == {k: (n, filled[k]) for k, n in keys.items()}
+    assert {(r.value, r["count"]) for r in run("json_profile_all") if r.group == "status"} == {("open", 1), ("done", 1), ("MISSING", 1)}
+    flat = {r.record_id: (r.json_status, r.max_speed_kph, r.min_speed_kph, r.avg_speed) for r in run("json_flat_all")}
+    assert flat == {0: ("open", "7", "", ""), 1: ("done", "", "3", "5.5"), 2: ("", "", "", "")}
