@@ -441,6 +441,12 @@ def rows_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.groupBy("num_label_rows").agg(F.count("*").alias("files"))
 
 
+@query()
+def rows_per_file_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted from the label lines of every file; ``rows_per_file`` counts what the stored profiles say."""
+    return labels.rows_per_file(table(spark, sf_dir, "label_v2_csv"))
+
+
 @query(
     "with p as (select distinct * from label_sequence_profile) "
     + " union all ".join(

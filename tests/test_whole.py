@@ -45,6 +45,11 @@ def test_columns_of_all_files(spark, label_tables):
     assert {r.file for r in entry.queries()["label_columns"](spark, label_tables).collect()} == {"f", "g"}
 
 
+def test_rows_of_all_files(spark, label_tables):
+    want = Counter(len(rows) for rows in loadable().values())
+    assert {r.num_label_rows: r.files for r in entry.queries()["rows_per_file_all"](spark, label_tables).collect()} == want == {2: 2, 9000: 1}
+
+
 VALUES = ["1", 2.5, True, None, "", "plain [text]", "{odd", [1, {"b": "x"}], {"c": [None]}, "1", [1, {"b": "x"}]]
 DOCUMENTS = [
     '{"name": "a", "status": "open", "maxSpeedInKph": 7, "customFieldValues": ' + json.dumps([{"field": {"id": 1, "name": "n", "type": "t"}, "value": v} for v in VALUES]) + "}",
