@@ -5,9 +5,9 @@ blocks (parts between blank lines): their standardised statistics are modelled b
 expectation-maximisation, its components are mapped to kinds by inspected examples of every kind, and a document is
 named after the kind of most of its non-prose text if that is more than half of its text.
 
-Scale: the mixture is fitted on the driver to the blocks of at most ``SAMPLE_DOCS`` documents, chosen by a hash of their
-id (the bound is a parameter; below it all documents are used); every document is then classified in one narrow pass
-without a shuffle. The model that tasks receive is a few kilobytes.
+Scale: the statistics of every block of every document are computed once, in one narrow pass, and persisted. Each round of
+expectation-maximisation is a pass over them that gives one row of sums a partition, added up on the driver; every
+document is then classified from the same statistics, without a shuffle. The model that tasks receive is a few kilobytes.
 
 Defined results: null, empty and blank texts have no kind and count as no words, lines or shares of 0; a text of any
 length is read whole; repeated rows repeat; an empty table gives an empty result; other input columns are ignored.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from kerbline.llm.inspected import examples
 from kerbline.session import ship_package, spread
 
-SAMPLE_DOCS = 20_000
 KINDS = ("prose", "list", "table", "junk")
 
 # fixed values: frequent function words of the corpus languages
@@ -191,37 +191,65 @@ class Mixture:
         return each.argmax(axis=1)
 
 
-def fit_mixture(x: np.ndarray, start: np.ndarray, rounds: int = 25, floor: float = 0.05, anchor: float = 20.0) -> Mixture:
-    """Expectation-maximisation from components at the rows of ``start`` (raw statistics of inspected forms).
+def moments(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, sum of squared deviations) of each statistic."""
+    centre = x.mean(axis=0)
+    return len(x), centre, ((x - centre) ** 2).sum(axis=0)
+
+
+def merge_moments(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Moments of the rows of both."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart**2 * (a[0] * b[0] / n)
+
+
+def round_sums(model: Mixture, x: np.ndarray) -> np.ndarray:
+    """What a round of expectation-maximisation needs of some rows: per component its mass, first and second moments
+    (standardised), and in a last row the sum of the log likelihoods. Sums of parts add up."""
+    z = (x - model.centre) / model.scale
+    log = model.log_densities(x)
+    top = log.max(axis=1, keepdims=True)
+    p = np.exp(log - top)
+    total = p.sum(axis=1, keepdims=True)
+    p /= total
+    sums = np.hstack([p.sum(axis=0)[:, None], p.T @ z, p.T @ z**2])
+    return np.vstack([sums, np.full((1, sums.shape[1]), (np.log(total) + top).sum())])
+
+
+def fit_mixture_by(
+    found: tuple[int, np.ndarray, np.ndarray] | None, sums_of: Callable[[Mixture], np.ndarray], start: np.ndarray, rounds: int = 25, floor: float = 0.05, anchor: float = 20.0
+) -> Mixture:
+    """Expectation-maximisation from components at the rows of ``start`` (raw statistics of inspected forms), over rows
+    of which ``found`` has the moments (None: there are no rows) and ``sums_of`` gives the ``round_sums`` under a model.
 
     Each start counts as ``anchor`` observations of its own component, so that a rare form keeps its component;
     ``floor`` keeps variances positive for statistics that are constant in a component.
     """
-    both = np.vstack([x, start]) if len(x) else start
-    centre, scale = both.mean(axis=0), both.std(axis=0)
+    n, centre, squares = merge_moments(found, moments(start)) if found else moments(start)
+    scale = np.sqrt(squares / n)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z, anchors = (x - centre) / scale, (start - centre) / scale
-    k = len(start)
-    model = Mixture(centre, scale, np.full(k, 1 / k), anchors.copy(), np.full((k, x.shape[1]), 0.3))
+    anchors = (start - centre) / scale
+    k, width = start.shape
+    model = Mixture(centre, scale, np.full(k, 1 / k), anchors.copy(), np.full((k, width), 0.3))
     before = -np.inf
-    for _ in range(rounds if len(x) else 0):
-        log = model.log_densities(x)
-        top = log.max(axis=1, keepdims=True)
-        p = np.exp(log - top)
-        total = p.sum(axis=1, keepdims=True)
-        p /= total
-        mass = p.sum(axis=0) + anchor
-        model.means = (p.T @ z + anchor * anchors) / mass[:, None]
-        second = (p.T @ z**2 + anchor * anchors**2) / mass[:, None]
-        model.variances = np.maximum(second - model.means**2, 0) + floor
-        model.weights = mass / mass.sum()
-        likelihood = float((np.log(total) + top).mean())
+    for _ in range(rounds if found else 0):
+        sums = sums_of(model)
+        mass = sums[:k, 0] + anchor
+        means = (sums[:k, 1 : width + 1] + anchor * anchors) / mass[:, None]
+        second = (sums[:k, width + 1 :] + anchor * anchors**2) / mass[:, None]
+        model = Mixture(centre, scale, mass / mass.sum(), means, np.maximum(second - means**2, 0) + floor)
+        likelihood = float(sums[k, 0] / found[0])
         if likelihood - before < 1e-4:
             break
         before = likelihood
     return model
 
 
+def fit_mixture(x: np.ndarray, start: np.ndarray, rounds: int = 25, floor: float = 0.05, anchor: float = 20.0) -> Mixture:
+    """``fit_mixture_by`` over the rows of ``x``."""
+    return fit_mixture_by(moments(x) if len(x) else None, lambda model: round_sums(model, x), start, rounds, floor, anchor)
+
+
 def map_components(model: Mixture, x: np.ndarray, kinds: np.ndarray) -> None:
     """Give each component the kind of the inspected blocks it is responsible for, weighted by responsibility."""
     p = model.responsibilities(x)
@@ -241,29 +269,75 @@ def inspected_statistics() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), np.array(rows), np.array(kinds)
 
 
-def fit_model(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Mixture:
-    """The mixture fitted to the blocks of at most ``sample_docs`` documents; collects their statistics."""
+#: Observations that each start counts as for every so many documents. Among more documents it counts as more, in proportion:
+#: with a fixed number the starts would lose their weight as the input grows, and components of rare forms drift into prose.
+ANCHOR, ANCHOR_DOCS = 20.0, 20_000
+#: Rows of statistics that a pass holds at once.
+ROWS_AT_ONCE = 4096
+
+
+def document_statistics(documents: DataFrame) -> DataFrame:
+    """(doc_id, sizes, statistics) of every document with text: the characters of its blocks and, end to end, their statistics."""
     ship_package(documents.sparkSession)
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    total = texts.count()
-    share = min(1.0, sample_docs / max(1, total))
-    chosen = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * share)) if share < 1 else texts
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [block_statistics(b) for t in batch.column(0).to_pylist() for b in blocks(t)[:MAX_BLOCKS_SAMPLED]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["s"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                every = [blocks(t) for t in part.column(1).to_pylist()]
+                sizes = [[len(b) for b in own] for own in every]
+                rows = [[v for b in own for v in block_statistics(b)] for own in every]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "sizes", "statistics"])
+
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())
+    return spread(texts).mapInArrow(scan, "doc_id bigint, sizes array<int>, statistics array<double>")
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The block statistics of batches with the one column ``statistics``, a bounded number of rows at a time."""
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+        yield from (x[i : i + ROWS_AT_ONCE] for i in range(0, len(x), ROWS_AT_ONCE))
+
+
+def _collected(statistics: DataFrame, per_part: Callable[[Iterator[np.ndarray]], np.ndarray | None]) -> list[np.ndarray]:
+    """One array of numbers from each partition that has any rows, in order of the partitions."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = per_part(_rows_of(batches))
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return [np.array(r.s) for r in statistics.select("statistics").mapInArrow(scan, "s array<double>").collect()]
+
 
-    found = spread(chosen.select("text")).mapInArrow(scan, "s array<double>").collect()
-    x = np.array(sorted(r.s for r in found)) if found else np.zeros((0, FEATURES))
+def fit_model(statistics: DataFrame) -> Mixture:
+    """The mixture fitted to all blocks of ``document_statistics``; one row of sums a partition reaches the driver."""
     starts, rows, kinds = inspected_statistics()
-    model = fit_mixture(x, starts)
-    map_components(model, rows, kinds)
-    return model
 
+    def part_moments(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+        found = None
+        for x in parts:
+            found = merge_moments(found, moments(x)) if found else moments(x)
+        return np.concatenate([[found[0]], found[1], found[2]]) if found else None
 
-#: Blocks of one sampled document that the fit uses; it bounds what a huge document adds to the sample.
-MAX_BLOCKS_SAMPLED = 50
+    found = None
+    for m in _collected(statistics, part_moments):
+        own = (int(m[0]), m[1 : FEATURES + 1], m[FEATURES + 1 :])
+        found = merge_moments(found, own) if found else own
+
+    def sums_of(model: Mixture) -> np.ndarray:
+        def part_sums(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+            sums = None
+            for x in parts:
+                sums = round_sums(model, x) if sums is None else sums + round_sums(model, x)
+            return sums
+
+        return sum(_collected(statistics, part_sums)).reshape(len(starts) + 1, 2 * FEATURES + 1)
+
+    anchor = ANCHOR * max(1.0, statistics.count() / ANCHOR_DOCS)
+    model = fit_mixture_by(found, sums_of, starts, anchor=anchor)
+    map_components(model, rows, kinds)
+    return model
 
 
 def _checked(kind: int, statistics: list[float]) -> int:
@@ -274,43 +348,52 @@ def _checked(kind: int, statistics: list[float]) -> int:
     return kind
 
 
-def document_kinds(model: Mixture, texts: list[str | None]) -> list[tuple[str | None, list[float]]]:
-    """(kind, share of each kind's text) of each document; the kind is None for a text without content."""
-    parts = [blocks(t) if t else [] for t in texts]
-    rows = [[block_statistics(b) for b in own] for own in parts]
-    every = [r for own in rows for r in own]
-    found = iter(model.kinds(np.array(every)).tolist() if every else [])
+def kinds_of(model: Mixture, sizes: list[list[int]], statistics: np.ndarray) -> list[tuple[str | None, list[float]]]:
+    """(kind, share of each kind's text) of each document, of the sizes of its blocks and the statistics of all blocks in
+    order; the kind is None for a text without content."""
+    found = iter(zip(model.kinds(statistics).tolist(), statistics) if len(statistics) else [])
     out: list[tuple[str | None, list[float]]] = []
-    for own, statistics in zip(parts, rows):
+    for own in sizes:
         if not own:
             out.append((None, [0.0] * len(KINDS)))
             continue
         size = [0] * len(KINDS)
-        for b, r in zip(own, statistics):
-            size[_checked(next(found), r)] += len(b)
+        for n in own:
+            kind, r = next(found)
+            size[_checked(kind, r)] += n
         shares = [x / sum(size) for x in size]
         out.append(("prose" if shares[0] >= 0.5 else max(KINDS[1:], key=lambda k: shares[KINDS.index(k)]), shares))
     return out
 
 
-def classify(documents: DataFrame, model: Mixture) -> DataFrame:
+def document_kinds(model: Mixture, texts: list[str | None]) -> list[tuple[str | None, list[float]]]:
+    """``kinds_of`` of texts."""
+    parts = [blocks(t) if t else [] for t in texts]
+    return kinds_of(model, [[len(b) for b in own] for own in parts], np.array([block_statistics(b) for own in parts for b in own]))
+
+
+def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
     """(doc_id, kind, shares): the kind of every document with content and the shares of its text by kind."""
-    ship_package(documents.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = document_kinds(model, part.column(1).to_pylist())
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+                found = kinds_of(model, part.column(1).to_pylist(), x)
                 rows = [(doc, *x) for doc, x in zip(part.column(0).to_pylist(), found) if x[0] is not None]
                 ids, kinds, shares = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "kind", "shares"])
 
-    return spread(documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())).mapInArrow(scan, "doc_id bigint, kind string, shares array<double>")
+    return statistics.mapInArrow(scan, "doc_id bigint, kind string, shares array<double>")
 
 
-def find_non_prose(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, kind) of the documents more than half of whose text is list, table or junk."""
-    return classify(documents, fit_model(documents, sample_docs)).filter(F.col("kind") != "prose").select("doc_id", "kind")
+def find_non_prose(documents: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the documents more than half of whose text is list, table or junk.
+
+    Fits the mixture when called; the persisted statistics serve the result too and are freed with Spark's cache.
+    """
+    statistics = document_statistics(documents).persist(StorageLevel.MEMORY_AND_DISK)
+    return classify(statistics, fit_model(statistics)).filter(F.col("kind") != "prose").select("doc_id", "kind")
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:

@@ -72,3 +72,26 @@ def test_plain_statistics(spark):
     assert (rows[1].n_words, rows[1].mean_word_length, rows[1].punctuated_lines, rows[1].common_share) == (5, 12 / 5, 1.0, 0.6)
     assert abs(rows[1].symbol_ratio - 3 / 15) < 1e-9
     assert tuple(rows[2])[1:] == tuple(rows[3])[1:] == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_model_is_fitted_to_all_blocks_of_all_documents(spark):
+    texts = [t for own in HELD_OUT.values() for t in own]
+    r = random.Random(4)
+    rows = [(i, r.choice(texts)) for i in range(200)]
+    rows += [(300, "\n\n".join([HELD_OUT["prose"][0]] * 60 + [HELD_OUT["table"][0]] * 90)), (301, ""), (302, None)]
+    statistics = Q.document_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    x = np.array([Q.block_statistics(b) for _, t in rows if t for b in Q.blocks(t)])
+    starts, inspected, kinds = Q.inspected_statistics()
+    want = Q.fit_mixture(x, starts)
+    Q.map_components(want, inspected, kinds)
+    got = Q.fit_model(statistics)
+    assert len(x) > 350 and np.allclose(got.centre, np.vstack([x, starts]).mean(axis=0)) and np.allclose(got.scale, want.scale)
+    assert np.allclose(got.means, want.means, atol=1e-6) and np.allclose(got.variances, want.variances, atol=1e-6) and (got.kind_of == want.kind_of).all()
+
+
+def test_no_document_is_left_out_of_the_fit(spark):
+    text = HELD_OUT["prose"][4]
+    many = spark.range(20_500).selectExpr("id as doc_id", f"'{text.replace(chr(39), chr(92) + chr(39))}' as text")
+    found, starts = Q.fit_model(Q.document_statistics(many)), Q.inspected_statistics()[0]
+    one = np.array(Q.block_statistics(text))
+    assert np.allclose(found.centre, (20_500 * one + starts.sum(axis=0)) / (20_500 + len(starts)), rtol=1e-9)
