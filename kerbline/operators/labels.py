@@ -59,15 +59,18 @@ def nonempty_count(column: Column | str) -> Column:
 
 
 def loaded_lines(lines: DataFrame, **columns: str) -> DataFrame:
-    """Loadable lines, a redelivered line (same file and line number) once, with names, fields and block."""
+    """Loadable lines, a redelivered line (same file and line number) once, with names, fields and block.
+
+    Lines without a line number are all kept; nothing tells a redelivered one of them."""
     judged = judge_lines(lines, **columns)
     ok = judged.select("id", "file", "block", "line_no", "names", "fields", F.explode(F.when(F.size("errors") == 0, F.array(F.lit(1)))).alias("_")).drop("_")
-    first = Window.partitionBy("file", "block", "line_no").orderBy("id")
+    first = Window.partitionBy("file", "block", "line_no", F.when(F.col("line_no").isNull(), F.col("id"))).orderBy("id")
     return ok.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def profile_lines(lines: DataFrame, **columns: str) -> DataFrame:
-    """(file, column_name, nonempty_count, sample_values) per column: the first five values in line order.
+    """(file, column_name, nonempty_count, sample_values) per column: the first five values in line order,
+    those of lines without a number last and by value.
 
     Missing marks (empty, NA, None) are no values. Only the first values of each task travel, not all of them.
     """
@@ -76,7 +79,7 @@ def profile_lines(lines: DataFrame, **columns: str) -> DataFrame:
     value = F.when(~F.col("z.v").isin("NA", "None"), strip("z.v"))
     rows = each.select("file", "line_no", F.col("z.n").alias("column_name"), F.when(value != "", value).alias("v"))
     counts = rows.groupBy("file", "column_name").agg(F.count("v").alias("nonempty_count"))
-    order = Window.partitionBy("file", "column_name").orderBy("line_no")
+    order = Window.partitionBy("file", "column_name").orderBy(F.asc_nulls_last("line_no"), "v")
     first = rows.filter(F.col("v").isNotNull()).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_VALUES)
     samples = first.groupBy("file", "column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "|").alias("sample_values"))
     return counts.join(samples, ["file", "column_name"], "left").withColumn("sample_values", F.coalesce("sample_values", F.lit("")))
@@ -89,8 +92,8 @@ def rows_per_file(lines: DataFrame, **columns: str) -> DataFrame:
 
 
 def preview_lines(lines: DataFrame, k: int = PREVIEW_ROWS, **columns: str) -> DataFrame:
-    """The first ``k`` loadable rows of each file with the values of their roles."""
-    order = Window.partitionBy("file").orderBy("line_no")
+    """The first ``k`` loadable rows of each file with the values of their roles; lines without a number come last, by id."""
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_last("line_no"), "id")
     # ranked and cut before the shuffle, so a file that holds most rows does not reach one task
     rows = loaded_lines(lines, **columns).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).withColumn("label_row_idx", F.col("_rank") - 1)
     at = lambda role: F.coalesce(F.try_element_at(F.map_from_arrays(F.array_distinct("names"), F.slice("fields", 1, F.size(F.array_distinct("names")))), find_column("names", CANDIDATES[role])), F.lit(""))

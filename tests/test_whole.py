@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from kerbline.operators import labels
 
 HEADER = "frame_idx,Class,Which object"
 LINES = [("f", 0, HEADER), ("f", 1, "1,a,Pole"), ("f", 2, "2,NA,"), ("f", 2, "2,NA,"), ("f", 3, "x,b,Wall"), ("g", 0, HEADER), ("g", 1, "1,a,Wall"), ("g", 2, "2,b,Pole")]
@@ -84,3 +85,11 @@ def test_documents_with_all_values_and_columns(spark, json_tables):
     assert {(r.value, r["count"]) for r in run("json_profile_all") if r.group == "status"} == {("open", 1), ("done", 1), ("MISSING", 1)}
     flat = {r.record_id: (r.json_status, r.max_speed_kph, r.min_speed_kph, r.avg_speed) for r in run("json_flat_all")}
     assert flat == {0: ("open", "7", "", ""), 1: ("done", "", "3", "5.5"), 2: ("", "", "", "")}
+
+
+def test_lines_without_a_number_are_all_kept(spark):
+    lines = [(1, "f", 0, "frame_idx,Class"), (2, "f", 1, "1,a"), (3, "f", 1, "1,a"), (4, "f", None, "7,c"), (5, "f", None, "8,b"), (6, "f", None, "9,b")]
+    df = spark.createDataFrame(lines, "record_id long, file_path string, line_no int, label_v2_csv string")
+    assert {tuple(r) for r in labels.profile_lines(df).collect()} == {("f", "frame_idx", 4, "1|7|8|9"), ("f", "class", 4, "a|b|b|c")}
+    assert {tuple(r) for r in labels.rows_per_file(df).collect()} == {(4, 1)}
+    assert [r.class_value for r in labels.preview_lines(df).orderBy("label_row_idx").collect()] == ["a", "c", "b", "b"]
