@@ -1,17 +1,20 @@
 """Problem 7: held-out evaluation texts that appear, wholly or partly, in a corpus.
 
 The test items are normalised to words and put into one generalised suffix automaton. Each document's words stream
-through it once; the automaton gives the longest match that ends at every word, and every maximal match of at least
-a seed's length votes for the items that contain it. The seed is so short that a reported passage must contain one
+through it once; the automaton gives the longest match that ends at every word, and a match votes for the items that
+contain it if it is as long as their seed. An item's seed is so short that a reported passage must contain one
 (see ``seed_length``), so the vote loses nothing. An exact alignment then chains the matches of a document and a voted item
 into passages that allow replaced words, and keeps the pair if one or two passages hold enough of the item's words.
+Removal cuts the passages out by their places in the source text, so markup, links and entities around them stay.
 
-Scale: documents are never moved; the only thing sent to tasks is the automaton, whose size follows the items. The
-items are counted first and handled in shards of ``MAX_ITEMS``, one pass each, so no automaton outgrows a worker.
+Scale: documents are read once and never moved, whatever the number of items. Items come to the driver one partition at a
+time and leave it in shards of ``SHARD_WORDS`` words, each broadcast as plain text; tasks build one shard's automaton at a
+time (its size is linear in the shard's words) and stream a bounded buffer of documents through it before the next.
 
-Defined results: null, empty and wordless documents or items match nothing; repeated items each match; repeated
-document rows repeat their results; an empty table gives an empty result; any text length is streamed whole; other
-input columns are ignored.
+Defined results: null, empty and wordless documents or items match nothing, nor do items of a single word; an item of up to
+four words is found only whole, a longer one needs four words or more; no passage holds fewer than two words, nor fewer than
+``least_passage`` says; repeated items each match; repeated document rows repeat their results; an empty table
+gives an empty result; any text length is streamed whole; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,12 +34,18 @@ from pyspark.sql import functions as F
 
 from kerbline.session import ship_package, spread
 
-MAX_ITEMS = 5_000
+#: Words of items in one automaton.
+SHARD_WORDS = 200_000
+#: Characters of documents that a task holds while it goes through several shards.
+BUFFER_CHARS = 32 << 20
 MIN_SHARE = 0.45
 #: One word in so many may have been replaced inside a passage.
 REPLACED_ONE_IN = 7
 MAX_GAP = 3
-MIN_PASSAGE = 5
+#: Words that every report needs (a shorter item: all its words).
+MIN_WORDS = 4
+#: A passage need not hold more words than this, however long the item.
+PASSAGE_WORDS = 5
 
 _TAG = regex.compile(r"</?[A-Za-z!][^<>]*+>|\]\([^()\s]*+\)")
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
@@ -65,6 +75,60 @@ def words(text: str, vocabulary: dict[str, int] | None = None) -> list[str]:
     return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
 
 
+_ENTITY = regex.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+class _Placed:
+    """A text under rewriting whose characters remember the range of the source they come from."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, [(i, i + 1) for i in range(len(text))]
+
+    def rewrite(self, pattern: regex.Pattern, by: Callable[[regex.Match], list[tuple[str, int, int]]]) -> None:
+        """Replace each match by pieces (text, from, to), whose range of the present text they stand for."""
+        out, at, last = [], [], 0
+        for m in pattern.finditer(self.text):
+            out.append(self.text[last : m.start()])
+            at += self.at[last : m.start()]
+            for piece, i, j in by(m):
+                out.append(piece)
+                at += [(self.at[i][0], self.at[j - 1][1])] * len(piece)
+            last = m.end()
+        self.text, self.at = "".join([*out, self.text[last:]]), at + self.at[last:]
+
+    def each(self, by: Callable[[str], str], groups: regex.Pattern) -> None:
+        self.rewrite(groups, lambda m: [(by(m[0]), m.start(), m.end())])
+
+
+#: A character with the combining ones behind it, which normalisation may put in another order.
+_CLUSTER = regex.compile(r"(?s).\p{M}*+")
+_ANY = regex.compile(r"(?s).")
+
+
+def placed_words(text: str, vocabulary: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+    """``words`` with the range of the source text that each comes from."""
+    t = _Placed(text)
+    t.each(html.unescape, _ENTITY)
+    if not t.text.isascii():
+        t.each(lambda c: _MARKS.sub("", unicodedata.normalize("NFKD", c)), _CLUSTER)
+    t.rewrite(_TAG, lambda m: [(" ", m.start(), m.end())])
+    t.each(str.casefold, _ANY)
+    t.rewrite(_QUOTES, lambda m: [])
+    if vocabulary:
+        t.rewrite(_BROKEN, lambda m: [(m[1], *m.span(1)), *([] if m[1] + m[2] in vocabulary else [(" ", m.end(1), m.start(2))]), (m[2], *m.span(2))])
+    return [(m[0], t.at[m.start()][0], t.at[m.end() - 1][1]) for m in _WORD.finditer(t.text)]
+
+
+def needed_words(n_words: int, share: float = MIN_SHARE) -> float:
+    """Words of an item that a document must repeat."""
+    return max(share * n_words - 1e-9, min(n_words, MIN_WORDS))
+
+
+def least_passage(n_words: int, share: float = MIN_SHARE) -> int:
+    """Words that each passage of an item must hold: a quarter of what is needed, between two and ``PASSAGE_WORDS``."""
+    return min(PASSAGE_WORDS, max(2, math.ceil(share * n_words / 4)))
+
+
 def seed_length(n_words: int, share: float = MIN_SHARE) -> int:
     """Words in a row that any reportable repetition of an item must have.
 
@@ -77,23 +141,40 @@ def seed_length(n_words: int, share: float = MIN_SHARE) -> int:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences; every state knows the sequences that contain its strings."""
+    """Generalised suffix automaton of word sequences.
+
+    The sequences that contain a state's strings are those that end in its subtree of suffix links; subtrees are ranges of
+    one list, so the whole takes space in proportion to the words. ``least`` gives each sequence's seed.
+    """
 
-    def __init__(self, sequences: list[list[int]]) -> None:
+    def __init__(self, sequences: list[list[int]], least: list[int]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        owners = [0]
+        ends: dict[int, list[int]] = defaultdict(list)
         for k, sequence in enumerate(sequences):
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-                while len(owners) < len(self.length):
-                    owners.append(0)
-                owners[last] |= 1 << k
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            owners[self.link[state]] |= owners[state]
-        self.owners = owners
+                if not ends[last] or ends[last][-1] != k:
+                    ends[last].append(k)
+        below: list[list[int]] = [[] for _ in self.length]
+        for state in range(1, len(self.length)):
+            below[self.link[state]].append(state)
+        self.low, self.high, self.order = [0] * len(self.length), [0] * len(self.length), []
+        todo = [0]
+        while todo:
+            state = todo.pop()
+            if state < 0:
+                self.high[~state] = len(self.order)
+                continue
+            self.low[state] = len(self.order)
+            self.order += ends.get(state, ())
+            todo.append(~state)
+            todo += below[state]
+        self.least = least
+        self.shortest = min(least, default=1)
+        self._known: dict[tuple[int, int], frozenset[int]] = {}
 
     def _new(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -122,20 +203,27 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def prepare(self, least: int) -> None:
-        """Give each state the sequences that contain the last ``least`` words of its strings: those of its first
-        suffix ancestor that holds a string of that length. Matches nested in longer matches of other sequences
-        are voted for by it as well."""
-        self.least = least
-        self.seeds = [0] * len(self.length)
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            up = self.link[state]
-            self.seeds[state] = self.seeds[up] if self.length[up] >= least else self.owners[state]
-
-    def votes(self, sequence: list[int]) -> int:
-        """Bits of the sequences that share ``least`` words in a row with ``sequence``."""
-        following, link, length, seeds, least = self.next, self.link, self.length, self.seeds, self.least
-        state = matched = found = 0
+    def _voted(self, state: int, matched: int) -> frozenset[int]:
+        """Sequences that hold a suffix, no shorter than their seed, of the ``matched`` words that lead to ``state``."""
+        known, path = self._known, []
+        key = (state, matched)
+        while key[1] >= self.shortest and key not in known:
+            path.append(key)
+            up = self.link[key[0]]
+            key = (up, self.length[up])
+        found = known[key] if key[1] >= self.shortest else frozenset()
+        for at in reversed(path):
+            seed_over = self.length[self.link[at[0]]]
+            new = {k for k in self.order[self.low[at[0]] : self.high[at[0]]] if seed_over < self.least[k] <= at[1]}
+            found = found if new <= found else found | new
+            known[at] = found
+        return found
+
+    def votes(self, sequence: list[int]) -> set[int]:
+        """The sequences that share as many words in a row with ``sequence`` as their seed asks for."""
+        following, link, length, shortest = self.next, self.link, self.length, self.shortest
+        state = matched = 0
+        found: set[int] = set()
         for word in sequence:
             if word < 0:
                 state = matched = 0
@@ -147,8 +235,8 @@ class SuffixAutomaton:
                 matched = length[state]
             else:
                 state, matched = following[state][word], matched + 1
-                if matched >= least:
-                    found |= seeds[state]
+                if matched >= shortest:
+                    found |= self._voted(state, matched)
         return found
 
 
@@ -161,8 +249,9 @@ def _pair_index(item: list[int]) -> dict[tuple[int, int], list[int]]:
 
 
 def _runs(document: list[int], item: list[int], at: dict[tuple[int, int], list[int]]) -> list[tuple[int, int, int]]:
-    """Maximal runs (document position, item position, length >= 2) of equal words, in document order."""
-    out: list[tuple[int, int, int]] = []
+    """Maximal runs (document position, item position, length) of equal words, in document order: those of two words or
+    more, and single words in line with one of them, between words that were replaced."""
+    out: set[tuple[int, int, int]] = set()
     for k, pair in enumerate(zip(document, document[1:])):
         for j in at.get(pair, ()):
             if k and j and document[k - 1] == item[j - 1]:
@@ -170,8 +259,20 @@ def _runs(document: list[int], item: list[int], at: dict[tuple[int, int], list[i
             n, most = 2, min(len(document) - k, len(item) - j)
             while n < most and document[k + n] == item[j + n]:
                 n += 1
-            out.append((k, j, n))
-    return out
+            out.add((k, j, n))
+    for k, j, n in list(out):
+        for step, a, b in ((1, k + n, j + n), (-1, k - 1, j - 1)):
+            missed = 0
+            while missed <= MAX_GAP and 0 <= a < len(document) and 0 <= b < len(item):
+                if document[a] == item[b]:
+                    if missed == 0 or any(0 <= a + d < len(document) and 0 <= b + d < len(item) and document[a + d] == item[b + d] for d in (-1, 1)):
+                        break  # a run of its own
+                    out.add((a, b, 1))
+                    missed = 0
+                else:
+                    missed += 1
+                a, b = a + step, b + step
+    return sorted(out)
 
 
 def passages(document: list[int], item: list[int], at: dict[tuple[int, int], list[int]] | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -194,7 +295,8 @@ def passages(document: list[int], item: list[int], at: dict[tuple[int, int], lis
                     best = (score + n - 2 * lost, matched + n, replaced + lost, k0, k + n, j0, j + n)
         recent.append(len(chains))
         chains.append(best)
-    kept = [(m, k0, k1, j0, j1) for _, m, r, k0, k1, j0, j1 in chains if m >= MIN_PASSAGE and r <= (m + r) / REPLACED_ONE_IN + 1]
+    least = least_passage(len(item))
+    kept = [(m, k0, k1, j0, j1) for _, m, r, k0, k1, j0, j1 in chains if m >= least and r <= (m + r) / REPLACED_ONE_IN + 1]
     kept.sort(reverse=True)
     top: list[tuple[int, int, int, int, int]] = []
     best = 0
@@ -214,7 +316,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], share: float) -> None:
         lists = [(i, words(t)) for i, t in items if t]
-        lists = [(i, w) for i, w in lists if w]
+        lists = [(i, w) for i, w in lists if len(w) > 1]
         self.vocabulary: dict[str, int] = {}
         for _, w in lists:
             for x in w:
@@ -223,12 +325,10 @@ class Matcher:
         self.items = [[self.vocabulary[x] for x in w] for _, w in lists]
         self.pairs = [_pair_index(w) for w in self.items]
         self.share = share
-        self.seed = min((seed_length(len(w), share) for w in self.items), default=2)
-        self.automaton = SuffixAutomaton(self.items)
-        self.automaton.prepare(self.seed)
+        self.automaton = SuffixAutomaton(self.items, [seed_length(len(w), share) for w in self.items])
 
-    def find(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int, int, int]]]]:
-        """(item id, share of the item's words, passages) of every item that the text repeats."""
+    def find(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int, int, int]], list[tuple[int, int]]]]:
+        """(item id, share of the item's words, passages, their ranges in the text) of every item that the text repeats."""
         if not text or not self.items:
             return []
         get = self.vocabulary.get
@@ -236,106 +336,131 @@ class Matcher:
         votes = self.automaton.votes(document)
         if not votes:
             return []
-        held, out = set(zip(document, document[1:])), []
-        while votes:
-            k = (votes & -votes).bit_length() - 1
-            votes &= votes - 1
-            item, least = self.items[k], self.share * len(self.items[k]) - 1e-9
+        held, out, places = set(zip(document, document[1:])), [], None
+        for k in sorted(votes):
+            item, least = self.items[k], needed_words(len(self.items[k]), self.share)
             # m matched words in two passages form at most (m + 14) / 6 + 2 runs, so they hold this many pairs of words
             if sum(len(self.pairs[k][pair]) for pair in self.pairs[k].keys() & held) < least - (least + 14) / (REPLACED_ONE_IN - 1) - 2:
                 continue
             found = passages(document, item, self.pairs[k])
             matched = sum(p[0] for p in found)
             if found and matched >= least:
-                out.append((self.ids[k], matched / len(item), found))
+                places = places or placed_words(text, self.vocabulary)
+                out.append((self.ids[k], matched / len(item), found, [(places[p[1]][1], places[p[2] - 1][2]) for p in found]))
         return out
 
 
-RESULT_SCHEMA = "doc_id bigint, item_id bigint, share double, passages array<struct<words:int,doc_from:int,doc_to:int,item_from:int,item_to:int>>"
+_LAST: dict[tuple[str, float], Matcher] = {}
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, share, passages): every document with every item it repeats; word positions, ends exclusive.
+def _matcher(key: str, items: list[tuple[int, str]], share: float) -> Matcher:
+    """The matcher of a shard; a Python worker keeps the last one it built."""
+    if (key, share) not in _LAST:
+        _LAST.clear()
+        _LAST[key, share] = Matcher(items, share)
+    return _LAST[key, share]
+
+
+def _shards(documents: DataFrame, items: DataFrame, shard_words: int) -> list[tuple[str, object]]:
+    """(key, broadcast items) of each shard; the driver holds one partition of items and one shard at a time."""
+    sc = documents.sparkSession.sparkContext
+    ship_package(documents.sparkSession)
+    out, part, size = [], [], 0
+    for item, text in items.select(F.col("item_id").cast("bigint"), "text").filter(F.col("text").isNotNull()).toLocalIterator():
+        n = len(words(text))
+        if part and size + n > shard_words:
+            out.append((uuid.uuid4().hex, sc.broadcast(part)))
+            part, size = [], 0
+        part.append((item, text))
+        size += n
+    return [*out, (uuid.uuid4().hex, sc.broadcast(part))] if part else out
 
-    Collects the items, in shards of ``MAX_ITEMS``, when called.
-    """
-    spark = documents.sparkSession
-    ship_package(spark)
-    tests = items.select("item_id", "text").filter(F.col("text").isNotNull())
-    shards = max(1, math.ceil(tests.count() / MAX_ITEMS))
-    out = None
-    for shard in range(shards):
-        part = tests if shards == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        matcher = spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.collect()], share))
-
-        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            m = matcher.value
-            for batch in batches:
-                docs, ids, shares, spans = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item, covered, found in m.find(text):
-                        docs.append(doc)
-                        ids.append(item)
-                        shares.append(covered)
-                        spans.append([dict(zip(("words", "doc_from", "doc_to", "item_from", "item_to"), p)) for p in found])
-                kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("words", "doc_from", "doc_to", "item_from", "item_to")]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(shares, pa.float64()), pa.array(spans, kind)],
-                    names=["doc_id", "item_id", "share", "passages"],
-                )
-
-        found = spread(documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())).mapInArrow(scan, RESULT_SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def _searched(batches: Iterator[pa.RecordBatch], shards: list, share: float) -> Iterator[tuple[list, list, list[list]]]:
+    """(document ids, texts, findings of each text) for batches of documents, a bounded number of characters at a time."""
 
-def cut_passages(text: str, spans: list[tuple[int, int]], vocabulary: dict[str, int] | None = None) -> str:
-    """``text`` without the given ranges of words. A word's place is the shortest prefix that holds it as a word."""
+    def search(ids: list, texts: list) -> tuple[list, list, list[list]]:
+        found: list[list] = [[] for _ in texts]
+        for key, items in shards:
+            matcher = _matcher(key, items.value, share)
+            for own, text in zip(found, texts):
+                own += matcher.find(text)
+        return ids, texts, found
 
-    def prefix(n: int) -> int:
-        low, high = 0, len(text)
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if len(words(text[:mid], vocabulary)) >= n else (mid + 1, high)
-        return low
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(doc)
+            texts.append(text)
+            held += len(text or "")
+            if held >= (BUFFER_CHARS if len(shards) > 1 else BUFFER_CHARS >> 5):
+                yield search(ids, texts)
+                ids, texts, held = [], [], 0
+    yield search(ids, texts)
 
-    out = text
-    for first, end in sorted(spans, reverse=True):
-        start = prefix(first + 1) - 1
-        stop = prefix(end + 1) - 1 if len(words(text, vocabulary)) > end else len(text)
-        out = out[:start] + out[stop:]
+
+_PASSAGE = ("words", "doc_from", "doc_to", "item_from", "item_to", "start", "stop")
+RESULT_SCHEMA = "doc_id bigint, item_id bigint, share double, passages array<struct<" + ",".join(f"{n}:int" for n in _PASSAGE) + ">>"
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, item_id, share, passages): every document with every item it repeats. A passage has its number of matched
+    words, its word positions in document and item (ends exclusive) and its range of characters in the document.
+
+    Reads the items when called.
+    """
+    shards = _shards(documents, items, shard_words)
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in _PASSAGE]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, found in _searched(batches, shards, share):
+            rows = [(doc, item, covered, [dict(zip(_PASSAGE, (*p, *s))) for p, s in zip(ps, spans)]) for doc, own in zip(ids, found) for item, covered, ps, spans in own]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), kind))], names=["doc_id", "item_id", "share", "passages"])
+
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())).mapInArrow(scan, RESULT_SCHEMA)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of ranges, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE, drop_share: float = 0.5) -> DataFrame:
-    """(doc_id, text, leaked_items, dropped): documents with leaked passages cut out of them; a document of which the
-    passages are more than ``drop_share`` is dropped as a whole (null text). Other documents pass unchanged."""
-    spark = documents.sparkSession
-    ship_package(spark)
-    tests = items.select("item_id", "text").filter(F.col("text").isNotNull())
-    if tests.limit(MAX_ITEMS + 1).count() > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: remove them in several passes")
-    matcher = spark.sparkContext.broadcast(Matcher([tuple(r) for r in tests.collect()], share))
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given ranges of characters, which are in order and apart."""
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last:a])
+        last = b
+    return "".join([*kept, text[last:]])
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE, drop_share: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, text, leaked_items, dropped): documents with leaked passages cut out of them, from the first to the last
+    character of a passage; everything else stays as it is. A document more than ``drop_share`` of whose words are in such
+    passages is dropped as a whole (null text). Other documents pass unchanged."""
+    shards = _shards(documents, items, shard_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
-        for batch in batches:
-            texts, leaked, dropped = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = m.find(text)
-                spans: list[tuple[int, int]] = []
-                for a, b in sorted((p[1], p[2]) for _, _, ps in found for p in ps):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-                    else:
-                        spans.append((a, b))
-                total = len(words(text, m.vocabulary)) if spans else 0
-                drop = bool(spans) and sum(b - a for a, b in spans) > drop_share * total
-                texts.append(None if drop else cut_passages(text, spans, m.vocabulary) if spans else text)
-                leaked.append([i for i, _, _ in found])
+        for ids, sources, every in _searched(batches, shards, share):
+            texts, dropped = [], []
+            for text, found in zip(sources, every):
+                spans = merged([s for _, _, _, own in found for s in own])
+                drop = False
+                if spans:
+                    places = [(a, b) for _, a, b in placed_words(text)]
+                    drop = sum(any(a < stop and start < b for start, stop in spans) for a, b in places) > drop_share * len(places)
+                texts.append(None if drop else cut(text, spans) if spans else text)
                 dropped.append(drop)
+            leaked = [[item for item, *_ in found] for found in every]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), pa.array(leaked, pa.list_(pa.int64())), pa.array(dropped, pa.bool_())],
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(leaked, pa.list_(pa.int64())), pa.array(dropped, pa.bool_())],
                 names=["doc_id", "text", "leaked_items", "dropped"],
             )
 

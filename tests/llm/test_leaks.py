@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from kerbline.llm import leaks as L
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -17,21 +20,79 @@ def make_items(r, n=30, size=(18, 60)):
 
 
 def brute_votes(items, document, least):
-    grams = {tuple(document[i : i + least]) for i in range(len(document) - least + 1)}
-    return {k for k, w in enumerate(items) if any(tuple(w[i : i + least]) in grams for i in range(len(w) - least + 1))}
+    def grams(x, n):
+        return {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+
+    return {k for k, w in enumerate(items) if grams(w, least[k]) & grams(document, least[k])}
 
 
 def test_automaton_votes_equal_brute_force():
     r = random.Random(4)
     for _ in range(60):
         items = [r.choices(range(6), k=r.randint(1, 14)) for _ in range(r.randint(1, 7))]
-        least = r.randint(1, 5)
-        a = L.SuffixAutomaton(items)
-        a.prepare(least)
+        least = [r.randint(1, 5) for _ in items]
+        a = L.SuffixAutomaton(items, least)
         for _ in range(30):
             doc = r.choices(range(-1, 7), k=r.randint(0, 25))
-            got = a.votes(doc)
-            assert {k for k in range(len(items)) if got >> k & 1} == brute_votes(items, [x if x >= 0 else -1 - 10 * i for i, x in enumerate(doc)], least)
+            assert a.votes(doc) == brute_votes(items, [x if x >= 0 else -1 - 10 * i for i, x in enumerate(doc)], least)
+
+
+PIECES = ["The", "café", "cafe\u0301", "ŉight", "<b>", "</b>", '<img alt="x y" src=z>', "[", "](http://a b)", "](http://a)", "&amp;", "&eacute;", "&#39;", "&notit;", "can’t", "sh-\n", "ow", "half-\n> ", "way", "\u200b", "ﬁne", "½", "日本", "ｆｕｌｌ", " ", "\n", "İ", "<", "&", "."]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=25), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_places_of_words(pieces, spaced):
+    text = (" " if spaced else "").join(pieces)
+    vocabulary = {"show": 0, "halfway": 1}
+    placed = L.placed_words(text, vocabulary)
+    assert [w for w, _, _ in placed] == L.words(text, vocabulary)
+    assert all(0 <= a < b <= len(text) for _, a, b in placed)
+    assert all(x[1] <= y[1] and x[2] <= y[2] for x, y in zip(placed, placed[1:]))
+
+
+ITEM = "which gap does the rear camera show behind the blue trailer at dawn"
+
+
+def test_removal_keeps_all_other_text(spark):
+    cases = {
+        f'see <img alt="one two three" src=x> then {ITEM} tail': 'see <img alt="one two three" src=x> then  tail',
+        f"pre [link](http://x.y/z) {ITEM}, tail": "pre [link](http://x.y/z) , tail",
+        f"a &amp; b <b>{ITEM}</b>&nbsp;end": "a &amp; b <b></b>&nbsp;end",
+        f"Ünïcode\u200b first. {ITEM.replace('camera', 'cam-' + chr(10) + 'era').replace('blue', '<i>blue</i>')}?! last": "Ünïcode\u200b first. ?! last",
+        "nothing leaked here": "nothing leaked here",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    out = {r.doc_id: r for r in L.remove_leaks(df, items, drop_share=0.99).collect()}
+    assert [out[i].text for i in range(len(cases))] == list(cases.values())
+    assert [out[i].leaked_items for i in range(len(cases))] == [[1]] * 4 + [[]]
+    assert L.remove_leaks(df, items, drop_share=0.3).filter("dropped and text is null").count() == 4
+
+
+def test_short_items_and_close_gaps():
+    def found(item, text):
+        return [i for i, *_ in L.Matcher([(1, item)], L.MIN_SHARE).find(text)]
+
+    assert found("park the car backwards", "we park the car backwards today") and not found("park the car backwards", "we park the car today")
+    ten = [f"t{i}" for i in range(10)]
+    assert found(" ".join(ten), " ".join([*ten[:4], "x", "y", "x", "z", "q", *ten[6:9]]))
+    assert not found(" ".join(ten), " ".join(ten[:3])) and not found("one", "one")
+    sixty = [f"s{i}" for i in range(60)]
+    for gaps in ((5, 7, 15, 22), (5, 7, 9, 11), (5, 14, 22, 24)):
+        assert found(" ".join(sixty), " ".join("x" if k in gaps else w for k, w in enumerate(sixty[:32]))), gaps
+
+
+def test_many_items_in_many_shards(spark):
+    r = random.Random(2)
+    texts = [" ".join(f"v{r.randrange(4000)}" for _ in range(8)) for _ in range(5001)]
+    docs = [f"before {texts[i]} after" for i in range(0, 5001, 500)] + ["nothing"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    whole, parts = (L.find_leaks(df, items, shard_words=n).collect() for n in (L.SHARD_WORDS, 4000))
+    assert sorted(whole) == sorted(parts) and {(x.doc_id, x.item_id) for x in whole} >= {(k, 500 * k) for k in range(11)}
+    cleaned = {x.doc_id: x for x in L.remove_leaks(df, items, drop_share=0.99, shard_words=4000).collect()}
+    assert all(cleaned[k].text == "before  after" for k in range(11)) and cleaned[11].text == "nothing"
 
 
 def test_normalised_forms_are_equal():
@@ -76,12 +137,7 @@ def test_planted_passages(spark):
     assert want <= set(found)
     planted = {d for d, _ in want}
     assert {d for d, _ in found} == planted
-    before = L.MAX_ITEMS
-    try:  # several shards of items give the same
-        L.MAX_ITEMS = 7
-        assert {(x.doc_id, x.item_id) for x in L.find_leaks(df, table).collect()} == set(found)
-    finally:
-        L.MAX_ITEMS = before
+    assert {(x.doc_id, x.item_id) for x in L.find_leaks(df, table, shard_words=300).collect()} == set(found)  # several shards
     cleaned = {x.doc_id: x for x in L.remove_leaks(df, table, drop_share=0.9).collect()}
     assert not {(x.doc_id, x.item_id) for x in L.find_leaks(spark.createDataFrame([(k, x.text) for k, x in cleaned.items()], "doc_id long, text string"), table).collect()}
     assert all((x.leaked_items == []) == (k not in planted) for k, x in cleaned.items())
