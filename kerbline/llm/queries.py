@@ -1,4 +1,4 @@
-"""Queries of the text problems (p6 to p8)."""
+"""Queries of the sampling and text problems (p4, p6 to p8)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import encoding, leaks, quality
+from kerbline.llm import encoding, leaks, quality, quota
 
 
 def tokenizer_folder() -> str:
@@ -25,6 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets the pool cannot meet, as the priorities of its records tell."""
+    return quota.unmet_targets(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, sf_dir)[0]
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, sf_dir)[1]
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encoding.encode(table(spark, sf_dir, "documents"), f"{tokenizer_folder()}/byte_bpe_50k.tiktoken")
     return encoded.withColumnRenamed("id", "doc_id")
@@ -50,7 +67,18 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p4_found, p4_sample, p4_report, p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
+
+
+_TEXT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_UNMET = (
+    "with p as (select count(distinct sequence_id) as n from sequence_sample), c as (select sequence_id, 'preferred_camera_rule' as f, preferred_camera_rule as v from sequence_sample "
+    "union all select sequence_id, 'approach', approach from sequence_sample union all select sequence_id, 'target_object', target_object from sequence_sample "
+    "union all select sequence_id, 'weather_tags', list_filter(string_split(coalesce(weather_tags, ''), '|'), lambda x: trim(x, chr(32) || chr(9)) <> '')[1] from sequence_sample), "
+    f"h as (select f, lower({_TEXT.format(x='v')}) as k, count(distinct sequence_id) as n from c group by all) "
+    "select field_name, category from sample_targets t left join h on h.f = t.field_name "
+    f"and h.k = lower({_TEXT.format(x='t.category')}), p where coalesce(h.n, 0) * 1000 < target_permille * (p.n // 10) or coalesce(h.n, 0) < min_rows"
+)
 
 
 def _statistics_sql() -> str:
@@ -69,4 +97,4 @@ def _statistics_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_statistics": _statistics_sql()}
+    return {"p4_found": _UNMET, "p8_statistics": _statistics_sql()}
