@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems (p1 to p5)."""
+"""Queries of the general training-data problems (p1 to p3 and p5)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.operators import drift, inlining, labels, quota, rejects, units
+from kerbline.operators import drift, inlining, labels, rejects, units
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,22 +45,6 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("record_id"), "line_no", F.to_json("values").alias("label_values"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets the pool cannot meet, as the report of the drawn sample says."""
-    _, report = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
-    return report.filter("unmet").select("field_name", "category").distinct()
-
-
-def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample, _ = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
-    return sample.select("sequence_id", *quota.FIELDS, "rank", "is_floor")
-
-
-def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, report = quota.draw_sample(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
-    return report
-
-
 def p5_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every speed in km/h, with the unit it came in and where that unit was stated."""
     rows = units.convert_speeds(table(spark, sf_dir, "sequence_manifest_enriched"), table(spark, sf_dir, "rig_speed_units"))
@@ -74,20 +58,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p3_fields, p3_rows, p4_found, p4_sample, p4_report, p5_converted, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rows, p3_found, p3_fields, p3_rows, p5_converted, p5_found)}
 
 
 _TEXT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-_UNMET = (
-    "with p as (select count(distinct sequence_id) as n from sequence_sample), c as (select sequence_id, 'preferred_camera_rule' as f, preferred_camera_rule as v from sequence_sample "
-    "union all select sequence_id, 'approach', approach from sequence_sample union all select sequence_id, 'target_object', target_object from sequence_sample "
-    "union all select sequence_id, 'weather_tags', list_filter(string_split(coalesce(weather_tags, ''), '|'), lambda x: trim(x, chr(32) || chr(9)) <> '')[1] from sequence_sample), "
-    f"h as (select f, lower({_TEXT.format(x='v')}) as k, count(distinct sequence_id) as n from c group by all) "
-    "select field_name, category from sample_targets t left join h on h.f = t.field_name "
-    f"and h.k = lower({_TEXT.format(x='t.category')}), p where coalesce(h.n, 0) * 1000 < target_permille * (p.n // 10) or coalesce(h.n, 0) < min_rows"
-)
-
-
 
 def _fields_sql(sep: str) -> tuple[str, str]:
     """(pattern of a well quoted record, expression of its field texts) for one separator."""
@@ -171,4 +145,4 @@ def _speeds_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _rejects_sql(), "p2_found": _NODES, "p4_found": _UNMET, "p5_found": _speeds_sql()}
+    return {"p1_found": _rejects_sql(), "p2_found": _NODES, "p5_found": _speeds_sql()}

@@ -22,7 +22,7 @@ def test_checkpoints_work_without_a_shared_folder(spark):
     assert spark.range(5).checkpoint().count() == 5
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "manifest_profile", "json_tags_long", "stratified_sample"])
+@pytest.mark.parametrize("name", ["p1_found", "p5_found", "manifest_profile", "json_tags_long", "stratified_sample"])
 def test_queries_have_no_cross_join(spark, name):
     import os
 
