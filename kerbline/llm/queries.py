@@ -18,7 +18,9 @@ def tokenizer_folder() -> str:
     if folder := os.environ.get("KERBLINE_TOKENIZERS"):
         return folder
     spec = importlib.util.find_spec("public_tokenizers")
-    return str(Path(spec.origin).parent) if spec and spec.origin else "/opt/tokenizers"
+    if spec is None or spec.origin is None:
+        raise FileNotFoundError("set KERBLINE_TOKENIZERS to the folder of the vocabulary files")
+    return str(Path(spec.origin).parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
