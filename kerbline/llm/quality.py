@@ -1,9 +1,11 @@
 """Problem 8: per-document text statistics that tell prose from lists, tables and junk.
 
-``text_statistics`` gives the plain statistics of whole documents with built-in expressions. ``find_non_prose`` works on
-blocks (parts between blank lines): their standardised statistics are modelled by a Gaussian mixture fitted by
-expectation-maximisation, its components are mapped to kinds by inspected examples of every kind, and a document is
-named after the kind of most of its non-prose text if that is more than half of its text.
+One pass counts words, symbols, lines and more in the blocks (parts between blank lines) of every document.
+``text_statistics`` adds the counts up to statistics of the document. ``find_non_prose`` models the standardised statistics
+of the blocks by a Gaussian mixture fitted by expectation-maximisation, its components are mapped to kinds by inspected
+examples of every kind, and a document is named after the kind of most of its non-prose text if that is more than half
+of its text. Words are runs of letters, marks and digits, perhaps with an apostrophe inside; in Japanese text, which has no
+blanks, runs of hiragana, of katakana and of ideographs are words, and those of hiragana count as function words.
 
 Scale: the statistics of every block of every document are computed once, in one narrow pass, and persisted. Each round of
 expectation-maximisation is a pass over them that gives one row of sums a partition, added up on the driver; every
@@ -47,10 +49,13 @@ COMMON_WORDS = {
 _COMMON = frozenset(w for text in COMMON_WORDS.values() for w in text.split())
 
 _CJK = r"\p{Hiragana}\p{Katakana}\p{Han}ー"
-_WORD = regex.compile(rf"\p{{Hiragana}}+|[\p{{Katakana}}ー]+|\p{{Han}}+|(?:(?![{_CJK}])[^\W_])++(?:['’](?:(?![{_CJK}])[^\W_])++)?")
+_OTHER = rf"[[\p{{L}}\p{{N}}]--[{_CJK}]][[\p{{L}}\p{{M}}\p{{N}}]--[{_CJK}]]*+"
+_WORD = regex.compile(rf"(?V1)(?:\p{{Hiragana}}\p{{M}}*+)++|(?:[\p{{Katakana}}ー]\p{{M}}*+)++|(?:\p{{Han}}\p{{M}}*+)++|{_OTHER}(?:['’]{_OTHER})?")
 _HIRAGANA = regex.compile(r"\p{Hiragana}")
+#: What the plain word pattern does not know.
+_UNUSUAL = regex.compile(rf"[{_CJK}\p{{M}}]")
 _BLOCKS = regex.compile(r"\n[ \t\r\f\v]*+\n\s*+")
-_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Cf}\p{Extended_Pictographic}\p{Emoji_Modifier}\s.,;:!?'\"()\-–—…、。！？「」’‘“”¿¡]")
+_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Cf}\U0001F000-\U0001FAFF\u2600-\u27BF\u2300-\u23FF\u2B00-\u2BFF\s.,;:!?'\"()\-–—…、。！？「」’‘“”¿¡]")
 _ODD_CHAR = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}�▀-◿\u0080-¦¨-º¼-¾×÷ÂÃâ€](?<![\n\t\r])")
 _ODD_WORD = regex.compile(
     r"[^\W_]*?(?:\p{Ll}\p{Lu}|\p{L}\p{Nd}|\p{Nd}\p{L}|q(?!u)|[jqvx][bcdfghjklmnpqrstvwxz]|[bcdfghjkmnpqstvwxz]{4}|[bcdfgkmnptvz][jqx])[^\W_]*+"
@@ -66,6 +71,7 @@ _ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?")
 _LATIN_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _NOT_SYMBOL = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in " \t\n\r\f\v.,;:!?'\"()-\x1c\x1d\x1e\x1f")
 _NOT_DIGIT = bytes(c for c in range(256) if c not in b"0123456789")
+_BLANK = bytes(c for c in range(128) if chr(c).isspace())
 _NOT_CONTROL = bytes(c for c in range(128) if 32 <= c < 127 or c in b"\t\n\r")
 _MARKS = frozenset("-*•‣·–+▪◦[(") | frozenset("0123456789") | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _IDEOGRAPH = regex.compile(rf"[{_CJK}]")
@@ -92,49 +98,57 @@ def _regular(counts: list[int]) -> tuple[float, int]:
     return times / len(counts), best
 
 
-@lru_cache(maxsize=1 << 16)
-def _is_common(word: str) -> bool:
-    return word in _COMMON or bool(_HIRAGANA.match(word))
+class _Flags(dict):
+    """For a word: 1 if it is a function word, plus 2 ** 32 if it looks odd. Forgets all when it has grown large."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        low = word.lower()
+        common = low in _COMMON or bool(_HIRAGANA.match(word))
+        self[word] = flags = common + (bool(low not in _COMMON and _ODD_WORD.fullmatch(word)) << 32)
+        return flags
 
-@lru_cache(maxsize=1 << 16)
-def _is_odd(word: str) -> bool:
-    return word.lower() not in _COMMON and bool(_ODD_WORD.fullmatch(word))
+
+_FLAGS = _Flags()
 
 
 def _ends_sentence(line: str) -> bool:
     return line.rstrip().rstrip("\"'”’)»")[-1:] in _SENTENCE_MARKS
 
 
-def block_statistics(block: str) -> list[float]:
-    """The statistics of a block that the mixture models."""
+def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
+    """(statistics of a block that the mixture models, the counts that add up to those of the document)."""
     lines = [x for x in block.split("\n") if x.strip()]
     n_lines = len(lines)
     ascii_only = block.isascii()
-    ideographs = not ascii_only and bool(_IDEOGRAPH.search(block))
-    word = _ASCII_WORD if ascii_only else _WORD if ideographs else _LATIN_WORD
-    found = word.findall(block)
+    unusual = not ascii_only and bool(_UNUSUAL.search(block))
+    ideographs = unusual and bool(_IDEOGRAPH.search(block))
+    found = (_ASCII_WORD if ascii_only else _WORD if unusual else _LATIN_WORD).findall(block)
     n = len(found)
-    solid = sum(map(len, block.split())) or 1
-    lower = [w.lower() for w in found]
-    common = sum(map(_is_common if ideographs else _COMMON.__contains__, lower))
-    odd_words = sum(map(_is_odd, found))
+    joined = " ".join(found)
+    letters = len(joined) - n + 1 if n else 0
+    lower = joined.lower().split(" ") if n else []
+    flags = sum(map(_FLAGS.__getitem__, found))
+    common, odd_words = flags & 0xFFFFFFFF, flags >> 32
     if ascii_only:  # the same counts by deletion
         raw = block.encode()
-        symbols, digits, odd_chars = (len(raw.translate(None, x)) for x in (_NOT_SYMBOL, _NOT_DIGIT, _NOT_CONTROL))
+        solid, symbols, digits, odd_chars = (len(raw.translate(None, x)) for x in (_BLANK, _NOT_SYMBOL, _NOT_DIGIT, _NOT_CONTROL))
     else:
-        symbols, digits, odd_chars = len(_SYMBOL.findall(block)), sum(map(str.isdecimal, block)), len(_ODD_CHAR.findall(block))
+        solid, symbols, digits, odd_chars = len("".join(block.split())), len(_SYMBOL.findall(block)), sum(map(str.isdecimal, block)), len(_ODD_CHAR.findall(block))
+    solid = solid or 1
     ends = sum(1 for x in lines if _ends_sentence(x))
     cells, width = 0.0, 0
     if n_lines > 1:
-        for counts in ([x.count(d) for x in lines] for d in ("|", "\t", ";", ",", "&", "│")):
-            if any(counts):
-                share, c = _regular(counts)
+        for d in "|\t;,&│":
+            if d in block:
+                share, c = _regular([x.count(d) for x in lines])
                 if c > 1 or share > 0.9:
                     cells, width = max((cells, width), (share, c))
-        # columns parted by blanks have gaps in most lines, though empty cells hide some
-        gaps = [len(_GAP.findall(x.strip())) if "  " in x or "\t" in x else 0 for x in lines]
-        cells, width = max((cells, width), (sum(1 for g in gaps if g > 0) / n_lines * 0.9, max(gaps)))
+        if "  " in block or "\t" in block:
+            # columns parted by blanks have gaps in most lines, though empty cells hide some
+            gaps = [len(_GAP.findall(x.strip())) if "  " in x or "\t" in x else 0 for x in lines]
+            cells, width = max((cells, width), (sum(1 for g in gaps if g > 0) / n_lines * 0.9, max(gaps)))
     parts, marked = [], 0
     for x in lines:
         mark = _MARKER.match(x) if x.lstrip()[0] in _MARKS else None
@@ -147,10 +161,18 @@ def block_statistics(block: str) -> list[float]:
     windows = [lower[i : i + WINDOW] for i in range(0, n, WINDOW)]
     windows = windows[:-1] if len(windows) > 1 and len(windows[-1]) < WINDOW // 2 else windows
     distinct = sum(len(set(w)) / len(w) for w in windows) / len(windows) if windows else 0.0
+    return _statistics(n, n_lines, letters, symbols, digits, solid, common, ends, cells, width, distinct, odd_words, odd_chars, short, len(parts), marked), (
+        n, letters, symbols, solid, ends, n_lines, common,
+    )
+
+
+def _statistics(
+    n: int, n_lines: int, letters: int, symbols: int, digits: int, solid: int, common: int, ends: int, cells: float, width: int, distinct: float, odd_words: int, odd_chars: int, short: int, parts: int, marked: int
+) -> list[float]:
     return [
         common / n if n else 0.0,
         math.log1p(min(40.0, n / n_lines)) if n_lines else 0.0,
-        min(20.0, sum(map(len, found)) / n) if n else 0.0,
+        min(20.0, letters / n) if n else 0.0,
         symbols / solid,
         digits / solid,
         ends / n_lines if n_lines else 0.0,
@@ -159,12 +181,17 @@ def block_statistics(block: str) -> list[float]:
         distinct,
         odd_words / n if n else 0.0,
         min(1.0, odd_chars / solid),
-        short / len(parts) if parts else 0.0,
+        short / parts if parts else 0.0,
         marked / n_lines if n_lines else 0.0,
-        math.log1p(min(len(parts), 12)),
+        math.log1p(min(parts, 12)),
     ]
 
 
+def block_statistics(block: str) -> list[float]:
+    """The statistics of a block that the mixture models."""
+    return block_counts(block)[0]
+
+
 class Mixture:
     """Gaussian mixture with diagonal covariances over standardised statistics."""
 
@@ -174,10 +201,17 @@ class Mixture:
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:
         """Log of weight x density of each component, for rows of raw statistics."""
+        return self._log_densities(self.powers(x))
+
+    def powers(self, x: np.ndarray) -> np.ndarray:
+        """One, the standardised statistics and their squares, side by side."""
         z = (x - self.centre) / self.scale
+        return np.hstack([np.ones((len(z), 1)), z, z * z])
+
+    def _log_densities(self, powers: np.ndarray) -> np.ndarray:
         inverse = 1 / self.variances
-        quadratic = (z**2) @ inverse.T - 2 * z @ (self.means * inverse).T + (self.means**2 * inverse).sum(1)
-        return np.log(self.weights) - 0.5 * (quadratic + np.log(self.variances).sum(1) + z.shape[1] * np.log(2 * np.pi))
+        constant = np.log(self.weights) - 0.5 * ((self.means**2 * inverse).sum(1) + np.log(self.variances).sum(1) + self.means.shape[1] * np.log(2 * np.pi))
+        return powers @ np.hstack([constant[:, None], self.means * inverse, -0.5 * inverse]).T
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
         log = self.log_densities(x)
@@ -206,13 +240,13 @@ def merge_moments(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarra
 def round_sums(model: Mixture, x: np.ndarray) -> np.ndarray:
     """What a round of expectation-maximisation needs of some rows: per component its mass, first and second moments
     (standardised), and in a last row the sum of the log likelihoods. Sums of parts add up."""
-    z = (x - model.centre) / model.scale
-    log = model.log_densities(x)
-    top = log.max(axis=1, keepdims=True)
-    p = np.exp(log - top)
+    powers = model.powers(x)
+    p = model._log_densities(powers)
+    top = p.max(axis=1, keepdims=True)
+    np.exp(np.subtract(p, top, out=p), out=p)
     total = p.sum(axis=1, keepdims=True)
     p /= total
-    sums = np.hstack([p.sum(axis=0)[:, None], p.T @ z, p.T @ z**2])
+    sums = p.T @ powers
     return np.vstack([sums, np.full((1, sums.shape[1]), (np.log(total) + top).sum())])
 
 
@@ -276,20 +310,31 @@ ANCHOR, ANCHOR_DOCS = 20.0, 20_000
 ROWS_AT_ONCE = 4096
 
 
+#: Counts of a document: words, their characters, symbols, characters but white space, lines that end a sentence, lines that
+#: are not blank, function words.
+COUNTS = 7
+
+
 def document_statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, sizes, statistics) of every document with text: the characters of its blocks and, end to end, their statistics."""
+    """(doc_id, sizes, statistics, counts) of every document: the characters of its blocks and, end to end, their statistics;
+    its counts (see ``COUNTS``). Without text the first two are empty and the counts 0."""
     ship_package(documents.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                every = [blocks(t) for t in part.column(1).to_pylist()]
+                every = [blocks(t) if t else [] for t in part.column(1).to_pylist()]
                 sizes = [[len(b) for b in own] for own in every]
-                rows = [[v for b in own for v in block_statistics(b)] for own in every]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "sizes", "statistics"])
+                found = [[block_counts(b) for b in own] for own in every]
+                rows = [[v for x, _ in own for v in x] for own in found]
+                counts = [list(map(sum, zip(*(c for _, c in own)))) or [0] * COUNTS for own in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))],
+                    names=["doc_id", "sizes", "statistics", "counts"],
+                )
 
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("text").isNotNull())
-    return spread(texts).mapInArrow(scan, "doc_id bigint, sizes array<int>, statistics array<double>")
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text")
+    return spread(texts).mapInArrow(scan, "doc_id bigint, sizes array<int>, statistics array<double>, counts array<bigint>")
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -314,6 +359,8 @@ def fit_model(statistics: DataFrame) -> Mixture:
     """The mixture fitted to all blocks of ``document_statistics``; one row of sums a partition reaches the driver."""
     starts, rows, kinds = inspected_statistics()
 
+    with_text = statistics.filter(F.size("sizes") > 0).count()
+
     def part_moments(parts: Iterator[np.ndarray]) -> np.ndarray | None:
         found = None
         for x in parts:
@@ -334,24 +381,16 @@ def fit_model(statistics: DataFrame) -> Mixture:
 
         return sum(_collected(statistics, part_sums)).reshape(len(starts) + 1, 2 * FEATURES + 1)
 
-    anchor = ANCHOR * max(1.0, statistics.count() / ANCHOR_DOCS)
+    anchor = ANCHOR * max(1.0, with_text / ANCHOR_DOCS)
     model = fit_mixture_by(found, sums_of, starts, anchor=anchor)
     map_components(model, rows, kinds)
     return model
 
 
-def _checked(kind: int, statistics: list[float]) -> int:
-    """The exact check of a block's kind: a list or table needs several entries, which a lone short sentence lacks."""
-    parts = np.expm1(statistics[-1])
-    if kind in (1, 2) and parts < 3:
-        return 0
-    return kind
-
-
 def kinds_of(model: Mixture, sizes: list[list[int]], statistics: np.ndarray) -> list[tuple[str | None, list[float]]]:
     """(kind, share of each kind's text) of each document, of the sizes of its blocks and the statistics of all blocks in
     order; the kind is None for a text without content."""
-    found = iter(zip(model.kinds(statistics).tolist(), statistics) if len(statistics) else [])
+    found = iter(model.kinds(statistics).tolist() if len(statistics) else [])
     out: list[tuple[str | None, list[float]]] = []
     for own in sizes:
         if not own:
@@ -359,8 +398,7 @@ def kinds_of(model: Mixture, sizes: list[list[int]], statistics: np.ndarray) ->
             continue
         size = [0] * len(KINDS)
         for n in own:
-            kind, r = next(found)
-            size[_checked(kind, r)] += n
+            size[next(found)] += n
         shares = [x / sum(size) for x in size]
         out.append(("prose" if shares[0] >= 0.5 else max(KINDS[1:], key=lambda k: shares[KINDS.index(k)]), shares))
     return out
@@ -384,7 +422,7 @@ def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
                 ids, kinds, shares = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "kind", "shares"])
 
-    return statistics.mapInArrow(scan, "doc_id bigint, kind string, shares array<double>")
+    return statistics.select("doc_id", "sizes", "statistics").mapInArrow(scan, "doc_id bigint, kind string, shares array<double>")
 
 
 def find_non_prose(documents: DataFrame) -> DataFrame:
@@ -397,28 +435,19 @@ def find_non_prose(documents: DataFrame) -> DataFrame:
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
-    """Plain statistics of every document, with built-in expressions only.
+    """Statistics of every document, from the counts of its blocks.
 
-    doc_id, n_words, mean_word_length, symbol_ratio (characters that are no letters, digits or white space, of all that are no
-    white space), punctuated_lines (share of non-blank lines that end in . ! ? or the like), common_share (share of words
-    that are frequent function words). Words are runs of letters and digits. Null text counts as empty.
+    doc_id, n_words, mean_word_length, symbol_ratio (characters that are no letters, marks, digits, white space, pictographs or
+    plain punctuation, of all that are no white space), punctuated_lines (share of non-blank lines that end a sentence),
+    common_share (share of words that are frequent function words). Markup is no text. Null text counts as empty.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    rows = spread(documents.select("doc_id", "text")).select("doc_id", text.alias("t"))
-    words = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S"))
-    rows = rows.select("doc_id", "t", words.alias("words"), lines.alias("lines"))
-    common = sorted(_COMMON)
-    n = F.size("words")
-    solid = F.length(F.regexp_replace("t", r"\s+", ""))
-    symbols = F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s]+", ""))
-    ended = F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…。！？]\s*$")))
+    n, letters, symbols, solid, ends, lines, common = (F.get("counts", F.lit(i)) for i in range(COUNTS))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return rows.select(
+    return document_statistics(documents).select(
         "doc_id",
-        n.cast("bigint").alias("n_words"),
-        share(F.length(F.array_join("words", "")), n).alias("mean_word_length"),
+        n.alias("n_words"),
+        share(letters, n).alias("mean_word_length"),
         share(symbols, solid).alias("symbol_ratio"),
-        share(ended, F.size("lines")).alias("punctuated_lines"),
-        share(F.size(F.filter("words", lambda w: w.isin(common))), n).alias("common_share"),
+        share(ends, lines).alias("punctuated_lines"),
+        share(common, n).alias("common_share"),
     )

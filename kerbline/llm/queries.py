@@ -83,18 +83,45 @@ _UNMET = (
 )
 
 
+# fixed values, written out here for themselves: frequent function words of the corpus languages
+_FUNCTION_WORDS = """
+the a an and or of to in on at by for from with without as is are was were be been it its this that these those he she we i you they
+not no but so if then than when while until because although after before between behind under over into near next close what who which
+why how our their there here where had has have did do does will would can could up out off all most some any one
+der die das den dem des ein eine einen einem einer und oder in im an am auf aus bei beim mit ohne zu zum zur von vom für ist sind war wird
+nicht kein keine aber auch als so wenn dann nach vor hinter unter über neben wegen trotz es sie er wir ich was wie warum nur noch bis ab
+dazu darum deshalb also etwa nochmals
+le la les l un une des du de d et ou à au aux en dans sur sous par pour avec sans est sont était ne pas plus mais donc si que qui quoi ce
+cette ces il elle on nous vous je reste après avant derrière près malgré alors personne n c s pendant juste
+el la los las un una unos de del y o a al en con sin por para es son era no más pero si que quien esta este esto se lo le su sus nos yo
+después antes detrás cerca aunque así durante hasta unos sigue
+"""
+_BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def _statistics_sql() -> str:
-    words = ", ".join(f"'{w}'" for w in sorted(quality._COMMON))
+    words = ", ".join(f"'{w}'" for w in sorted(set(_FUNCTION_WORDS.split())))
     share = lambda a, b: f"case when {b} > 0 then {a} / {b} else 0.0 end::double"
+    tags = "p|div|span|b|i|u|em|strong|br|ul|ol|li|td|th|tr|table|tbody|thead|h[1-6]|a|s|unk|code|pre|blockquote"
+    laid_out = "t"
+    for pattern, by in (("<tr\\b[^<>]*>", "chr(10)"), ("<t[dh]\\b[^<>]*>", "'|'"), ("<li\\b[^<>]*>", "chr(10) || '- '"), (rf"</?(?:{tags})\b[^<>]*>|<\|[a-z_]+\|>", "''")):
+        laid_out = f"regexp_replace({laid_out}, '{pattern}', {by}, 'gi')"
+    word = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"
+    kana = r"((?:\p{Hiragana}\p{M}*)+|(?:[\p{Katakana}ー]\p{M}*)+|(?:\p{Han}\p{M}*)+)"
+    quote = "''" + '"'
+    plain = rf".,;:!?{quote}()\-–—…、。！？「」’‘“”¿¡"
+    symbol = rf"[^\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}\x{{1F000}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{2300}}-\x{{23FF}}\x{{2B00}}-\x{{2BFF}}{_BLANK}{plain}]"
+    ended = rf"[.!?…。！？:;][{quote}”’)»]*[{_BLANK}]*$"
+    n = "len(words)"
     return (
         "with t as (select doc_id, regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g') as t from documents), "
-        r"s as (select doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words, "
-        r"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) as lines, "
-        r"length(regexp_replace(t, '\s+', '', 'g')) as solid, length(regexp_replace(t, '[\p{L}\p{N}\s]+', '', 'g')) as symbols from t) "
-        f"select doc_id, len(words) as n_words, {share('length(array_to_string(words, chr(0)))', 'len(words)').replace('chr(0)', chr(39) * 2)} as mean_word_length, "
-        f"{share('symbols', 'solid')} as symbol_ratio, "
-        rf"{share('len(list_filter(lines, lambda x: regexp_matches(x, ' + chr(39) + r'[.!?…。！？]\s*$' + chr(39) + ')))', 'len(lines)')} as punctuated_lines, "
-        f"{share(f'len(list_filter(words, lambda w: w in ({words})))', 'len(words)')} as common_share from s"
+        f"m as (select doc_id, case when contains(t, '<') then {laid_out} else t end as t from t), "
+        f"s as (select doc_id, regexp_extract_all(regexp_replace(t, '{kana}', ' \\1 ', 'g'), '{word}(?:[''’]{word})?') as words, "
+        f"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) as lines, "
+        f"length(regexp_replace(t, '[{_BLANK}]+', '', 'g')) as solid, len(regexp_extract_all(t, '{symbol}')) as symbols from m) "
+        f"select doc_id, {n} as n_words, {share(f"length(array_to_string(words, {quote[:2]}))", n)} as mean_word_length, {share("symbols", "solid")} as symbol_ratio, "
+        f"{share(f"len(list_filter(lines, lambda x: regexp_matches(x, '{ended}')))", "len(lines)")} as punctuated_lines, "
+        f"{share(f"len(list_filter(words, lambda w: lower(w) in ({words}) or regexp_matches(w, '^\\p{{Hiragana}}')))", n)} as common_share from s"
     )
 
 

@@ -70,10 +70,17 @@ def test_plain_statistics(spark):
     df = spark.createDataFrame([(1, "The pole.\r\n\r\nIt is #9!"), (2, None), (3, "  ")], "doc_id long, text string")
     rows = {r.doc_id: r for r in Q.text_statistics(df).collect()}
     assert (rows[1].n_words, rows[1].mean_word_length, rows[1].punctuated_lines, rows[1].common_share) == (5, 12 / 5, 1.0, 0.6)
-    assert abs(rows[1].symbol_ratio - 3 / 15) < 1e-9
+    assert abs(rows[1].symbol_ratio - 1 / 15) < 1e-9
     assert tuple(rows[2])[1:] == tuple(rows[3])[1:] == (0, 0.0, 0.0, 0.0, 0.0)
 
 
+def test_words_of_japanese_and_combining_marks(spark):
+    text = "カメラの前に壁がある。\nle mur e\u0301tait la\u0300 l’été"
+    assert Q._WORD.findall(text) == ["カメラ", "の", "前", "に", "壁", "がある", "le", "mur", "e\u0301tait", "la\u0300", "l’été"]
+    row = Q.text_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.common_share, row.punctuated_lines) == (11, 4 / 11, 0.5)
+
+
 def test_model_is_fitted_to_all_blocks_of_all_documents(spark):
     texts = [t for own in HELD_OUT.values() for t in own]
     r = random.Random(4)
