@@ -100,8 +100,8 @@ class _Placed:
         self.rewrite(groups, lambda m: [(by(m[0]), m.start(), m.end())])
 
 
-#: A character with the combining ones behind it, which normalisation may put in another order.
-_CLUSTER = regex.compile(r"(?s).\p{M}*+")
+#: A character that normalisation may change with the combining ones behind it, whose order it may change.
+_CLUSTER = regex.compile(r"[^\x00-\x7F]\p{M}*+|[\x00-\x7F]\p{M}++")
 _ANY = regex.compile(r"(?s).")
 
 
@@ -112,7 +112,11 @@ def placed_words(text: str, vocabulary: dict[str, int] | None = None) -> list[tu
     if not t.text.isascii():
         t.each(lambda c: _MARKS.sub("", unicodedata.normalize("NFKD", c)), _CLUSTER)
     t.rewrite(_TAG, lambda m: [(" ", m.start(), m.end())])
-    t.each(str.casefold, _ANY)
+    folded = t.text.casefold()
+    if len(folded) == len(t.text):  # no character became several
+        t.text = folded
+    else:
+        t.each(str.casefold, _ANY)
     t.rewrite(_QUOTES, lambda m: [])
     if vocabulary:
         t.rewrite(_BROKEN, lambda m: [(m[1], *m.span(1)), *([] if m[1] + m[2] in vocabulary else [(" ", m.end(1), m.start(2))]), (m[2], *m.span(2))])
@@ -327,8 +331,8 @@ class Matcher:
         self.share = share
         self.automaton = SuffixAutomaton(self.items, [seed_length(len(w), share) for w in self.items])
 
-    def find(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int, int, int]], list[tuple[int, int]]]]:
-        """(item id, share of the item's words, passages, their ranges in the text) of every item that the text repeats."""
+    def find(self, text: str | None, ranges: bool = True) -> list[tuple[int, float, list[tuple[int, int, int, int, int]], list[tuple[int, int]]]]:
+        """(item id, share of the item's words, passages, their ranges in the text if wanted) of every item that the text repeats."""
         if not text or not self.items:
             return []
         get = self.vocabulary.get
@@ -345,8 +349,9 @@ class Matcher:
             found = passages(document, item, self.pairs[k])
             matched = sum(p[0] for p in found)
             if found and matched >= least:
-                places = places or placed_words(text, self.vocabulary)
-                out.append((self.ids[k], matched / len(item), found, [(places[p[1]][1], places[p[2] - 1][2]) for p in found]))
+                if ranges:
+                    places = places or placed_words(text, self.vocabulary)
+                out.append((self.ids[k], matched / len(item), found, [(places[p[1]][1], places[p[2] - 1][2]) if places else (None, None) for p in found]))
         return out
 
 
@@ -376,7 +381,7 @@ def _shards(documents: DataFrame, items: DataFrame, shard_words: int) -> list[tu
     return [*out, (uuid.uuid4().hex, sc.broadcast(part))] if part else out
 
 
-def _searched(batches: Iterator[pa.RecordBatch], shards: list, share: float) -> Iterator[tuple[list, list, list[list]]]:
+def _searched(batches: Iterator[pa.RecordBatch], shards: list, share: float, ranges: bool) -> Iterator[tuple[list, list, list[list]]]:
     """(document ids, texts, findings of each text) for batches of documents, a bounded number of characters at a time."""
 
     def search(ids: list, texts: list) -> tuple[list, list, list[list]]:
@@ -384,7 +389,7 @@ def _searched(batches: Iterator[pa.RecordBatch], shards: list, share: float) ->
         for key, items in shards:
             matcher = _matcher(key, items.value, share)
             for own, text in zip(found, texts):
-                own += matcher.find(text)
+                own += matcher.find(text, ranges)
         return ids, texts, found
 
     ids, texts, held = [], [], 0
@@ -403,9 +408,9 @@ _PASSAGE = ("words", "doc_from", "doc_to", "item_from", "item_to", "start", "sto
 RESULT_SCHEMA = "doc_id bigint, item_id bigint, share double, passages array<struct<" + ",".join(f"{n}:int" for n in _PASSAGE) + ">>"
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE, shard_words: int = SHARD_WORDS, ranges: bool = False) -> DataFrame:
     """(doc_id, item_id, share, passages): every document with every item it repeats. A passage has its number of matched
-    words, its word positions in document and item (ends exclusive) and its range of characters in the document.
+    words, its word positions in document and item (ends exclusive) and, if wanted, its range of characters in the document.
 
     Reads the items when called.
     """
@@ -413,7 +418,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHARE,
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in _PASSAGE]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, found in _searched(batches, shards, share):
+        for ids, _, found in _searched(batches, shards, share, ranges):
             rows = [(doc, item, covered, [dict(zip(_PASSAGE, (*p, *s))) for p, s in zip(ps, spans)]) for doc, own in zip(ids, found) for item, covered, ps, spans in own]
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), kind))], names=["doc_id", "item_id", "share", "passages"])
@@ -448,7 +453,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, share: float = MIN_SHAR
     shards = _shards(documents, items, shard_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sources, every in _searched(batches, shards, share):
+        for ids, sources, every in _searched(batches, shards, share, True):
             texts, dropped = [], []
             for text, found in zip(sources, every):
                 spans = merged([s for _, _, _, own in found for s in own])
