@@ -62,8 +62,8 @@ _ODD_WORD = regex.compile(
     r"|[bcdfghjklmnpqrstvwxz]{3,}|(?=[a-f]*\d?[a-f])[0-9a-f]{2}"
 )
 _MARKER = regex.compile(r"\s*+(?:[-*•‣·–+▪◦]\s|\[[ xX]?\]|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s)")
-_SENTENCE_MARKS = frozenset(".!?…。！？:;")
-_PART = re.compile(r"[,;、|\t]|\s{2,}")
+_ENDED = re.compile(r"[.!?…。！？:;][\"'”’)»]*[^\S\n]*$", re.M)
+_PART = re.compile(r"[,;、|\t\n]|\s{2,}")
 _GAP = re.compile(r"\S(?:\t|  +)(?=\S)|\t")
 _ITEM, _CELL, _ROW = regex.compile(r"<li\b[^<>]*>", regex.I), regex.compile(r"<t[dh]\b[^<>]*>", regex.I), regex.compile(r"<tr\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?(?:p|div|span|b|i|u|em|strong|br|ul|ol|li|td|th|tr|table|tbody|thead|h[1-6]|a|s|unk|code|pre|blockquote)\b[^<>]*>|<\|[a-z_]+\|>", regex.I)
@@ -113,10 +113,6 @@ class _Flags(dict):
 _FLAGS = _Flags()
 
 
-def _ends_sentence(line: str) -> bool:
-    return line.rstrip().rstrip("\"'”’)»")[-1:] in _SENTENCE_MARKS
-
-
 def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
     """(statistics of a block that the mixture models, the counts that add up to those of the document)."""
     lines = [x for x in block.split("\n") if x.strip()]
@@ -137,7 +133,7 @@ def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
     else:
         solid, symbols, digits, odd_chars = len("".join(block.split())), len(_SYMBOL.findall(block)), sum(map(str.isdecimal, block)), len(_ODD_CHAR.findall(block))
     solid = solid or 1
-    ends = sum(1 for x in lines if _ends_sentence(x))
+    ends = len(_ENDED.findall(block))
     cells, width = 0.0, 0
     if n_lines > 1:
         for d in "|\t;,&│":
@@ -149,18 +145,29 @@ def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
             # columns parted by blanks have gaps in most lines, though empty cells hide some
             gaps = [len(_GAP.findall(x.strip())) if "  " in x or "\t" in x else 0 for x in lines]
             cells, width = max((cells, width), (sum(1 for g in gaps if g > 0) / n_lines * 0.9, max(gaps)))
-    parts, marked = [], 0
-    for x in lines:
-        mark = _MARKER.match(x) if x.lstrip()[0] in _MARKS else None
-        if mark:
+    marked = 0
+    for i, x in enumerate(lines):
+        if x.lstrip()[0] in _MARKS and (mark := _MARKER.match(x)):
             marked += 1
-            x = x[mark.end() :]
-        parts += [p for p in _PART.split(x) if p.strip()]
-    # three ideographs or kana count as a word
-    short = sum(1 for p in parts if len(p.split()) + (len(_IDEOGRAPH.findall(p)) // 3 if ideographs else 0) <= 4)
-    windows = [lower[i : i + WINDOW] for i in range(0, n, WINDOW)]
-    windows = windows[:-1] if len(windows) > 1 and len(windows[-1]) < WINDOW // 2 else windows
-    distinct = sum(len(set(w)) / len(w) for w in windows) / len(windows) if windows else 0.0
+            lines[i] = x[mark.end() :]
+    body = "\n".join(lines)
+    if ascii_only and "  " not in body:  # the same by faster means
+        for d in ",;|\t":
+            if d in body:
+                body = body.replace(d, "\n")
+        parts = [p for p in body.split("\n") if p and not p.isspace()]
+    else:
+        parts = [p for p in _PART.split(body) if p and not p.isspace()]
+    if ideographs:  # three ideographs or kana count as a word
+        short = sum(1 for p in parts if len(p.split()) + len(_IDEOGRAPH.findall(p)) // 3 <= 4)
+    else:
+        short = sum(1 for p in parts if len(p.split()) <= 4)
+    if n <= WINDOW:
+        distinct = len(set(lower)) / n if n else 0.0
+    else:
+        windows = [lower[i : i + WINDOW] for i in range(0, n, WINDOW)]
+        windows = windows[:-1] if len(windows[-1]) < WINDOW // 2 else windows
+        distinct = sum(len(set(w)) / len(w) for w in windows) / len(windows)
     return _statistics(n, n_lines, letters, symbols, digits, solid, common, ends, cells, width, distinct, odd_words, odd_chars, short, len(parts), marked), (
         n, letters, symbols, solid, ends, n_lines, common,
     )
