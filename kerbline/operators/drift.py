@@ -1,10 +1,12 @@
 """Problem 3: schemas that drift between files, reported change by change and unified.
 
 The files of a campaign are put in order of recording. Each is compared with the one before it: the names that
-vanished and the names that appeared form a bipartite graph whose edges are scored by role, place, value sketch
-and name similarity; a maximum-weight matching gives the renames, the rest is removed or added. Each field
-carries the type of its last values and its first name through renames, which gives type changes and one
-consistent name per field.
+vanished and the names that appeared form a bipartite graph whose edges are scored by role, place, likeness of
+value sketches (type, range, values, length, characters) and name similarity; a maximum-weight matching gives the renames, the
+rest is removed or added. Role and place tell a rename by themselves and outweigh everything else; where they tell nothing,
+columns whose sketches and names are alike are renames too, unless ``told_only`` asks for role or place (an exact check
+behind the matching). Each field carries the type of its last values, which its sketch gives, and its first name through
+renames, which gives type changes and one consistent name per field.
 
 Scale: following fields is sequential inside a campaign, yet a campaign may hold a third of all files. Files are
 therefore range-partitioned by (campaign, time), so that a large campaign spans many tasks. A first pass describes
@@ -22,6 +24,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +34,10 @@ from kerbline.functions.text import is_blank, strip
 from kerbline.session import checkpoint_ready, ship_package
 
 ROLES = ("class_col", "object_col", "distance_col", "xmin_col", "ymin_col", "xmax_col", "ymax_col", "polygon_x_col", "polygon_y_col")
-BY_ROLE, BY_PLACE = 100.0, 10.0
+#: Weights of a rename's evidence. A role outweighs two places, a place two pairs that are alike in all content.
+BY_ROLE, BY_PLACE, BY_SKETCH, BY_NAME = 100.0, 20.0, 4.0, 2.0
+#: Content alone makes a rename from this weight on.
+ALIKE = 3.2
 #: Marks state that a partition inherits from the one before it.
 INHERITED = "\x00"
 
@@ -45,15 +51,23 @@ def _name(col: Column | str) -> Column:
 
 
 def value_sketch(samples: Column | str) -> Column:
-    """``type:length`` of ``|``-joined sample values (length: mean, rounded); null without values."""
+    """``type:lowest:highest:mean length:digits:values`` of ``|``-joined sample values; null without values.
+
+    The range is that of numbers (else empty), digits are in percent of all characters, values are hashes of the distinct ones.
+    """
+    samples = F.col(samples) if isinstance(samples, str) else samples
     values = F.split(samples, r"\|", -1)
     kind = (
         F.when(F.forall(values, lambda v: v.rlike(r"\A\d+\z")), "integer")
         .when(F.forall(values, lambda v: v.rlike(r"\A\d+(?:[.,]\d+)?\z")), "decimal")
         .otherwise("text")
     )
+    numbers = F.transform(values, lambda v: F.replace(v, F.lit(","), F.lit(".")).try_cast("double"))
+    bound = lambda of: F.coalesce(F.when(kind != "text", of(numbers)).cast("string"), F.lit(""))
     length = F.round(F.length(samples) / F.size(values)).cast("int").cast("string")
-    return F.when(~is_blank(samples), F.concat_ws(":", kind, length))
+    digits = F.round(100 * F.regexp_count(samples, F.lit(r"\d")) / F.length(samples)).cast("int").cast("string")
+    hashes = F.array_join(F.transform(F.array_distinct(values), lambda v: F.pmod(F.xxhash64(F.lower(strip(v))), F.lit(1 << 20)).cast("string")), ",")
+    return F.when(~is_blank(samples), F.concat_ws(":", kind, bound(F.array_min), bound(F.array_max), length, digits, hashes))
 
 
 def campaign_files(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame:
@@ -107,6 +121,21 @@ def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, size + 1) if owner[j] - 1 < rows and j - 1 < cols and weights[owner[j] - 1][j - 1] > 0]
 
 
+def likeness(a: tuple[str, str], b: tuple[str, str]) -> float:
+    """0 to 1: how alike the values behind two sketches (type, rest) are."""
+    (low_a, high_a, length_a, digits_a, values_a), (low_b, high_b, length_b, digits_b, values_b) = (x[1].split(":") for x in (a, b))
+    kinds = 1.0 if a[0] == b[0] else 0.5 if "text" not in (a[0], b[0]) else 0.0
+    x, y = set(values_a.split(",")), set(values_b.split(","))
+    same = len(x & y) / len(x | y)
+    if low_a and low_b:  # share of the joint range that both cover
+        lows, highs = sorted((float(low_a), float(low_b))), sorted((float(high_a), float(high_b)))
+        spread = (max(0.0, highs[0] - lows[1]) + 1) / (highs[1] - lows[0] + 1)
+    else:
+        spread = same
+    lengths = (min(int(length_a), int(length_b)) + 1) / (max(int(length_a), int(length_b)) + 1)
+    return 0.35 * kinds + 0.2 * same + 0.2 * spread + 0.15 * lengths + 0.1 * (1 - abs(int(digits_a) - int(digits_b)) / 100)
+
+
 class File:
     """A file's header as the comparison needs it."""
 
@@ -120,7 +149,7 @@ class File:
         self.columns = list(self.place)
         self.roles = roles.split("\x1f")
         pairs = [s.split("\x1f") for s in sketches.split("\x1e")] if sketches else []
-        self.sketch = {p[0]: p[1].partition(":") for p in pairs if len(p) == 2}
+        self.sketch: dict[str, tuple[str, str]] = {p[0]: p[1].partition(":")[::2] for p in pairs if len(p) == 2}
 
     def pack(self) -> list:
         return [list(self.place.items()), self.roles, {k: list(v) for k, v in self.sketch.items()}]
@@ -133,30 +162,62 @@ class File:
         return self
 
 
-def renames(before: File, now: File) -> dict[str, str]:
+def told(before: File, now: File, a: str, b: str) -> float:
+    """What roles and places say for ``a`` going on as ``b``: the weight of the best evidence, 0 without any."""
+    score = 0.0
+    for x, y in zip(before.roles, now.roles):
+        if x and y:
+            score = max(score, BY_ROLE if (x, y) == (a, b) else 0.0)
+        elif before.place[a] == now.place[b] and x in ("", a) and y in ("", b):  # the role is unknown in one of the files
+            known_elsewhere = (a in before.roles and x != a) or (b in now.roles and y != b)
+            score = max(score, 0.0 if known_elsewhere else BY_PLACE)
+    return score
+
+
+def content(before: File, now: File, a: str, b: str) -> float:
+    """What sketches and names say for ``a`` going on as ``b``."""
+    s, t = before.sketch.get(a), now.sketch.get(b)
+    return BY_SKETCH * (likeness(s, t) if s and t else 0.0) + BY_NAME * SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def renames(before: File, now: File, told_only: bool = False) -> dict[str, str]:
     """Names of ``before`` to their new names in ``now``."""
     gone = [c for c in before.columns if c not in now.place]
     new = [c for c in now.columns if c not in before.place]
-    if not gone or not new:
-        return {}
-
-    def weight(a: str, b: str) -> float:
-        score = 0.0
-        for x, y in zip(before.roles, now.roles):
-            if x and y:
-                told = BY_ROLE if (x, y) == (a, b) else 0.0
-            else:  # the role is unknown in one of the files: the place decides
-                fits = before.place[a] == now.place[b] and x in ("", a) and y in ("", b)
-                known_elsewhere = (a in before.roles and x != a) or (b in now.roles and y != b)
-                told = BY_PLACE if fits and not known_elsewhere else 0.0
-            score = max(score, told)
-        if score:  # sketches and names only decide between candidates of the same kind
-            s, t = before.sketch.get(a), now.sketch.get(b)
-            alike = bool(s and t) and 0.4 * (s[0] == t[0]) + 0.3 / (1 + abs(int(s[2]) - int(t[2])))
-            score += alike + 0.2 * SequenceMatcher(None, a, b, autojunk=False).ratio()
-        return score
-
-    return {gone[i]: new[j] for i, j in assign([[weight(a, b) for b in new] for a in gone])}
+    edges: dict[str, dict[str, float]] = {}
+    for a in gone:
+        for b in new:
+            sure, alike = told(before, now, a, b), content(before, now, a, b)
+            if sure or alike >= ALIKE:
+                edges.setdefault(a, {})[b] = sure + alike
+    matched = match(edges)
+    return {a: b for a, b in matched.items() if told(before, now, a, b)} if told_only else matched
+
+
+def match(edges: dict[str, dict[str, float]]) -> dict[str, str]:
+    """Maximum-weight matching of a sparse bipartite graph, solved for each connected part by itself."""
+    out: dict[str, str] = {}
+    by_new: dict[str, list[str]] = {}
+    for a, own in edges.items():
+        for b in own:
+            by_new.setdefault(b, []).append(a)
+    left = dict.fromkeys(edges)
+    while left:
+        todo, olds, news = [next(iter(left))], {}, {}
+        while todo:
+            a = todo.pop()
+            if a in left:
+                del left[a]
+                olds[a] = None
+                for b in edges[a]:
+                    news[b] = None
+                    todo += by_new[b]
+        olds, news = list(olds), list(news)
+        if len(olds) == len(news) == 1:
+            out[olds[0]] = news[0]
+        else:
+            out |= {olds[i]: news[j] for i, j in assign([[edges[a].get(b, 0.0) for b in news] for a in olds])}
+    return out
 
 
 #: State of a campaign: its last file, and of each of that file's columns the type of its last values, the name
@@ -164,7 +225,7 @@ def renames(before: File, now: File) -> dict[str, str]:
 State = tuple[File, dict[str, tuple[str, str, str]]]
 
 
-def step(state: State | None, now: File, changes: list | None = None) -> State:
+def step(state: State | None, now: File, changes: list | None = None, told_only: bool = False) -> State:
     """The state after ``now``; what changed is appended to ``changes``."""
     inherited: dict[str, tuple[str, str, str]] = {}
     if state is not None:
@@ -172,7 +233,7 @@ def step(state: State | None, now: File, changes: list | None = None) -> State:
         if before.columns == now.columns:
             inherited = known
         else:
-            moved = renames(before, now)
+            moved = renames(before, now, told_only)
             for c in before.columns:
                 name = moved.get(c, c if c in now.place else None)
                 if name is not None:
@@ -202,9 +263,9 @@ def _unknown_start(now: File) -> State:
     return now, info
 
 
-def _settle(state: State, start: State | None, first: File) -> State:
+def _settle(state: State, start: State | None, first: File, told_only: bool) -> State:
     """Replace what ``state`` inherited from before ``first`` by what ``start`` says."""
-    _, known = step(start, first)
+    _, known = step(start, first, None, told_only)
 
     def of(x: tuple[str, str, str]) -> tuple[str, str, str]:
         kind, then, canon = x
@@ -221,21 +282,21 @@ def _files(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield int(pid), campaign, sequence, label, File(columns, roles, sketches if isinstance(sketches, str) else None)
 
 
-def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _effects(told_only: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per partition: its first campaign and file, its last campaign and the state it ends with."""
     first, state, campaign, pid = None, None, None, -1
     for pid, now_in, _, _, f in _files(batches):
         if first is None:
             first, state = (now_in, f), _unknown_start(f)
         else:
-            state = step(state if now_in == campaign else None, f)
+            state = step(state if now_in == campaign else None, f, None, told_only)
         campaign = now_in
     if first is not None:
         text = json.dumps([first[0], first[1].pack(), campaign, state[0].pack(), state[1]])
         yield pd.DataFrame({"pid": [pid], "effect": [text]})
 
 
-def _entry_states(effects: list[tuple[int, str]]) -> dict[int, tuple[str, list, dict]]:
+def _entry_states(effects: list[tuple[int, str]], told_only: bool) -> dict[int, tuple[str, list, dict]]:
     """The state that enters each partition whose first campaign began in an earlier one."""
     entries, campaign, state = {}, None, None
     for pid, text in sorted(effects):
@@ -245,12 +306,12 @@ def _entry_states(effects: list[tuple[int, str]]) -> dict[int, tuple[str, list,
         if start is not None:
             entries[pid] = (campaign, start[0].pack(), start[1])
         # a state of a campaign that began in this partition inherits nothing
-        state = _settle(end, start, File.unpack(first)) if first_in == last_in else end
+        state = _settle(end, start, File.unpack(first), told_only) if first_in == last_in else end
         campaign = last_in
     return entries
 
 
-def _staged(profiles: DataFrame, column_profiles: DataFrame) -> tuple[DataFrame, dict]:
+def _staged(profiles: DataFrame, column_profiles: DataFrame, told_only: bool) -> tuple[DataFrame, dict]:
     spark = profiles.sparkSession
     ship_package(spark)
     checkpoint_ready(spark)
@@ -259,11 +320,11 @@ def _staged(profiles: DataFrame, column_profiles: DataFrame) -> tuple[DataFrame,
     ordered = campaign_files(profiles, column_profiles).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # both passes must see the same partitions, also after the loss of an executor
     staged = ordered.withColumn("pid", F.spark_partition_id()).select("pid", "campaign_id", "sequence_id", "label_v2_csv", "columns", "roles", "sketches").checkpoint()
-    effects = staged.mapInPandas(_effects, "pid int, effect string").collect()  # one row per partition
-    return staged, _entry_states([(r.pid, r.effect) for r in effects])
+    effects = staged.mapInPandas(partial(_effects, told_only), "pid int, effect string").collect()  # one row per partition
+    return staged, _entry_states([(r.pid, r.effect) for r in effects], told_only)
 
 
-def _walk(entries: dict, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _walk(entries: dict, told_only: bool, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """(campaign, sequence, label, changes, state after the file) of every file, in order."""
     campaign, state = None, None
     for k, (pid, now_in, sequence, label, f) in enumerate(_files(batches)):
@@ -272,17 +333,17 @@ def _walk(entries: dict, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         elif now_in != campaign:
             state = None
         campaign, changes = now_in, []
-        state = step(state, f, changes)
+        state = step(state, f, changes, told_only)
         yield now_in, sequence, label, changes, state
 
 
-def schema_changes(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame:
-    """(sequence_id, change_kind, old_name, new_name), distinct. Runs one job when called (see the module)."""
-    staged, entries = _staged(profiles, column_profiles)
+def schema_changes(profiles: DataFrame, column_profiles: DataFrame, told_only: bool = False) -> DataFrame:
+    """(sequence_id, change_kind, old_name, new_name), distinct. ``told_only``: only renames that role or place tell. Runs one job when called (see the module)."""
+    staged, entries = _staged(profiles, column_profiles, told_only)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for _, sequence, _, changes, _ in _walk(entries, batches):
+        for _, sequence, _, changes, _ in _walk(entries, told_only, batches):
             found += dict.fromkeys((sequence, *c) for c in changes)
             if len(found) > 5000:
                 yield pd.DataFrame(found, columns=["sequence_id", "change_kind", "old_name", "new_name"])
@@ -292,15 +353,15 @@ def schema_changes(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame
     return staged.mapInPandas(run, CHANGE_SCHEMA).distinct()
 
 
-def unified_fields(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame:
+def unified_fields(profiles: DataFrame, column_profiles: DataFrame, told_only: bool = False) -> DataFrame:
     """(campaign_id, sequence_id, label_v2_csv, column_name, field_name): each file's columns under the name with
     which the field began in its campaign. Joined with loaded label rows it gives one consistent table."""
-    staged, entries = _staged(profiles, column_profiles)
+    staged, entries = _staged(profiles, column_profiles, told_only)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["campaign_id", "sequence_id", "label_v2_csv", "column_name", "field_name"]
         found: list[tuple] = []
-        for campaign, sequence, label, _, (_, info) in _walk(entries, batches):
+        for campaign, sequence, label, _, (_, info) in _walk(entries, told_only, batches):
             found += [(campaign, sequence, label, c, canon) for c, (_, _, canon) in info.items()]
             if len(found) > 5000:
                 yield pd.DataFrame(found, columns=names)

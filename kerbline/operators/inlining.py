@@ -8,9 +8,11 @@ of their parent row as keys.
 
 Two passes of a vectorised Python parser run over the payloads, since no built-in expression walks a document of
 unknown depth: the first returns distinct edges per batch, which are reduced by a grouping; the second
-writes the rows. The graph has the size of the schema, not of the data; its size is checked (``MAX_EDGES``). Past
-that bound single objects are inlined everywhere, which keeps all rows. Nothing else is shared between tasks, and
-the second pass has no shuffle, so a hot record id or group cannot matter.
+writes the rows, and looks for them only where the graph has any. The graph has the size of the schema, not of the data. Up
+to ``LOCAL_EDGES`` edges it is analysed on the driver; a larger one (keys that are data) is analysed on the cluster with
+the same result, and only the names that tasks must know reach them: those of elements that are single objects in
+one place and repeated, shared or recursive in another. Nothing else is shared between tasks, and the second pass has no
+shuffle, so a hot record id or group cannot matter.
 
 Defined results: a null payload, a payload that is not exactly one JSON object (blanks around it and a leading byte
 order mark aside) and absent, null or scalar root keys give no rows; of repeated keys the last counts; NaN and
@@ -27,11 +29,13 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from kerbline.session import ship_package, spread
+from kerbline.session import checkpoint_ready, ship_package, spread
 
 ROOTS = ("tags", "customFieldValues")
-MAX_EDGES = 20_000
+#: Edges that the driver analyses itself, and that a task remembers having sent.
+LOCAL_EDGES = 20_000
 ROW_SCHEMA = (
     "record_id bigint, element string, kind string, repeated boolean, parent_path string, enclosing_path string, node_path string, attributes map<string,string>"
 )
@@ -145,10 +149,13 @@ def edges_of(document: dict, roots: Sequence[str]) -> set[tuple[str, str, bool]]
     return found
 
 
-def rows_of(document: dict, roots: Sequence[str], own_table: frozenset[str], attributes: bool = True) -> Iterator[tuple]:
-    """(element, kind, repeated, parent_path, enclosing_path, node_path, attributes) of every row that a document gives."""
+def rows_of(document: dict, roots: Sequence[str], own_table: frozenset[str], attributes: bool = True, objects: frozenset[str] | None = None) -> Iterator[tuple]:
+    """(element, kind, repeated, parent_path, enclosing_path, node_path, attributes) of every row that a document gives.
+
+    ``objects``: the elements of the graph; arrays of other elements, which hold no objects, are left out (None: none are).
+    """
     # element, value, path, path of the parent row, path of the nearest array member around it, repeated
-    todo: list[tuple] = [(key, x, f"{key}[{i}]", "", "", True) for key, xs in _starts(document, roots) for i, x in enumerate(xs)]
+    todo: list[tuple] = [(key, x, f"{key}[{i}]", "", "", True) for key, xs in _starts(document, roots) if objects is None or key in objects for i, x in enumerate(xs)]
     while todo:
         name, value, path, parent, member, repeated = todo.pop()
         if isinstance(value, list):  # an array in an array
@@ -165,7 +172,8 @@ def rows_of(document: dict, roots: Sequence[str], own_table: frozenset[str], att
             for k, x in obj.items():
                 here = f"{at}.{k}"
                 if isinstance(x, list):
-                    todo += [(k, y, f"{here}[{i}]", path, around, True) for i, y in enumerate(x)]
+                    if objects is None or k in objects:
+                        todo += [(k, y, f"{here}[{i}]", path, around, True) for i, y in enumerate(x)]
                 elif isinstance(x, dict) and k in own_table:
                     todo.append((k, x, here, path, around, False))
                 elif isinstance(x, dict):
@@ -187,7 +195,7 @@ def schema_graph(records: DataFrame, payload: str = "payload", roots: Sequence[s
                 document = parse_object(text)
                 if document:
                     new |= edges_of(document, roots) - known
-            if len(known) < MAX_EDGES:
+            if len(known) < LOCAL_EDGES:
                 known |= new
             rows = list(new)
             yield pa.RecordBatch.from_arrays(
@@ -219,25 +227,46 @@ def tables_of(edges: Sequence[tuple[str, str, bool]]) -> frozenset[str]:
     return frozenset(own | (left.keys() & parents.keys()))
 
 
-def shred(records: DataFrame, *, id_col: str = "record_id", payload: str = "payload", roots: Sequence[str] = ROOTS, attributes: bool = True) -> DataFrame:
+def single_tables(graph: DataFrame) -> DataFrame:
+    """(element): ``tables_of`` of a graph of any size, of elements that are single objects somewhere, found on the cluster."""
+    checkpoint_ready(graph.sparkSession)
+    edges = graph.select("parent", "child").distinct()
+    shared = edges.groupBy(F.col("child").alias("element")).agg(F.count("*").alias("n")).filter("n > 1").select("element")
+    left, n = edges.filter("parent <> ''").checkpoint(), -1
+    while n != (n := left.count()):  # edges to elements without children are peeled off until only cycles and what leads to them remain
+        left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").checkpoint()
+    cyclic = left.select(F.col("parent").alias("element")).distinct().join(edges.select(F.col("child").alias("element")).distinct(), "element", "left_semi")
+    own = graph.filter("repeated").select(F.col("child").alias("element")).unionByName(shared).unionByName(cyclic).distinct()
+    return own.join(graph.filter("not repeated").select(F.col("child").alias("element")).distinct(), "element", "left_semi")
+
+
+def shred(
+    records: DataFrame, *, id_col: str = "record_id", payload: str = "payload", roots: Sequence[str] = ROOTS, attributes: bool = True, local_edges: int = LOCAL_EDGES
+) -> DataFrame:
     """All rows of all tables: record_id, element (the table), kind (object or value), repeated, parent_path,
     enclosing_path, node_path, attributes.
 
     (record_id, node_path) is the key of a row, (record_id, parent_path) refers to its parent row; an empty
     parent_path refers to the record. ``enclosing_path`` is the nearest array member around the row. ``attributes``
-    holds the scalar and inlined fields; ``attributes=False`` leaves it null when only keys are needed. Runs one
-    job over the payloads when called (the schema graph).
+    holds the scalar and inlined fields; ``attributes=False`` leaves it null and leaves out arrays without objects, when only
+    the keys of objects are needed. Runs one job over the payloads when called (the schema graph).
     """
-    graph = schema_graph(records, payload, roots).limit(MAX_EDGES + 1).collect()
-    own = tables_of([tuple(e) for e in graph]) if len(graph) <= MAX_EDGES else frozenset()
+    graph = schema_graph(records, payload, roots)
+    edges = [tuple(e) for e in graph.limit(local_edges + 1).collect()]
+    if len(edges) <= local_edges:
+        own, objects = tables_of(edges), frozenset(child for _, child, _ in edges)
+    else:
+        own, objects = frozenset(r.element for r in single_tables(graph.persist(StorageLevel.MEMORY_AND_DISK)).toLocalIterator()), None
+    known = records.sparkSession.sparkContext.broadcast((own, None if attributes else objects))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_table, with_objects = known.value
         for batch in batches:
             rows: list[tuple] = []
             for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 document = parse_object(text)
                 if document:
-                    rows += [(record, *r) for r in rows_of(document, roots, own, attributes)]
+                    rows += [(record, *r) for r in rows_of(document, roots, own_table, attributes, with_objects)]
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []

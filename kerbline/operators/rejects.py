@@ -1,15 +1,16 @@
 """Problem 1: rows that fail to parse, separated with a reason while the valid ones are loaded.
 
-Every record is read as nullable text, split by the separator of its file's header, and judged by cast and
-constraint rules that are evaluated column-wise into one error array per row. Rows whose array is empty are
-loaded with types; the others keep their text and get the array.
+Every record is read as nullable text, split by the separator of its file's header, and judged by constraint rules (the
+form of a value) and casts (the very ones that load it) that are evaluated column-wise into one error array per
+row. Rows whose array is empty are loaded with types; the others keep their text and get the array, so no value is lost.
 
 Scale: a file's header has to meet each of its lines. One file may hold a third of all rows, so lines are
 joined on (file, block of line numbers), not on the file alone; the header side is repeated once per block that
 occurs. Nothing is broadcast or collected, and everything runs inside the JVM.
 
 Defined results: a line without a header line in its file gets ``missing_header``; a null text is an empty
-record; a null or repeated line number is allowed; of several header lines of one file the one with the smallest
+record; a number that its type cannot hold (a whole one of more than 38 digits, one beyond the doubles) is an invalid value;
+a null or repeated line number is allowed; of several header lines of one file the one with the smallest
 id counts; an empty input gives empty outputs; other input columns are ignored, so their names cannot clash.
 """
 
@@ -31,6 +32,8 @@ DISTANCE_NAMES = ("distance_mm", "distance", "important distance", "important di
 CLASS_NAMES = ("class", "label class", "class_id", "category code", "kind")
 OBJECT_NAMES = ("which object", "label_object", "object")
 FRAME_NAME = "frame_idx"
+#: Texts up to this length are within the range of doubles.
+SAFE_LENGTH = 300
 
 
 def _field(sep: str) -> str:
@@ -67,6 +70,15 @@ def _fields(text: Column, sep: Column) -> Column:
     )
 
 
+def as_point(text: Column, sep: Column) -> Column:
+    """A number's text with a point as decimal mark; files parted by semicolons have a comma."""
+    return F.when(sep == ";", F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
+
+
+def as_frame(text: Column) -> Column:
+    return text.try_cast("decimal(38,0)")
+
+
 def _positions(names: Column, test) -> Column:
     """1-based positions of the names for which ``test`` holds."""
     hits = F.transform(names, lambda x, i: F.when(test(x), i + 1))
@@ -120,7 +132,9 @@ def judge_lines(
     def bad(positions: str, point: str, decimal_comma: str) -> Column:
         def wrong(i: Column) -> Column:
             v = F.try_element_at(F.col("fields"), i)
-            return ~F.when(comma, v.rlike(decimal_comma)).otherwise(v.rlike(point))
+            numbers = F.split(F.regexp_replace(as_point(v, F.col("sep")), " *(mm|cm|m)$", ""), " ")
+            too_large = (F.length(v) > SAFE_LENGTH) & F.exists(numbers, lambda x: F.coalesce(x.try_cast("double") == float("inf"), F.lit(True)))
+            return ~F.when(comma, v.rlike(decimal_comma)).otherwise(v.rlike(point)) | too_large
 
         return F.filter(positions, wrong)
 
@@ -132,7 +146,7 @@ def judge_lines(
         return pattern(r"\.", form), pattern(",", form)
 
     bad_at = F.concat(
-        F.filter("frame_at", lambda i: ~F.try_element_at(F.col("fields"), i).rlike(r"\A\d+\z")),
+        F.filter("frame_at", lambda i: ~F.try_element_at(F.col("fields"), i).rlike(r"\A\d+\z") | as_frame(F.try_element_at(F.col("fields"), i)).isNull()),
         bad("box_at", *both("{n}")),
         bad("polygon_at", *both("{n}(?: {n})*+")),
         bad("distance_at", *both("{n} *(?:mm|cm|m)?")),
@@ -169,7 +183,7 @@ def split_lines(lines: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]
     """(typed label rows, rejected rows) of a table of raw label lines; see ``judge_lines`` for the columns.
 
     Typed rows: id, file, line_no, frame_idx, class_value, object_value, distance_mm, xmin, ymin, xmax, ymax,
-    polygon_x, polygon_y, other_fields (map of the remaining named fields). A missing value is null.
+    polygon_x, polygon_y, other_fields (map of the remaining named fields). A missing value is null; frame_idx is decimal(38,0).
     Rejected rows: id, file, line_no, text, errors, bad_fields.
     """
     judged = judge_lines(lines, **columns)
@@ -181,7 +195,7 @@ def split_lines(lines: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]
         v = F.try_element_at(F.col("fields"), at)
         return F.when(v.isin(*MISSING), None).otherwise(v)
 
-    point = lambda c: F.when(F.col("sep") == ";", F.replace(c, F.lit(","), F.lit("."))).otherwise(c)
+    point = lambda c: as_point(c, F.col("sep"))
     number = lambda c: point(c).try_cast("double")
     corner = lambda axis, end: number(field(lambda x: x.rlike(rf"^(?:bbox_)?{axis}_?{end}$")))
     outline = lambda axis: F.transform(F.split(point(field(lambda x: x.rlike(rf"^poly(?:gon)?_?{axis}$"))), " "), lambda x: x.try_cast("double"))
@@ -194,7 +208,7 @@ def split_lines(lines: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]
         "id",
         "file",
         "line_no",
-        field(lambda x: x == FRAME_NAME).try_cast("bigint").alias("frame_idx"),
+        as_frame(field(lambda x: x == FRAME_NAME)).alias("frame_idx"),
         field(lambda x: x.isin(*CLASS_NAMES)).alias("class_value"),
         field(lambda x: x.isin(*OBJECT_NAMES)).alias("object_value"),
         (number(F.regexp_replace(distance, " *(mm|cm|m)$", "")) * factor).alias("distance_mm"),

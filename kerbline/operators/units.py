@@ -147,11 +147,15 @@ def unit_in_note(note: Column | str) -> Column:
 
 
 def conversion_table(spark: SparkSession, graph: UnitGraph, target: str) -> DataFrame:
-    """(unit, scale, shift) to ``target``, exact decimals; one row per unit of the graph."""
+    """(unit, times, over, plus, below) to ``target``: y = x * times / over + plus / below, whole numbers of up to 12
+    digits, so that thirds and the like stay exact. One row per unit of the graph that reaches the target."""
     rows = []
     for unit, (a, b) in graph.to(target).items():
-        rows.append((unit, Decimal(a.numerator) / Decimal(a.denominator), Decimal(b.numerator) / Decimal(b.denominator)))
-    return spark.createDataFrame(rows, "unit string, scale decimal(20,10), shift decimal(20,10)")
+        parts = [a.numerator, a.denominator, b.numerator, b.denominator]
+        if max(map(abs, parts)) >= 10**12:
+            raise ValueError(f"the conversion of {unit} to {target} needs more than 12 digits")
+        rows.append((unit, *map(Decimal, parts)))
+    return spark.createDataFrame(rows, "unit string, times decimal(12,0), over decimal(12,0), plus decimal(12,0), below decimal(12,0)")
 
 
 def convert_speeds(readings: DataFrame, settings: DataFrame, graph: UnitGraph | None = None, target: str = TARGET) -> DataFrame:
@@ -159,7 +163,8 @@ def convert_speeds(readings: DataFrame, settings: DataFrame, graph: UnitGraph |
 
     ``readings``: sequence_id, rig_id, recorded_at, logger_note and the three speed columns. ``settings``: rig_id,
     valid_from, valid_to, limit_speed_unit, avg_speed_unit. Result: sequence_id, field_name, value (text), unit,
-    unit_from (value, note, setting or default), converted (decimal).
+    unit_from (value, note, setting or default), converted (decimal; null where the graph has no way from the unit to the
+    target or the number is beyond 12 digits, so that no reading is lost).
     """
     graph = graph or speed_units()
     spark = readings.sparkSession
@@ -189,5 +194,6 @@ def convert_speeds(readings: DataFrame, settings: DataFrame, graph: UnitGraph |
         .otherwise("default")
     )
     rows = rows.select("sequence_id", "field_name", "value", F.col("number").try_cast("decimal(18,6)").alias("number"), unit.alias("unit"), source.alias("unit_from"))
-    rows = rows.join(F.broadcast(conversion_table(spark, graph, target)), "unit")  # one row per unit of the graph
-    return rows.select("sequence_id", "field_name", "value", "unit", "unit_from", (F.col("number") * F.col("scale") + F.col("shift")).alias("converted")).distinct()
+    rows = rows.join(F.broadcast(conversion_table(spark, graph, target)), "unit", "left")  # one row per unit of the graph
+    converted = F.col("number") * F.col("times") / F.col("over") + F.col("plus") / F.col("below")
+    return rows.select("sequence_id", "field_name", "value", "unit", "unit_from", converted.alias("converted")).distinct()

@@ -29,13 +29,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable.
 
-    The shared folder named by ``spark.checkpoint.dir`` is used where the session has one. Only a session
-    without it (a test, a laptop) gets a temporary folder.
+    The shared folder named by ``spark.checkpoint.dir`` is used. A session in one process (a test, a laptop) may do without and
+    gets a temporary folder; a cluster may not, as its machines do not share one.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kerbline-checkpoint-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="kerbline-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

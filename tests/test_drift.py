@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import permutations
 
-from kerbline.operators.drift import ROLES, assign, schema_changes, unified_fields, unified_rows
+from kerbline.operators.drift import ROLES, assign, match, schema_changes, unified_fields, unified_rows
 
 PROFILE = "campaign_id string, recorded_at timestamp, profiled_at timestamp, sequence_id string, label_v2_csv string, columns string, " + ", ".join(f"{r} string" for r in ROLES)
 COLUMN = "sequence_id string, label_v2_csv string, column_name string, nonempty_count long, sample_values string"
@@ -95,6 +95,32 @@ def test_matching_is_optimal():
         assert abs(got - max(sum(full[i][p[i]] for i in range(size)) for p in permutations(range(size)))) < 1e-9
 
 
+def test_sparse_matching_equals_dense():
+    r = random.Random(2)
+    for _ in range(80):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        edges = {f"a{i}": {f"b{j}": r.random() * 9 + 0.01 for j in range(m) if r.random() < 0.4} for i in range(n)}
+        edges = {a: own for a, own in edges.items() if own}
+        dense = [[own.get(f"b{j}", 0.0) for j in range(m)] for own in edges.values()]
+        got = match(edges)
+        assert len(set(got.values())) == len(got)
+        assert abs(sum(edges[a][b] for a, b in got.items()) - sum(dense[i][j] for i, j in assign(dense))) < 1e-9
+
+
+def test_sketches_types_and_names_decide_where_roles_and_places_are_silent(spark):
+    ps = [profile("1", 0, "f|g|h|k|weather|remark|speed"), profile("2", 1, "speed_kmh|x1|weather_tag|y2|f|g|h|k")]
+    cs = [
+        ("1", "weather", "dry|rain|fog"), ("1", "remark", "left side seen late|ok"), ("1", "speed", "12.5|14.0|9.5"), ("2", "weather_tag", "rain|fog|dry"),
+        ("2", "speed_kmh", "11.5|14.0|8.5"), ("2", "x1", "7|8"), ("2", "y2", "ok|left side seen late"),
+    ]
+    out = schema_changes(spark.createDataFrame(ps, PROFILE), spark.createDataFrame([(s, s, c, 1, v) for s, c, v in cs], COLUMN))
+    assert {tuple(r)[1:] for r in out.collect()} == {("renamed", "weather", "weather_tag"), ("renamed", "speed", "speed_kmh"), ("renamed", "remark", "y2"), ("added", "", "x1")}
+    without = schema_changes(spark.createDataFrame(ps, PROFILE), spark.createDataFrame([], COLUMN))
+    assert not {r.change_kind for r in without.collect()} & {"renamed"}  # the names alone do not tell
+    told = schema_changes(spark.createDataFrame(ps, PROFILE), spark.createDataFrame([(s, s, c, 1, v) for s, c, v in cs], COLUMN), told_only=True)
+    assert {r.change_kind for r in told.collect()} == {"added", "removed"}
+
+
 def test_rows_under_unified_names(spark):
     ps = [profile("1", 0, "f|Class", class_col="Class"), profile("2", 1, "f|label class", class_col="label class")]
     fields = unified_fields(spark.createDataFrame(ps, PROFILE), spark.createDataFrame([], COLUMN))

@@ -57,6 +57,15 @@ def test_singletons_are_inlined_and_cycles_are_not(spark):
     assert [r.attributes for r in row] == [{"a.b.c": "1"}]
 
 
+def test_a_graph_of_any_size_gives_the_same_tables(spark):
+    shapes = [{"a": {"b": {"c": 1}}}, {"b": {"a": 2}, "z": {"y": {"x": 1}}}, {"x": [{"q": 1}, 3], "only": {"single": {"s": [1, 2]}}}, {"loop": {"mid": {"loop": {"v": 1}}}}, {"self": {"self": {}}, "m": [1, 2]}]
+    payloads = [json.dumps({"tags": [d], "customFieldValues": [{"k": d}]}) for d in shapes] + [json.dumps({"tags": shapes})]
+    df = spark.createDataFrame(list(enumerate(payloads)), SCHEMA)
+    local, cluster = (sorted(map(repr, shred(df, local_edges=n).collect())) for n in (1000, 2))
+    assert local == cluster and len(local) > 30
+    assert sorted(map(repr, object_nodes(df).collect())) == sorted(map(repr, object_nodes(df, local_edges=0).collect()))
+
+
 def test_empty_and_extra_columns(spark):
     assert object_nodes(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, '{"tags":[{}]}', "clash")], SCHEMA + ", node_path string")

@@ -44,6 +44,14 @@ def test_typed_rows(spark):
     assert (got[3].class_value, got[3].object_value, got[3].distance_mm, got[3].xmin, got[3].polygon_x) == (None, None, 70.0, None, None)
 
 
+def test_values_that_pass_are_loaded_and_values_that_no_type_holds_do_not_pass(spark):
+    rows = [(1, "f", 0, "frame_idx,xmin,poly_x,Distance"), (2, "f", 1, f"{'9' * 23},{'8' * 290},1 2,3 cm"), (3, "f", 2, f"{'9' * 39},1,1,1"), (4, "f", 3, f"1,{'9' * 400},1,1"), (5, "f", 4, f"1,1,1 {'9' * 400},1"), (6, "f", 5, f"1,1,1,{'9' * 400} mm"), (7, "f", 6, f"1,{'0' * 400}1.5,1,1")]
+    typed, rejected = split_lines(spark.createDataFrame(rows, SCHEMA))
+    got = {r.id: r for r in typed.collect()}
+    assert sorted(got) == [2, 7] and int(got[2].frame_idx) == int("9" * 23) and got[2].xmin == float("8" * 290) and got[7].xmin == 1.5
+    assert {(r.id, *r.errors) for r in rejected.collect()} == {(i, "invalid_value") for i in (3, 4, 5, 6)}
+
+
 def test_nulls_repeats_missing_headers_and_clashing_columns(spark):
     rows = [
         (1, "a", 0, "frame_idx,x"), (2, "a", 0, "other,y,z"), (3, "a", 1, "1,2"), (3, "a", 1, "1,2"), (4, "a", None, "1,2,3"), (5, None, 1, "1,2"), (6, "b", 1, "1"), (None, "a", 2, "x,1"),

@@ -61,3 +61,14 @@ def test_graph():
     assert scale * 212 + shift == Fraction("373.15")
     with pytest.raises(ValueError):
         speed_units().add("kn", "mi/h", 1).check_cycles()
+
+
+def test_units_without_a_way_to_the_target_stay_and_thirds_are_exact(spark):
+    reads = [("a", None, None, None, "30 mph", "3 km/h", None)]
+    graph = UnitGraph().add("km/h", "m/s", Fraction(5, 18))
+    out = {r.field_name: r for r in convert_speeds(spark.createDataFrame(reads, READ), spark.createDataFrame([], SET), graph, "m/s").collect()}
+    assert out["max_speed_kph"].converted is None and out["max_speed_kph"].unit == "mi/h"
+    assert abs(out["min_speed_kph"].converted * 6 - 5) < 1e-9
+    reads = [("a", None, None, None, "18 km/h", "9 km/h", None)]
+    out = convert_speeds(spark.createDataFrame(reads, READ), spark.createDataFrame([], SET), graph, "m/s")
+    assert sorted(r.converted for r in out.collect()) == [2.5, 5]
