@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.text import get_or_blank, is_blank, join_distinct, last_segment, or_blank, split_pipe, strip
 
-_PAIR = "struct<id:string,name:string>"
+_PAIR = "struct<id:variant,name:variant>"
 DOCUMENT_SCHEMA = (
     "name string, status string, maxSpeedInKph string, minSpeedInKph string, "
-    f"tags array<struct<id:string,name:string,tagCategory:{_PAIR},tagSubCategory:{_PAIR}>>, "
-    "customFieldValues array<struct<field:struct<id:string,name:string,type:string>,value:string>>"
+    f"tags array<struct<id:variant,name:variant,tagCategory:{_PAIR},tagSubCategory:{_PAIR}>>, "
+    "customFieldValues array<struct<field:struct<id:variant,name:variant,type:variant>,value:string>>"
 )
+#: Kinds of the custom field values, which tell a nested value from a text that looks like one.
+VALUE_KINDS = "customFieldValues array<struct<value:variant>>"
 # fixed values: subcategories with a column of their own
 DIRECTION, APPROACH, WEATHER, SCENE, OBJECTS = "driving direction", "approach", "weather conditions", "scene", "label objects"
 
@@ -35,15 +37,31 @@ def is_object(text: Column | str) -> Column:
     return F.coalesce(text.startswith("{") & whole, F.lit(False))
 
 
+def naming(value: Column | str) -> Column:
+    """Text of a JSON value that names something: null, 0, false and empty arrays and objects name nothing."""
+    value = F.col(value) if isinstance(value, str) else value
+    text, kind = value.cast("string"), F.schema_of_variant(value)
+    empty = (kind != "STRING") & text.isin("0", "0.0", "-0.0", "false", "[]", "{}")
+    return F.when(text.isNull() | empty, "").when((kind == "BOOLEAN") & (text == "true"), "True").otherwise(strip(text))
+
+
+def value_text(raw: Column, kind: Column) -> Column:
+    """Text of a JSON value: nested ones as JSON with one blank behind commas and colons, truth values capitalised."""
+    pieces = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"\s,:]++|[,:]'), F.lit(0))
+    spaced = F.array_join(F.transform(pieces, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return F.when(raw.isNull(), "").when(nested, spaced).when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
+
+
 def tags_of(document: Column, subcategory: str) -> Column:
     """Names of the tags of a subcategory; only the part behind the last dot of its name counts, in any case."""
-    kept = F.filter(document["tags"], lambda t: F.lower(last_segment(t["tagSubCategory"]["name"])) == subcategory)
-    return F.filter(F.transform(kept, lambda t: strip(or_blank(t["name"]))), lambda x: x != "")
+    kept = F.filter(document["tags"], lambda t: F.lower(last_segment(naming(t["tagSubCategory"]["name"]))) == subcategory)
+    return F.filter(F.transform(kept, lambda t: naming(t["name"])), lambda x: x != "")
 
 
 def first_field(document: Column, name: str) -> Column:
     """Value of the first custom field with a name (any case), or the empty string."""
-    kept = F.filter(document["customFieldValues"], lambda c: F.lower(strip(or_blank(c["field"]["name"]))) == name)
+    kept = F.filter(document["customFieldValues"], lambda c: F.lower(naming(c["field"]["name"])) == name)
     return F.coalesce(F.get(kept, F.lit(0))["value"], F.lit(""))
 
 

@@ -33,6 +33,7 @@ CANDIDATES: dict[str, tuple[str, ...]] = {
     "polygon_y_col": ("polygony", "polygon_y", "poly_y"),
 }
 PREVIEW_ROWS, SAMPLE_VALUES = 20, 5
+BLOCKS_AT_ONCE = 4096
 
 
 def _equals(key: str):
@@ -72,17 +73,21 @@ def profile_lines(lines: DataFrame, **columns: str) -> DataFrame:
     """(file, column_name, nonempty_count, sample_values) per column: the first five values in line order,
     those of lines without a number last and by value.
 
-    Missing marks (empty, NA, None) are no values. Only the first values of each task travel, not all of them.
+    Missing marks (empty, NA, None) are no values. Lines are aggregated by (file, block), as they are partitioned already, and
+    blocks by steps of ``BLOCKS_AT_ONCE``: every state is bounded and only one small row a block and column is moved.
     """
     ok = loaded_lines(lines, **columns)
-    each = ok.select("file", "line_no", F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("fields").alias("v"))).alias("z"))
+    each = ok.select("file", "block", "line_no", F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("fields").alias("v"))).alias("z"))
     value = F.when(~F.col("z.v").isin("NA", "None"), strip("z.v"))
-    rows = each.select("file", "line_no", F.col("z.n").alias("column_name"), F.when(value != "", value).alias("v"))
-    counts = rows.groupBy("file", "column_name").agg(F.count("v").alias("nonempty_count"))
-    order = Window.partitionBy("file", "column_name").orderBy(F.asc_nulls_last("line_no"), "v")
-    first = rows.filter(F.col("v").isNotNull()).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_VALUES)
-    samples = first.groupBy("file", "column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "|").alias("sample_values"))
-    return counts.join(samples, ["file", "column_name"], "left").withColumn("sample_values", F.coalesce("sample_values", F.lit("")))
+    rows = each.select("file", "block", F.col("z.n").alias("column_name"), "line_no", F.when(value != "", value).alias("v"))
+    entry = F.when(F.col("v").isNotNull(), F.struct(F.col("line_no").isNull().alias("unnumbered"), "line_no", "v"))
+    first = lambda values: F.slice(F.array_sort(values), 1, SAMPLE_VALUES)
+    found = rows.groupBy("file", "block", "column_name").agg(F.count("v").alias("n"), first(F.collect_list(entry)).alias("s"))
+    for _ in range(2):
+        found = found.withColumn("block", F.floor(F.col("block") / BLOCKS_AT_ONCE))
+        found = found.groupBy("file", "block", "column_name").agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("s"))).alias("s"))
+    found = found.groupBy("file", "column_name").agg(F.sum("n").alias("nonempty_count"), first(F.flatten(F.collect_list("s"))).alias("s"))
+    return found.select("file", "column_name", "nonempty_count", F.array_join(F.col("s.v"), "|").alias("sample_values"))
 
 
 def rows_per_file(lines: DataFrame, **columns: str) -> DataFrame:
@@ -194,7 +199,7 @@ def label_errors(sample: DataFrame, profiled: DataFrame) -> DataFrame:
     return sample.select("sequence_id", "label_v2_csv").join(p, "label_v2_csv", "left").select("sequence_id", "label_v2_csv", why.alias("error")).filter(F.col("error").isNotNull())
 
 
-def label_summary(profiles: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def label_summary(profiles: DataFrame) -> DataFrame:
     """(group, value, count) over sequence profiles: columns, target objects and rows per file."""
     groups = [
         Group("columns", F.split("columns", r"\|"), many=True),

@@ -35,25 +35,29 @@ def errors(parsed: DataFrame, path: str = "metadata_json") -> DataFrame:
 def tags_long(parsed: DataFrame) -> DataFrame:
     """One row per tag, blanks for what is missing."""
     t = parsed.select("record_id", "sequence_id", F.explode("doc.tags").alias("t"))
-    name = lambda c: strip(or_blank(c))
     return t.select(
         "record_id",
         "sequence_id",
-        name("t.id").alias("tag_id"),
-        name("t.name").alias("tag_name"),
-        name("t.tagCategory.id").alias("category_id"),
-        name("t.tagCategory.name").alias("category_name"),
-        name("t.tagSubCategory.id").alias("subcategory_id"),
-        name("t.tagSubCategory.name").alias("subcategory_name"),
+        D.naming("t.id").alias("tag_id"),
+        D.naming("t.name").alias("tag_name"),
+        D.naming("t.tagCategory.id").alias("category_id"),
+        D.naming("t.tagCategory.name").alias("category_name"),
+        D.naming("t.tagSubCategory.id").alias("subcategory_id"),
+        D.naming("t.tagSubCategory.name").alias("subcategory_name"),
     )
 
 
 def fields_long(parsed: DataFrame) -> DataFrame:
     """One row per custom field; a nested value is its JSON text."""
-    c = parsed.select("record_id", "sequence_id", F.explode("doc.customFieldValues").alias("c"))
-    name = lambda x: strip(or_blank(x))
-    return c.select(
-        "record_id", "sequence_id", name("c.field.id").alias("field_id"), name("c.field.name").alias("field_name"), name("c.field.type").alias("field_type"), or_blank("c.value").alias("value")
+    kinds = F.transform(F.from_json("text", D.VALUE_KINDS)["customFieldValues"], lambda c: F.schema_of_variant(c["value"]))
+    rows = parsed.filter(F.size("doc.customFieldValues") > 0).select("record_id", "sequence_id", F.explode(F.arrays_zip(F.col("doc.customFieldValues").alias("c"), kinds.alias("kind"))).alias("z"))
+    return rows.select(
+        "record_id",
+        "sequence_id",
+        D.naming("z.c.field.id").alias("field_id"),
+        D.naming("z.c.field.name").alias("field_name"),
+        D.naming("z.c.field.type").alias("field_type"),
+        D.value_text(F.col("z.c.value"), F.col("z.kind")).alias("value"),
     )
 
 

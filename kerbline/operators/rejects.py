@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.text import strip
 
 LINES_PER_BLOCK = 4096
+UNNUMBERED_BLOCKS = 1024
 MISSING = ("", "NA", "None")
 SEPARATORS = (",", ";", "\t")
 
@@ -119,7 +120,9 @@ def judge_lines(
         F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(line_col).alias("line_no"), F.col(text_col).alias("text")
     )
     is_header = F.col("line_no").eqNullSafe(0)
-    block = F.floor(F.greatest(F.coalesce(F.col("line_no"), F.lit(0)), F.lit(0)) / LINES_PER_BLOCK)
+    # lines without a number are spread over blocks of their own
+    unnumbered = -1 - F.pmod(F.xxhash64("id", "text"), F.lit(UNNUMBERED_BLOCKS))
+    block = F.coalesce(F.floor(F.greatest(F.col("line_no"), F.lit(0)) / LINES_PER_BLOCK), unnumbered)
     data = rows.filter(~is_header).select("id", "file", "line_no", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
     headers = read_headers(rows.filter(is_header & F.col("text").isNotNull() & F.col("file").isNotNull()).groupBy("file").agg(F.min_by("text", "id").alias("text")))
     blocks = data.filter(F.col("file").isNotNull()).select("file", "block").distinct()

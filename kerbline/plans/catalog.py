@@ -13,6 +13,7 @@ from kerbline.functions import review as R
 from kerbline.functions.text import last_segment, strip
 from kerbline.operators import inventory, labels, metadata, review, sampling
 from kerbline.operators.profile import Group, counter_profile, overview
+from kerbline.plans.curation import loaded_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -151,11 +152,19 @@ _DOCS = (
     f"docs as (select *, coalesce(json_type(text) = 'OBJECT', false) as ok from (select record_id, sequence_id, metadata_json, t is null as absent, case when json_valid(t) then t end as text from "
     f"(select *, {_strip('regexp_replace(' + _strip('payload') + ', chr(65279), chr(32))')} as t from {RECORDS})))"
 )
+
+
+def _naming(x: str, path: str) -> str:
+    """Text of a JSON value that names something; 0, false and empty containers do not."""
+    text = f"{x}->>'{path}'"
+    return f"case when json_type({x}, '{path}') is null or json_type({x}, '{path}') = 'NULL' then '' when json_type({x}, '{path}') = 'VARCHAR' then {_strip(text)} when {text} in ('0', '0.0', '-0.0', 'false', '[]', '{{}}') then '' when {text} = 'true' then 'True' else {text} end"
+
+
 _TAGS = (
     f"with {_DOCS}, tags as (select record_id, sequence_id, unnest(json_extract(text, '$.tags[*]')) as t from docs where ok and json_type(text, '$.tags') = 'ARRAY'), "
     "long as (select record_id, sequence_id, "
     + ", ".join(
-        f"{_strip(chr(39).join(('coalesce(t->>', path, ', ', ')')).replace(', ' + chr(39) + ')', ', ' + chr(39) + chr(39) + ')'))} as {name}"
+        f"{_naming('t', path)} as {name}"
         for name, path in (
             ("tag_id", "$.id"), ("tag_name", "$.name"), ("category_id", "$.tagCategory.id"), ("category_name", "$.tagCategory.name"),
             ("subcategory_id", "$.tagSubCategory.id"), ("subcategory_name", "$.tagSubCategory.name"),
@@ -163,12 +172,21 @@ _TAGS = (
     )
     + " from tags)"
 )
+
+
+def _value(x: str) -> str:
+    """Text of a JSON value, nested ones with one blank behind commas and colons."""
+    pieces = rf"""regexp_extract_all(({x})::varchar, '"(?:[^"\\]|\\.)*"|[^"\s,:]+|[,:]')"""
+    spaced = f"array_to_string(list_transform({pieces}, lambda p: case when p in (',', ':') then p || ' ' else p end), '')"
+    return f"case when coalesce(json_type({x}), 'NULL') = 'NULL' then '' when json_type({x}) in ('OBJECT', 'ARRAY') then {spaced} when json_type({x}) = 'BOOLEAN' then upper(({x}->>'$')[1]) || ({x}->>'$')[2:] else {x}->>'$' end"
+
+
 _FIELDS = (
     f"with {_DOCS}, fields as (select record_id, sequence_id, unnest(json_extract(text, '$.customFieldValues[*]')) as c from docs "
     "where ok and json_type(text, '$.customFieldValues') = 'ARRAY'), "
     "long as (select record_id, sequence_id, "
-    + ", ".join(f"{_strip(f'''coalesce(c->>'$.field.{k}', '')''')} as field_{k}" for k in ("id", "name", "type"))
-    + ", coalesce(c->>'$.value', '') as value from fields)"
+    + ", ".join(f"{_naming('c', f'$.field.{k}')} as field_{k}" for k in ("id", "name", "type"))
+    + f", {_value('v')} as value from (select *, json_extract(c, '$.value') as v from fields))"
 )
 
 
@@ -181,30 +199,22 @@ def json_tags_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.tags_long(_parsed(spark, sf_dir))
 
 
-@query(f"{_FIELDS} select record_id, sequence_id, field_id, field_name, field_type from long")
+@query(f"{_FIELDS} select * from long")
 def json_fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_fields_long_all(spark, sf_dir).drop("value")
+    return metadata.fields_long(_parsed(spark, sf_dir))
 
 
-@query()
-def json_fields_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns; the engines render nested values differently."""
-    return metadata.fields_long(_parsed(spark, sf_dir))
+#: The last value of a top-level key, as a repeated key's last value counts.
+_LAST = "(select last(e.value order by e.id) from json_each(text) e where e.key = {key})"
 
 
 @query(
     f"with {_DOCS}, k as (select record_id, text, unnest(list_distinct(json_keys(text))) as key from docs where ok), "
-    "v as (select key, json_extract(text, '$.\"' || key || '\"') as value from k) "
+    f"v as (select key, {_LAST.format(key='k.key')} as value from k) "
     "select key, count(*) as present_count, count(*) filter (value is not null and regexp_replace(value::varchar, '\\s+', '', 'g') not in ('null', '\"\"', '[]', '{}'))"
-    " as nonempty_count from v where key <> 'status' group by key"
+    " as nonempty_count from v group by key"
 )
 def json_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated keys are read differently by the two engines; ``status`` is the one that repeats."""
-    return json_key_counts_all(spark, sf_dir).filter("key <> 'status'")
-
-
-@query()
-def json_key_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.key_counts(_parsed(spark, sf_dir))
 
 
@@ -233,15 +243,8 @@ def json_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.count_by(metadata.fields_long(_parsed(spark, sf_dir)), "field_name")
 
 
-@query(f"{_FIELDS} select field_name, value, count(*) as \"count\" from long where value <> '' and value not like '%[%' and value not like '%{{%' group by 1, 2 order by 3 desc, 1, 2 limit 500")
+@query(f"{_FIELDS} select field_name, value, count(*) as \"count\" from long where value <> '' group by 1, 2 order by 3 desc, 1, 2 limit 500")
 def json_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar values only: the engines render nested values differently."""
-    rows = metadata.fields_long(_parsed(spark, sf_dir)).filter("value <> '' and value not like '%[%' and value not like '%{%'")
-    return metadata.count_by(rows, "field_name", "value", top=500)
-
-
-@query()
-def json_field_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent of all non-empty values, nested ones as JSON text."""
     return metadata.count_by(metadata.fields_long(_parsed(spark, sf_dir)).filter("value <> ''"), "field_name", "value", top=500)
 
@@ -256,10 +259,11 @@ def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _joined(sub: str) -> str:
     """Distinct tag names of a subcategory in order of appearance, joined."""
+    last = f"regexp_extract({_naming('x', '$.tagSubCategory.name')}, '[^.]*$')"
     return (
-        f"(select string_agg(n, '|' order by k) from (select n, min(k) as k from (select {_strip(_q('x', '$.name'))} as n, k from ("
+        f"(select string_agg(n, '|' order by k) from (select n, min(k) as k from (select {_naming('x', '$.name')} as n, k from ("
         "select unnest(json_extract(text, '$.tags[*]')) as x, generate_subscripts(json_extract(text, '$.tags[*]'), 1) as k where json_type(text, '$.tags') = 'ARRAY') "
-        f"where lower({_strip('regexp_extract(' + _strip(_q('x', '$.tagSubCategory.name')) + ', ' + chr(39) + '[^.]*$' + chr(39) + ')')}) = '{sub}') where n <> '' group by n))"
+        f"where lower({_strip(last)}) = '{sub}') where n <> '' group by n))"
     )
 
 
@@ -267,11 +271,22 @@ def _q(x: str, path: str) -> str:
     return f"coalesce({x}->>'{path}', '')"
 
 
+def _text(key: str) -> str:
+    """Text of the last value of a top-level key."""
+    return f"coalesce({_LAST.format(key=chr(39) + key + chr(39))}->>'$', '')"
+
+
+#: The first custom field that is named so.
+_AVERAGE = (
+    "coalesce((select first(v->>'$' order by k) from (select json_extract(c, '$.value') as v, k from (select unnest(json_extract(text, '$.customFieldValues[*]')) as c, "
+    f"generate_subscripts(json_extract(text, '$.customFieldValues[*]'), 1) as k where json_type(text, '$.customFieldValues') = 'ARRAY') where lower({_naming('c', '$.field.name')}) = 'avg speed')), '')"
+)
 _CAMERA = "case when lower(trim({d})) in ('forward', 'forwards') then 'front' when lower(trim({d})) in ('backward', 'backwards', 'reverse', 'rearward') then 'rear' else 'unknown' end"
 _FLAT = (
     f"with {_DOCS}, flat as (select record_id, sequence_id, trim({_q('text', '$.name')}) as json_name, "
     + ", ".join(f"coalesce({_joined(sub)}, '') as {name}" for name, sub in (("driving_direction", D.DIRECTION), ("approach", D.APPROACH), ("weather_tags", D.WEATHER), ("scene_tags", D.SCENE), ("label_objects_json", D.OBJECTS)))
-    + ", case when json_type(text, '$.tags') = 'ARRAY' then json_array_length(text, '$.tags') else 0 end::int as num_tags, "
+    + f", {_strip(_text('status'))} as json_status, {_text('maxSpeedInKph')} as max_speed_kph, {_text('minSpeedInKph')} as min_speed_kph, {_AVERAGE} as avg_speed, "
+    "case when json_type(text, '$.tags') = 'ARRAY' then json_array_length(text, '$.tags') else 0 end::int as num_tags, "
     "case when json_type(text, '$.customFieldValues') = 'ARRAY' then json_array_length(text, '$.customFieldValues') else 0 end::int as num_custom_fields, "
     "array_to_string(list_sort(list_distinct(json_keys(text))), '|') as top_level_keys from docs where ok)"
 )
@@ -279,11 +294,6 @@ _FLAT = (
 
 @query(f"{_FLAT} select *, {_CAMERA.format(d='driving_direction')} as preferred_camera_from_json from flat")
 def json_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_flat_all(spark, sf_dir).drop("json_status", "max_speed_kph", "min_speed_kph", "avg_speed")
-
-
-@query()
-def json_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.flat(_parsed(spark, sf_dir))
 
 
@@ -293,6 +303,7 @@ def json_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         [
             _counts("driving_direction", "coalesce(nullif(driving_direction, ''), 'MISSING')", None, "from flat"),
             _counts("preferred_camera", _CAMERA.format(d="driving_direction"), None, "from flat"),
+            _counts("status", "coalesce(nullif(json_status, ''), 'MISSING')", None, "from flat"),
             _counts("weather", "part", 100, _pipes("weather_tags", "flat")),
             _counts("scene", "part", 100, _pipes("scene_tags", "flat")),
             _counts("approach", "part", 100, _pipes("approach", "flat")),
@@ -301,11 +312,6 @@ def json_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_profile_all(spark, sf_dir).filter("group <> 'status'")
-
-
-@query()
-def json_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.document_profile(metadata.flat(_parsed(spark, sf_dir)))
 
 
@@ -320,25 +326,30 @@ def json_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LATEST = f"last as (select metadata_json as path, arg_max(record_id, (received_at, record_id)) as record_id from {RECORDS} where metadata_json is not null and payload is not null group by 1)"
+_MANIFEST_OWN = "sequence_id sequence_dir front_video rear_video topview_video front_image rear_image topview_image label_v1_csv label_v2_csv label_v1_xlsx label_v2_xlsx metadata_json mf4_file pfdf4_pure_bz2 is_poc_ready".split()
+
+
+def _if_json(x: str) -> str:
+    return f"coalesce(case when json_valid(text) then {x} end, '')"
 
 
 @query(
-    f"with {_DOCS}, {_LATEST}, m as (select distinct sequence_id, metadata_json from {MANIFEST}), "
-    "r as (select m.sequence_id, d.record_id is null as absent, d.text, d.ok and coalesce(json_type(d.text, '$.tags') = 'ARRAY', not list_contains(json_keys(d.text), 'tags')) and "
+    f"with {_DOCS}, {_LATEST}, m as (select distinct {', '.join(_MANIFEST_OWN)} from {MANIFEST}), "
+    "r as (select m.*, d.record_id is null as absent, case when d.ok then d.text end as text, d.ok and coalesce(json_type(d.text, '$.tags') = 'ARRAY', not list_contains(json_keys(d.text), 'tags')) and "
     "coalesce(json_type(d.text, '$.customFieldValues') = 'ARRAY', not list_contains(json_keys(d.text), 'customFieldValues')) as loaded "
     "from m left join last l on l.path = m.metadata_json left join docs d on d.record_id = l.record_id), "
-    f"e as (select *, coalesce(case when json_valid(text) then string_split({_joined(D.DIRECTION)}, '|')[1] end, '') as driving_direction, "
-    f"coalesce(case when json_valid(text) then {_joined(D.WEATHER)} end, '') as weather_tags from r) "
-    f"select sequence_id, (not absent)::int as metadata_exists, coalesce(loaded, false)::int as json_loaded, driving_direction, weather_tags, "
-    f"case when loaded then {_CAMERA.format(d='driving_direction')} else 'unknown' end as preferred_camera_rule, "
+    f"e as (select *, {_if_json(f'string_split({_joined(D.DIRECTION)}, chr(124))[1]')} as driving_direction, {_if_json(f'string_split({_joined(D.APPROACH)}, chr(124))[1]')} as approach, "
+    f"{_if_json(_joined(D.SCENE))} as scene_tags, {_if_json(_joined(D.WEATHER))} as weather_tags, {_if_json(_joined(D.OBJECTS))} as label_objects_json, {_if_json(_strip(_text('name')))} as sequence_name_json, "
+    f"{_if_json(_strip(_text('status')))} as sequence_status_json, {_if_json(_text('maxSpeedInKph'))} as max_speed_kph, {_if_json(_text('minSpeedInKph'))} as min_speed_kph, {_if_json(_AVERAGE)} as avg_speed from r) "
+    f"select {', '.join(_MANIFEST_OWN)}, (not absent)::int as metadata_exists, coalesce(loaded, false)::int as json_loaded, sequence_name_json, sequence_status_json, driving_direction, approach, scene_tags, weather_tags, "
+    f"label_objects_json, max_speed_kph, min_speed_kph, avg_speed, case when loaded then {_CAMERA.format(d='driving_direction')} else 'unknown' end as preferred_camera_rule, "
     f"case when absent then 'no_metadata' when not loaded then 'json_parse_error' when {_CAMERA.format(d='driving_direction')} = 'unknown' then 'no_direction_rule' "
     "else 'json_driving_direction' end as preferred_camera_rule_reason from e"
 )
 def enrich_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = table(spark, sf_dir, MANIFEST).select("sequence_id", "metadata_json").distinct()
-    records = table(spark, sf_dir, RECORDS).filter("payload is not null")
-    rich = metadata.enrich(manifest, records)
-    return rich.select("sequence_id", "metadata_exists", "json_loaded", "driving_direction", "weather_tags", "preferred_camera_rule", "preferred_camera_rule_reason")
+    """All 30 columns."""
+    manifest = table(spark, sf_dir, MANIFEST).select(*_MANIFEST_OWN).distinct()
+    return metadata.enrich(manifest, table(spark, sf_dir, RECORDS).filter("payload is not null"))
 
 
 # --- sampling -----------------------------------------------------------------------------------------------------
@@ -422,28 +433,23 @@ def label_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sequence_id", "columns", *[c.alias(r) for r, c in labels.role_columns(F.split("columns", r"\|")).items()])
 
 
-@query("select distinct label_v2_csv as file, lower(trim(column_name)) as column_name, nonempty_count, sample_values from label_column_profile")
-def label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``label_columns_all`` of the files in the stored profile, which leaves the long run out, for comparison with it."""
-    files = table(spark, sf_dir, "label_column_profile").select(F.col("label_v2_csv").alias("file")).distinct()
-    return label_columns_all(spark, sf_dir).join(files, "file", "left_semi")
+_CELLS = (
+    loaded_sql() + ", u as (select file_path, line_no, unnest(names) as n, unnest(fields) as v from d), "
+    f"c as (select file_path, line_no, n, case when v not in ('NA', 'None') then nullif({_strip('v')}, '') end as v from u) "
+)
 
 
-@query()
-def label_columns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    _CELLS + "select file_path as file, n as column_name, count(v) as nonempty_count, coalesce(array_to_string((list(v order by line_no nulls last, v) filter (v is not null))[1:5], '|'), '') as sample_values from c group by 1, 2"
+)
+def label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column profile of the raw lines of every file, whether or not a stored profile has it."""
     return labels.profile_lines(table(spark, sf_dir, "label_v2_csv"))
 
 
-@query("select num_label_rows, count(*) as files from (select distinct label_v2_csv, num_label_rows from label_sequence_profile) group by 1")
+@query(loaded_sql() + "select num_label_rows, count(*) as files from (select file_path, count(*) as num_label_rows from d group by 1) group by 1")
 def rows_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = table(spark, sf_dir, "label_sequence_profile").select("label_v2_csv", "num_label_rows").distinct()
-    return profiles.groupBy("num_label_rows").agg(F.count("*").alias("files"))
-
-
-@query()
-def rows_per_file_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted from the label lines of every file; ``rows_per_file`` counts what the stored profiles say."""
+    """Counted from the label lines of every file."""
     return labels.rows_per_file(table(spark, sf_dir, "label_v2_csv"))
 
 
@@ -461,12 +467,27 @@ def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_summary(table(spark, sf_dir, "label_sequence_profile").distinct())
 
 
-@query()
+def _role(role: str) -> str:
+    """Value of the column that plays a role, blank where there is none; files with repeated names have no roles."""
+    found = _find_sql(labels.CANDIDATES[role]).replace("cols", "names")
+    return f"case when len(list_distinct(names)) = len(names) then coalesce({_strip(f'fields[list_position(names, {found})]')}, '') else '' end"
+
+
+@query(
+    loaded_sql() + ", k as (select *, row_number() over (partition by file_path order by line_no nulls last, record_id) as k from d) select file_path as file, (k - 1)::int as label_row_idx, "
+    + ", ".join(f"{_role(r)} as {n}" for n, r in (("class_value", "class_col"), ("object_value", "object_col"), ("distance_value", "distance_col"), *((r[:-4], r) for r in list(labels.CANDIDATES)[3:])))
+    + " from k where k <= 20"
+)
 def label_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.preview_lines(table(spark, sf_dir, "label_v2_csv"))
 
 
-@query()
+def _top_values(group: str, role: str, top: int) -> str:
+    value = _strip(f"fields[list_position(names, {_find_sql(labels.CANDIDATES[role]).replace('cols', 'names')})]")
+    return f"(select '{group}' as \"group\", v as value, count(*) as \"count\" from (select {value} as v from d) where v is not null and v not in ('', 'NA', 'None') group by 2 order by 3 desc, 2 limit {top})"
+
+
+@query(loaded_sql() + f"select * from {_top_values('label_object_values', 'object_col', 100)} union all select * from {_top_values('class_values', 'class_col', 50)}")
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.value_counts(table(spark, sf_dir, "label_v2_csv"))
 

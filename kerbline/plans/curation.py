@@ -131,13 +131,21 @@ def _lines_sql() -> str:
         "h as (select file_path, regexp_replace(arg_min(text, record_id), '^' || chr(65279), '') as t from raw where line_no = 0 group by 1), "
         f"s as (select file_path, t, case when {n[',']} >= {n[';']} and {n[',']} >= {n[chr(9)]} then ',' when {n[';']} >= {n[chr(9)]} then ';' else chr(9) end as sep from h), "
         f"hs as (select file_path, sep, {names} as names from s), "
-        f"q as (select record_id, line_no, sep, names, text, case sep {each(0)} end as ok from raw join hs using (file_path) where line_no is distinct from 0), "
-        f"f as (select record_id, line_no, sep, names, ok, case when ok then case sep {each(1)} end end as fields from q), "
+        f"q as (select record_id, file_path, line_no, sep, names, text, case sep {each(0)} end as ok from raw join hs using (file_path) where line_no is distinct from 0), "
+        f"f as (select record_id, file_path, line_no, sep, names, ok, case when ok then case sep {each(1)} end end as fields from q), "
         "v as (select record_id, sep, unnest(names) as n, unnest(fields) as v from f where ok and len(fields) = len(names)), "
         f"b as (select distinct record_id from v where not case when sep = ';' then {good('[0-9]+(?:,[0-9]+)?')} else {good('[0-9]+(?:[.][0-9]+)?')} end) "
     )
 
 
+def loaded_sql() -> str:
+    """CTE d: (file_path, line_no, names, fields) of the loadable lines, a redelivered one once."""
+    return _lines_sql() + (
+        ", d as (select * from (select *, row_number() over (partition by file_path, line_no order by record_id) as r from f "
+        "where ok and len(fields) = len(names) and record_id not in (select record_id from b)) where r = 1 or line_no is null) "
+    )
+
+
 def _rejects_sql() -> str:
     return (
         _lines_sql() + "select record_id, case when not ok then 'broken_quoting' when len(fields) <> len(names) then 'column_count' else 'invalid_value' end as reason "

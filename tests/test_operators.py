@@ -47,12 +47,12 @@ def test_enrich(spark):
 
 def test_round_robin_equals_dealing(spark):
     r = random.Random(2)
-    rows = [(f"i{k}", r.choice("abcdefg"), r.choice(["x", None, "", " y"])) for k in range(300)]
+    rows = [(f"i{k}", r.choice("aaaaaaaabcdefg"), r.choice(["x", "x", None, "", " y"])) for k in range(5000)]
     df = spark.createDataFrame(rows, "sequence_id string, s string, t string")
     import hashlib
 
     md5 = lambda *p: hashlib.md5("\x1f".join(p).encode()).hexdigest()
-    for n in (0, 1, 37, 500):
+    for n in (0, 1, 37, 500, 4200, 9000):
         groups = {}
         for i, s, t in rows:
             groups.setdefault(f"{s}\x1f{(t or 'MISSING').strip()}", []).append(i)
