@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,24 +50,12 @@ def _name(col: Column | str) -> Column:
     return F.lower(strip(col))
 
 
-def value_sketch(samples: Column | str) -> Column:
-    """``type:lowest:highest:mean length:digits:values`` of ``|``-joined sample values; null without values.
-
-    The range is that of numbers (else empty), digits are in percent of all characters, values are hashes of the distinct ones.
-    """
+def typed_values(samples: Column | str) -> Column:
+    """``type:`` and the ``|``-joined sample values (up to five); null without values."""
     samples = F.col(samples) if isinstance(samples, str) else samples
-    values = F.split(samples, r"\|", -1)
-    kind = (
-        F.when(F.forall(values, lambda v: v.rlike(r"\A\d+\z")), "integer")
-        .when(F.forall(values, lambda v: v.rlike(r"\A\d+(?:[.,]\d+)?\z")), "decimal")
-        .otherwise("text")
-    )
-    numbers = F.transform(values, lambda v: F.replace(v, F.lit(","), F.lit(".")).try_cast("double"))
-    bound = lambda of: F.coalesce(F.when(kind != "text", of(numbers)).cast("string"), F.lit(""))
-    length = F.round(F.length(samples) / F.size(values)).cast("int").cast("string")
-    digits = F.round(100 * F.regexp_count(samples, F.lit(r"\d")) / F.length(samples)).cast("int").cast("string")
-    hashes = F.array_join(F.transform(F.array_distinct(values), lambda v: F.pmod(F.xxhash64(F.lower(strip(v))), F.lit(1 << 20)).cast("string")), ",")
-    return F.when(~is_blank(samples), F.concat_ws(":", kind, bound(F.array_min), bound(F.array_max), length, digits, hashes))
+    number = r"\d+(?:[.,]\d+)?"
+    kind = F.when(samples.rlike(r"\A\d+(?:\|\d+)*+\z"), "integer:").when(samples.rlike(rf"\A{number}(?:\|{number})*+\z"), "decimal:").otherwise("text:")
+    return F.when(~is_blank(samples), F.concat(kind, F.translate(samples, "\x1e\x1f", "  ")))
 
 
 def campaign_files(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame:
@@ -80,7 +68,7 @@ def campaign_files(profiles: DataFrame, column_profiles: DataFrame) -> DataFrame
         .agg(F.max_by(facts, F.struct("profiled_at", facts)).alias("f"))
         .select("campaign_id", "sequence_id", "label_v2_csv", "f.*")
     )
-    sketch = F.concat_ws("\x1f", _name("column_name"), value_sketch("sample_values"))
+    sketch = F.concat_ws("\x1f", _name("column_name"), typed_values("sample_values"))
     sketches = (
         column_profiles.select("sequence_id", "label_v2_csv", F.when(~is_blank("sample_values"), sketch).alias("sketch"))
         .groupBy("sequence_id", "label_v2_csv")
@@ -121,19 +109,25 @@ def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, size + 1) if owner[j] - 1 < rows and j - 1 < cols and weights[owner[j] - 1][j - 1] > 0]
 
 
+@lru_cache(maxsize=1 << 14)
+def value_sketch(kind: str, samples: str) -> tuple[str, float, float, float, float, frozenset[str]]:
+    """(type, lowest and highest number, mean length, share of digits, distinct values) of a column's sample values."""
+    values = [v.strip().lower() for v in samples.split("|")]
+    numbers = [] if kind == "text" else [float(v.replace(",", ".")) for v in values]
+    characters = sum(map(len, values))
+    digits = sum(c.isdigit() for v in values for c in v) / max(1, characters)
+    return kind, min(numbers, default=0.0), max(numbers, default=0.0), characters / len(values), digits, frozenset(values)
+
+
 def likeness(a: tuple[str, str], b: tuple[str, str]) -> float:
-    """0 to 1: how alike the values behind two sketches (type, rest) are."""
-    (low_a, high_a, length_a, digits_a, values_a), (low_b, high_b, length_b, digits_b, values_b) = (x[1].split(":") for x in (a, b))
-    kinds = 1.0 if a[0] == b[0] else 0.5 if "text" not in (a[0], b[0]) else 0.0
-    x, y = set(values_a.split(",")), set(values_b.split(","))
-    same = len(x & y) / len(x | y)
-    if low_a and low_b:  # share of the joint range that both cover
-        lows, highs = sorted((float(low_a), float(low_b))), sorted((float(high_a), float(high_b)))
-        spread = (max(0.0, highs[0] - lows[1]) + 1) / (highs[1] - lows[0] + 1)
-    else:
-        spread = same
-    lengths = (min(int(length_a), int(length_b)) + 1) / (max(int(length_a), int(length_b)) + 1)
-    return 0.35 * kinds + 0.2 * same + 0.2 * spread + 0.15 * lengths + 0.1 * (1 - abs(int(digits_a) - int(digits_b)) / 100)
+    """0 to 1: how alike the values of two columns, each (type, samples), are by their sketches."""
+    (kind_a, low_a, high_a, length_a, digits_a, values_a), (kind_b, low_b, high_b, length_b, digits_b, values_b) = value_sketch(*a), value_sketch(*b)
+    kinds = 1.0 if kind_a == kind_b else 0.5 if "text" not in (kind_a, kind_b) else 0.0
+    same = spread = len(values_a & values_b) / len(values_a | values_b)
+    if "text" not in (kind_a, kind_b):  # share of the joint range that both cover
+        spread = (max(0.0, min(high_a, high_b) - max(low_a, low_b)) + 1) / (max(high_a, high_b) - min(low_a, low_b) + 1)
+    lengths = (min(length_a, length_b) + 1) / (max(length_a, length_b) + 1)
+    return 0.35 * kinds + 0.2 * same + 0.2 * spread + 0.15 * lengths + 0.1 * (1 - abs(digits_a - digits_b))
 
 
 class File:
