@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import shutil
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.text import is_blank, strip
-from kerbline.operators import inventory, labels, metadata, review, sampling
+from kerbline.operators import inventory, labels, media, metadata, review, sampling
 from kerbline.session import local_session
 from kerbline.sources import sinks, tables
-from kerbline.sources.config import ProjectPaths, load_paths
+from kerbline.sources.config import Profile, load_paths
 from kerbline.sources.inventory import list_files
 
 SAMPLES = ("rule_ready_sample", "unknown_camera_review_sample")
@@ -26,19 +29,32 @@ def _need(path: Path) -> str:
     return str(path)
 
 
-def _documents(spark: SparkSession, paths: ProjectPaths, manifest: DataFrame) -> DataFrame:
+def _made(name: str, **options) -> Callable:
+    """What ``module:name`` names, called with options on the executors: a reviewer, a decoder, a codec."""
+    module, _, attribute = name.partition(":")
+    return partial(getattr(importlib.import_module(module), attribute), **options)
+
+
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of their file (0: all)."""
+    if not n:
+        return rows
+    return rows.withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").limit(n).drop("_row")
+
+
+def _documents(spark: SparkSession, paths: Profile, manifest: DataFrame) -> DataFrame:
     named = manifest.select(strip("metadata_json").alias("path")).filter("path <> ''").distinct()
     return tables.read_documents(spark, str(paths.raw_data_root), named).withColumnRenamed("path", "metadata_json")
 
 
-def build_manifest(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def build_manifest(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     out = a.out or str(paths.manifests_dir / "sequence_manifest.csv")
     rows = inventory.build_manifest(list_files(spark, _need(Path(a.raw_dir or paths.raw_data_root))))
-    sinks.write_csv(rows, out)
+    sinks.write_csv(rows, out, header_always=True)
     return {"out": out, **sinks.run_summary(rows, {"sequences": F.count("*"), "ready": F.count_if("is_poc_ready")})}
 
 
-def enrich_manifest(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def enrich_manifest(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     rows = tables.read_csv(spark, _need(Path(a.manifest or paths.manifests_dir / "sequence_manifest.csv")))
     rich = metadata.enrich(rows, _documents(spark, paths, rows)).cache()
     out, summary = a.out or str(paths.manifests_dir / "sequence_manifest_enriched.csv"), a.summary_out or str(paths.manifests_dir / "enriched_manifest_profile.csv")
@@ -47,9 +63,9 @@ def enrich_manifest(spark: SparkSession, a: argparse.Namespace, paths: ProjectPa
     return {"out": out, **sinks.run_summary(rich, {"sequences": F.count("*"), "json_loaded": F.sum("json_loaded")})}
 
 
-def profile_json(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def profile_json(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     rows = tables.read_csv(spark, _need(Path(a.manifest or paths.manifests_dir / "sequence_manifest.csv")))
-    rows = rows.orderBy("sequence_id").limit(a.limit) if a.limit else rows
+    rows = _first(rows, a.limit)
     docs = rows.select("sequence_id", "metadata_json").join(_documents(spark, paths, rows), "metadata_json", "left").withColumn("record_id", F.monotonically_increasing_id())
     parsed = metadata.parse(docs).cache()
     tags, custom, flat = metadata.tags_long(parsed), metadata.fields_long(parsed), metadata.flat(parsed)
@@ -67,7 +83,7 @@ def profile_json(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths
     return {"out": str(root), **sinks.run_summary(parsed, {"documents": F.count("*"), "loaded": F.count_if("ok")})}
 
 
-def sample_subset(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def sample_subset(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     rows = tables.read_csv(spark, _need(Path(a.manifest or paths.manifests_dir / "sequence_manifest_enriched.csv")))
     ready, unknown = sampling.build_samples(rows, a.n_front, a.n_rear, a.n_unknown, a.seed)
     for name, df in zip(SAMPLES, (ready, unknown)):
@@ -75,34 +91,59 @@ def sample_subset(spark: SparkSession, a: argparse.Namespace, paths: ProjectPath
     return {"out": str(paths.samples_dir), "rule_ready": ready.count(), "unknown": unknown.count()}
 
 
-def profile_labels(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def profile_labels(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     rows = tables.read_csv(spark, _need(Path(a.sample_csv or paths.samples_dir / f"{SAMPLES[0]}.csv")))
-    rows = rows.orderBy("sequence_id").limit(a.limit) if a.limit else rows
+    rows = _first(rows, a.limit)
     named = rows.filter(~is_blank("label_v2_csv")).select(strip("label_v2_csv").alias("path")).distinct()
     profiled = labels.profile_files(tables.read_bytes(spark, str(paths.raw_data_root), named)).cache()
-    sequences = labels.sequence_profile(rows, profiled)
+    sequences, errors = labels.sequence_profile(rows, profiled), labels.label_errors(rows, profiled)
+    n = rows.count()
+    summary = labels.label_overview(n, sequences, errors).unionByName(labels.label_summary(sequences)).unionByName(labels.file_value_counts(rows, profiled))
+    made = {"summary": summary, "sequence_profile": sequences, "column_profile": labels.column_profile(rows, profiled), "long_preview": labels.long_preview(rows, profiled), "errors": errors}
     root = paths.outputs_dir / "label_profile"
-    for name, df in {"sequence_profile": sequences, "column_profile": labels.column_profile(rows, profiled), "errors": labels.label_errors(rows, profiled), "summary": labels.label_summary(sequences)}.items():
+    for name, df in made.items():
         sinks.write_csv(df, str(root / f"label_v2_{name}.csv"))
-    return {"out": str(root), "sample_rows": rows.count(), "labels_loaded": sequences.count()}
+    return {"out": str(root), "sample_rows": n, "labels_loaded": sequences.count()}
 
 
-def _sample(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> DataFrame:
+def _sample(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> DataFrame:
     given = getattr(a, "sample_csv", None)
     return tables.read_csv(spark, _need(Path(given or paths.samples_dir / f"{a.sample_name}.csv")))
 
 
-def contact_plan(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def contact_plan(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     """What a contact-sheet run would make; images need a decoder (see ``operators.media``)."""
     rows = _sample(spark, a, paths)
-    rows = rows.orderBy("sequence_id").limit(a.limit) if a.limit else rows
+    rows = _first(rows, a.limit)
     plan = review.contact_plan(rows, list_files(spark, str(paths.raw_data_root)))
     out = paths.outputs_dir / "reviews" / a.sample_name / "contact_plan.csv"
     sinks.write_csv(plan, str(out))
     return {"out": str(out), "sequences": plan.count()}
 
 
-def review_sheet(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def contact_sheets(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
+    """Contact sheets and middle pairs of a sample, and the summary that the review sheet reads."""
+    root = paths.outputs_dir / "reviews" / a.sample_name
+    plan = review.contact_plan(_first(_sample(spark, a, paths), a.limit), list_files(spark, str(paths.raw_data_root)))
+    plan = review.artifact_paths(plan, str(root)).drop("review_board_path")
+    saved = media.contact_sheets(plan, str(paths.raw_data_root), _made(a.decoder), _made(a.codec)).persist()
+    out = root / "contact_sheet_summary.csv"
+    sinks.write_csv(review.contact_summary(plan, saved), str(out))
+    return {"out": str(out), **sinks.run_summary(saved, {"sequences": F.count("*"), "pairs_saved": F.coalesce(F.sum("pair_mid_saved"), F.lit(0))})}
+
+
+def review_boards(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
+    """Review boards of the sequences of a review sheet, and the summary that the review input reads."""
+    root = paths.outputs_dir / "reviews" / a.sample_name
+    rows = _first(tables.read_csv(spark, _need(root / "contact_review_sheet.csv")), a.limit)
+    rows = review.artifact_paths(rows.drop("chosen_contact_path", "topview_contact_path", "pair_mid_path"), str(root))
+    boards = media.review_boards(rows, _made(a.codec)).persist()
+    out = root / "review_board_summary.csv"
+    sinks.write_csv(boards, str(out))
+    return {"out": str(out), **sinks.run_summary(boards, {"rows": F.count("*"), "boards_saved": F.coalesce(F.sum("review_board_saved"), F.lit(0))})}
+
+
+def review_sheet(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     root = paths.outputs_dir / "reviews" / a.sample_name
     contacts = tables.read_csv(spark, _need(root / "contact_sheet_summary.csv"))
     sheet = review.review_sheet(_sample(spark, a, paths), contacts, str(root))
@@ -110,14 +151,14 @@ def review_sheet(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths
     return {"out": str(root), "rows": sheet.count()}
 
 
-def review_input(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def review_input(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     root = paths.outputs_dir / "reviews" / a.sample_name
     rows = review.review_input(tables.read_csv(spark, _need(root / "contact_review_sheet.csv")), tables.read_csv(spark, _need(root / "review_board_summary.csv")))
     sinks.write_csv(rows, str(root / "review_input.csv"))
     return {"out": str(root), "rows": rows.count()}
 
 
-def auto_review(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
+def auto_review(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     root = paths.outputs_dir / "reviews" / a.sample_name
     rows = tables.read_csv(spark, _need(Path(a.review_sheet or root / "review_input.csv")))
     out = Path(a.out or root / "auto_review.csv")
@@ -125,18 +166,19 @@ def auto_review(spark: SparkSession, a: argparse.Namespace, paths: ProjectPaths)
     if old is not None and "ai_status" not in old.columns:
         old = old.withColumn("ai_status", F.lit(""))
     todo = review.unreviewed(rows, old if old is not None and "sequence_id" in old.columns else rows.limit(0).withColumn("ai_status", F.lit("")), start=a.start_idx, limit=a.limit)
-    new = review.review(todo).persist()
+    journal = out.with_name(out.name + ".journal")  # holds every answer of a run that was broken off
+    make = _made(a.reviewer, **({"model_id": a.model_id} if a.model_id else {}), **({"max_new_tokens": a.max_new_tokens} if a.max_new_tokens else {}))
+    new = review.review(todo, make, journal=str(journal)).persist()
     n = new.count()
-    if n:  # the old file is read until the new one is complete
-        draft = out.with_name(out.name + ".new")
-        sinks.write_csv(sinks.union_fields([new] if old is None else [old, new], rows.columns), str(draft))
-        draft.replace(out)
+    if n:
+        sinks.write_csv(sinks.union_fields([new] if old is None else [old, new], rows.columns), str(out))
     new.unpersist()
+    shutil.rmtree(journal, ignore_errors=True)
     return {"out": str(out), "reviewed": n}
 
 
-def print_paths(_: SparkSession, a: argparse.Namespace, paths: ProjectPaths) -> dict:
-    return dict(x.split(": ", 1) for x in paths.lines())
+def print_paths(_: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
+    return paths.described()
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> dict:
@@ -159,9 +201,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     add(sample_subset, text("--manifest"), number("--n-front", 100), number("--n-rear", 100), number("--n-unknown", 100), number("--seed", 42))
     add(profile_labels, text("--sample-csv"), number("--limit", 0))
     add(contact_plan, text("--sample-csv"), name, number("--limit", 20))
+    codec = ("--codec", {"default": "kerbline.operators.media:NumpyCodec", "help": "module:name of a codec"})
+    add(contact_sheets, text("--sample-csv"), name, number("--limit", 20), ("--decoder", {"required": True, "help": "module:name of a decoder"}), codec)
     add(review_sheet, name)
+    add(review_boards, name, number("--limit", 0), codec)
     add(review_input, name)
-    add(auto_review, text("--review-sheet"), text("--out"), name, number("--limit", 20), number("--start-idx", 0), ("--overwrite", {"action": "store_true"}))
+    add(auto_review, text("--review-sheet"), text("--out"), name, number("--limit", 20), number("--start-idx", 0), ("--overwrite", {"action": "store_true"}),
+        ("--reviewer", {"default": "kerbline.operators.review:RuleReviewer", "help": "module:name of a reviewer, made with model_id and max_new_tokens"}), text("--model-id"), number("--max-new-tokens", 700))
     add(print_paths)
     a = parser.parse_args(argv)
     paths = load_paths(a.profile, a.configs)

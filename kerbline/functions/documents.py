@@ -45,12 +45,16 @@ def naming(value: Column | str) -> Column:
     return F.when(text.isNull() | empty, "").when((kind == "BOOLEAN") & (text == "true"), "True").otherwise(strip(text))
 
 
-def value_text(raw: Column, kind: Column) -> Column:
-    """Text of a JSON value: nested ones as JSON with one blank behind commas and colons, truth values capitalised."""
+def spaced(raw: Column) -> Column:
+    """JSON text with one blank behind commas and colons and none elsewhere, strings aside."""
     pieces = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"\s,:]++|[,:]'), F.lit(0))
-    spaced = F.array_join(F.transform(pieces, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
+
+
+def value_text(raw: Column, kind: Column) -> Column:
+    """Text of a JSON value: nested ones as spaced JSON, truth values capitalised."""
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(raw.isNull(), "").when(nested, spaced).when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
+    return F.when(raw.isNull(), "").when(nested, spaced(raw)).when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
 
 
 def tags_of(document: Column, subcategory: str) -> Column:

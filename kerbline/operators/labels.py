@@ -126,8 +126,10 @@ ATTEMPTS = (("utf-8-sig", ","), ("utf-8", ","), ("utf-8-sig", ";"), ("utf-8", ";
 
 FILE_SCHEMA = (
     "path string, error string, num_label_rows long, columns array<string>, nonempty array<long>, samples array<string>, "
-    "preview array<map<string,string>>"
+    "preview array<map<string,string>>, counts array<struct<column:string,value:string,n:long>>"
 )
+#: Roles whose values are counted.
+COUNTED = ("object_col", "class_col")
 
 
 def read_label_bytes(content: bytes) -> pd.DataFrame:
@@ -145,8 +147,10 @@ def read_label_bytes(content: bytes) -> pd.DataFrame:
 
 
 def profile_files(files: DataFrame) -> DataFrame:
-    """Profile of each file of (path, content): its columns, counts, sample values and first rows, or its error."""
+    """Profile of each file of (path, content): its columns, counts, sample values, first rows and the values of columns that
+    may play a counted role, or its error."""
     ship_package(files.sparkSession)
+    counted = [name for role in COUNTED for name in CANDIDATES[role]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,13 +161,14 @@ def profile_files(files: DataFrame) -> DataFrame:
                         raise FileNotFoundError("label_v2_csv_not_found")
                     df = read_label_bytes(bytes(content))
                 except Exception as e:  # noqa: BLE001
-                    out.append((path, str(e) if isinstance(e, FileNotFoundError) else f"{type(e).__name__}: {e}", 0, [], [], [], []))
+                    out.append((path, str(e) if isinstance(e, FileNotFoundError) else f"{type(e).__name__}: {e}", 0, [], [], [], [], []))
                     continue
                 texts = {c: df[c].dropna().astype(str).str.strip() for c in df.columns}
                 values = {c: t[t != ""] for c, t in texts.items()}
                 preview = [{str(c): str(v).strip() for c, v in row.items()} for _, row in df.head(PREVIEW_ROWS).iterrows()]
-                out.append((path, None, len(df), list(map(str, df.columns)), [len(v) for v in values.values()], ["|".join(v.head(SAMPLE_VALUES)) for v in values.values()], preview))
-            yield pd.DataFrame(out, columns=["path", "error", "num_label_rows", "columns", "nonempty", "samples", "preview"])
+                counts = [{"column": str(c), "value": v, "n": int(n)} for c in df.columns if any(k in str(c).lower() for k in counted) for v, n in values[c].value_counts().items()]
+                out.append((path, None, len(df), list(map(str, df.columns)), [len(v) for v in values.values()], ["|".join(v.head(SAMPLE_VALUES)) for v in values.values()], preview, counts))
+            yield pd.DataFrame(out, columns=["path", "error", "num_label_rows", "columns", "nonempty", "samples", "preview", "counts"])
 
     return files.select("path", "content").mapInPandas(scan, FILE_SCHEMA)
 
@@ -199,6 +204,34 @@ def label_errors(sample: DataFrame, profiled: DataFrame) -> DataFrame:
     return sample.select("sequence_id", "label_v2_csv").join(p, "label_v2_csv", "left").select("sequence_id", "label_v2_csv", why.alias("error")).filter(F.col("error").isNotNull())
 
 
+def long_preview(sample: DataFrame, profiled: DataFrame) -> DataFrame:
+    """The first rows of each sample row's file: sequence_id, label_row_idx, target_object and the value of each role, blank
+    where no column plays it (a missing value reads ``nan``)."""
+    p = profiled.filter(F.col("error").isNull()).select(F.col("path").alias("label_v2_csv"), "columns", F.posexplode("preview").alias("label_row_idx", "row"))
+    rows = sample.select("sequence_id", "label_v2_csv", primary_object("label_objects_json").alias("target_object")).join(p, "label_v2_csv").withColumns(role_columns("columns"))
+    value = lambda role: F.coalesce(F.try_element_at("row", F.col(role)), F.lit(""))
+    named = {"class_value": "class_col", "object_value": "object_col", "distance_value": "distance_col"} | {r[:-4]: r for r in list(CANDIDATES)[3:]}
+    return rows.select("sequence_id", "label_row_idx", "target_object", *[value(role).alias(name) for name, role in named.items()])
+
+
+def file_value_counts(sample: DataFrame, profiled: DataFrame, top_objects: int = 100, top_classes: int = 50) -> DataFrame:
+    """(group, value, count): the most frequent object and class values over the files of all sample rows."""
+    p = profiled.filter(F.col("error").isNull()).select(F.col("path").alias("label_v2_csv"), "columns", "counts")
+    rows = sample.select("label_v2_csv").join(p, "label_v2_csv").withColumns({r: find_column("columns", CANDIDATES[r]) for r in COUNTED})
+    out = None
+    for group, role, top in (("label_object_values", "object_col", top_objects), ("class_values", "class_col", top_classes)):
+        own = rows.select(role, F.explode("counts").alias("c")).filter(F.col("c.column") == F.col(role)).groupBy(F.col("c.value").alias("value")).agg(F.sum("c.n").alias("count"))
+        own = own.orderBy(F.desc("count"), "value").limit(top).select(F.lit(group).alias("group"), "value", "count")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def label_overview(sample_rows: int, sequences: DataFrame, errors: DataFrame) -> DataFrame:
+    """(group, value, count): sample rows, loaded label files and errors."""
+    counts = {"sample_rows": sample_rows, "labels_loaded": sequences.count(), "label_errors": errors.count()}
+    return sequences.sparkSession.createDataFrame([("overview", k, n) for k, n in counts.items()], "group string, value string, count long")
+
+
 def label_summary(profiles: DataFrame) -> DataFrame:
     """(group, value, count) over sequence profiles: columns, target objects and rows per file."""
     groups = [

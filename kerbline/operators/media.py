@@ -93,17 +93,41 @@ def crop_tile(sheet: np.ndarray, index: int) -> np.ndarray:
     return out
 
 
-def review_board(chosen: np.ndarray, topview: np.ndarray) -> np.ndarray:
-    """Board of the six tile pairs of two contact sheets, one row per ratio."""
+def review_board(chosen: np.ndarray, topview: np.ndarray, title: list[str] | None = None, glyphs: Callable[[np.ndarray, str, int, int], None] | None = None) -> np.ndarray:
+    """Board of the six tile pairs of two contact sheets, one row per ratio; ``glyphs`` writes the title and the ratios."""
     width, height = G.board_size()
     board = np.full((height, width, 3), WHITE, np.uint8)
     for i in range(G.BOARD_ROWS):
         y = G.BOARD_HEADER + i * (G.TILE_HEIGHT + G.BOARD_ROW_GAP)
         for sheet, x in ((chosen, G.BOARD_LABEL), (topview, G.BOARD_LABEL + G.TILE_WIDTH + G.BOARD_GAP)):
             board[y : y + G.TILE_HEIGHT, x : x + G.TILE_WIDTH] = crop_tile(sheet, i)
+        if glyphs:
+            glyphs(board, f"{RATIOS[i]:.2f}", 20, y + G.TILE_HEIGHT // 2)
+    for i, line in enumerate(title if title and glyphs else []):
+        glyphs(board, line, 20, 26 + 26 * i)
     return board
 
 
+INFO_SCHEMA = "path string, opened boolean, frame_count int, fps double, width int, height int, duration_sec double"
+
+
+def video_info(videos: DataFrame, make_decoder: Callable[[], Decoder]) -> DataFrame:
+    """What is known of each video of ``videos`` (path): size, rate and length; zeros where it cannot be opened."""
+    ship_package(videos.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = make_decoder()
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                info = decoder.probe(path) if path else None
+                count, fps, width, height = info or (0, 0.0, 0, 0)
+                out.append((path, info is not None, count, fps, width, height, count / fps if count > 0 and fps > 0 else 0.0))
+            yield pd.DataFrame(out, columns=["path", "opened", "frame_count", "fps", "width", "height", "duration_sec"])
+
+    return videos.select("path").mapInPandas(run, INFO_SCHEMA)
+
+
 TILE_SCHEMA = "sequence_id string, camera_name string, ratio double, frame_idx int, time_sec double, success int"
 
 
@@ -203,7 +227,7 @@ def contact_sheets(plan: DataFrame, root: str, make_decoder: Callable[[], Decode
     return plan.mapInPandas(run, SHEET_SCHEMA)
 
 
-def review_boards(rows: DataFrame, make_codec: Callable[[], Codec] = NumpyCodec) -> DataFrame:
+def review_boards(rows: DataFrame, make_codec: Callable[[], Codec] = NumpyCodec, glyphs: Callable[[np.ndarray, str, int, int], None] | None = None) -> DataFrame:
     """(sequence_id, review_board_path, review_board_saved): boards of the rows whose two contact sheets can be read."""
     ship_package(rows.sparkSession)
 
@@ -213,7 +237,7 @@ def review_boards(rows: DataFrame, make_codec: Callable[[], Codec] = NumpyCodec)
             out = []
             for sequence, chosen, top, board in zip(batch["sequence_id"], batch["chosen_contact_path"], batch["topview_contact_path"], batch["review_board_path"]):
                 sheets = [codec.read(chosen), codec.read(top)]
-                saved = all(s is not None for s in sheets) and codec.write(board, review_board(*sheets))
+                saved = all(s is not None for s in sheets) and codec.write(board, review_board(*sheets, [str(sequence)], glyphs))
                 out.append((sequence, board if saved else "", int(saved)))
             yield pd.DataFrame(out, columns=["sequence_id", "review_board_path", "review_board_saved"])
 

@@ -6,23 +6,23 @@ opened where it runs. The deterministic ``RuleReviewer`` stands in where no mode
 
 from __future__ import annotations
 
+import contextlib
 import json
-import math
-import re
+import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.functions.documents import resolved_camera
-from kerbline.functions.review import QUALITIES, RATIO_BOUNDS
+from kerbline.functions.documents import allow_repeated_keys, resolved_camera
+from kerbline.functions.review import QUALITIES, RATIO_BOUNDS, SCORES, answer_columns
 from kerbline.functions.text import or_blank, strip
 from kerbline.session import ship_package
 
 HUMAN_COLUMNS = ("best_ratio", "object_visible_score_0_3", "scene_clarity_score_0_3", "topview_useful_score_0_3", "keep_for_next_stage", "candidate_quality", "notes")
-SCORES = ("object_visible_score_0_3", "scene_clarity_score_0_3", "topview_useful_score_0_3")
 AI_COLUMNS = (
     "ai_best_ratio ai_model_best_ratio_raw ai_object_visible_score_0_3 ai_scene_clarity_score_0_3 ai_topview_useful_score_0_3 ai_keep_for_next_stage "
     "ai_candidate_quality ai_confidence ai_ratio_scores_json ai_reason ai_raw_text ai_status"
@@ -127,6 +127,9 @@ class Reviewer(Protocol):
 class RuleReviewer:
     """Answers from a hash of the board's path: always the same, for tests and dry runs."""
 
+    def __init__(self, model_id: str = "rule", max_new_tokens: int = 0) -> None:
+        self.model_id, self.max_new_tokens = model_id, max_new_tokens
+
     def review(self, prompt: str, board_path: str) -> str:
         import hashlib
 
@@ -136,91 +139,82 @@ class RuleReviewer:
         return json.dumps({"ratio_scores": scores, "model_best_ratio": "0.60", "confidence": "low", "overall_reason": "rule"})
 
 
-def extract_object(text: str) -> dict:
-    """The JSON object of an answer: the whole text, else a fenced block, else the span between the outer braces."""
-    text = text.strip()
-    fenced, braces = re.search(r"```(?:json)?\s*(\{.*\})\s*```", text, re.S), re.search(r"\{.*\}", text, re.S)
-    for candidate in (text, fenced and fenced[1], braces and braces[0]):
-        if candidate:
-            try:
-                return json.loads(candidate)
-            except ValueError:
-                continue
-    raise ValueError("no JSON object in the answer")
-
-
-def ratio_text(value: object) -> str:
-    try:
-        return f"{float(value):.2f}"  # type: ignore[arg-type]
-    except (TypeError, ValueError):
-        return str(value or "").strip()
-
-
-def clamp_score(value: object) -> int:
-    try:
-        return max(0, min(3, int(value)))  # type: ignore[call-overload]
-    except (TypeError, ValueError, OverflowError):
-        return 0
-
-
-def known_quality(value: object) -> str:
-    q = str(value or "").strip().lower()
-    return q if q in QUALITIES else "bad"
-
-
-def score_answer(text: str) -> dict[str, str]:
-    """The ``ai_`` columns of an answer. Raises where it holds no JSON object."""
-    answer = extract_object(text)
-    if not isinstance(answer, dict):
-        raise ValueError("the answer is no JSON object")
-    listed = answer.get("ratio_scores", [])
-    items = [x for x in listed if isinstance(x, dict) and ratio_text(x.get("ratio", "")) in RATIO_BOUNDS] if isinstance(listed, list) else []
-    clean = [
-        {"ratio": ratio_text(x.get("ratio", "")), **{s: clamp_score(x.get(s, 0)) for s in SCORES}, "candidate_quality": known_quality(x.get("candidate_quality", "")), "reason": str(x.get("reason", "")).strip()}
-        for x in items
-    ]
-    points = [4 * x[SCORES[0]] + 2 * x[SCORES[2]] + x[SCORES[1]] + QUALITIES[x["candidate_quality"]] for x in clean]
-    winner = clean[points.index(max(points))]["ratio"] if clean else ""
-    best = next((x for x in clean if x["ratio"] == winner), {})  # the first entry of the winning ratio
-    own = known_quality(best.get("candidate_quality", "bad"))
-    return dict(
-        zip(
-            AI_COLUMNS,
-            [
-                winner, ratio_text(answer.get("model_best_ratio", "")), *[str(best.get(s, "")) for s in SCORES], "1" if own in ("good", "good_enough") else "0", own,
-                str(answer.get("confidence", "")).strip(), json.dumps(clean, ensure_ascii=False), str(answer.get("overall_reason", "")).strip(), text.strip(), "ok",
-            ],
-        )
-    )
-
-
-def review(rows: DataFrame, make_reviewer: Callable[[], Reviewer] = RuleReviewer, board_exists: Callable[[str], bool] | None = None) -> DataFrame:
-    """``rows`` with the ``ai_`` columns. A row that fails gets blanks and a status that names the error; others go on.
+def board_problem(row: dict, board_exists: Callable[[str], bool] | None) -> str | None:
+    """Why a row cannot be reviewed, or None."""
+    board = str(row.get("review_board_path") or "").strip()
+    if not board:
+        return "FileNotFoundError: no review board path"
+    if board_exists is not None and not board_exists(board):
+        return f"FileNotFoundError: missing review board: {board}"
+    saved = row.get("review_board_saved")
+    if not pd.isna(saved) and str(saved).strip() not in ("", "1", "1.0", "True", "true"):
+        return f"RuntimeError: review board is not saved for sequence {row.get('sequence_id') or ''}"
+    return None
+
+
+def ask(
+    rows: DataFrame, make_reviewer: Callable[[], Reviewer] = RuleReviewer, board_exists: Callable[[str], bool] | None = None, journal: str | None = None
+) -> DataFrame:
+    """``rows`` with ``answer`` and ``problem`` (null if there is none). A row that fails does not stop the others.
 
-    ``board_exists`` checks a board's path on the executor (default: any path that is not blank).
+    ``journal``: a folder that all machines share. Every answer is appended there as soon as it is there, so that a run
+    that is broken off loses at most the row in work (see ``read_journal``).
     """
     ship_package(rows.sparkSession)
-    kept = [c for c in rows.columns if c not in AI_COLUMNS]
+    kept = [c for c in rows.columns if c not in (*AI_COLUMNS, "answer", "problem")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reviewer = make_reviewer()
-        for batch in batches:
-            results = []
-            for row in batch.to_dict("records"):
-                try:
-                    board = str(row.get("review_board_path") or "").strip()
-                    if not board:
-                        raise FileNotFoundError("no review board path")
-                    if board_exists is not None and not board_exists(board):
-                        raise FileNotFoundError(f"missing review board: {board}")
-                    saved = row.get("review_board_saved")
-                    if ("" if saved is None or (isinstance(saved, float) and math.isnan(saved)) else str(saved).strip()) not in ("", "1", "1.0", "True", "true"):
-                        raise RuntimeError(f"review board is not saved for sequence {row.get('sequence_id') or ''}")
-                    results.append(score_answer(reviewer.review(prompt_of(row), board)))
-                except Exception as e:  # noqa: BLE001
-                    results.append(dict.fromkeys(AI_COLUMNS, "") | {"ai_status": f"error: {type(e).__name__}: {e}"})
-            made = pd.DataFrame(results, columns=list(AI_COLUMNS), index=batch.index)
-            yield pd.concat([batch[kept], made], axis=1)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", " + ", ".join(f"{c} string" for c in AI_COLUMNS)
+        with contextlib.ExitStack() as stack:
+            log = None
+            if journal is not None:
+                os.makedirs(journal, exist_ok=True)
+                log = stack.enter_context(open(os.path.join(journal, f"{uuid.uuid4().hex}.jsonl"), "w", encoding="utf-8"))
+            for batch in batches:
+                answers, problems = [], []
+                for row in batch.to_dict("records"):
+                    answer, problem = None, board_problem(row, board_exists)
+                    if problem is None:
+                        try:
+                            answer = reviewer.review(prompt_of(row), str(row["review_board_path"]).strip())
+                        except Exception as e:  # noqa: BLE001
+                            problem = f"{type(e).__name__}: {e}"
+                    if log and answer is not None:
+                        log.write(json.dumps({"sequence_id": row.get("sequence_id"), "answer": answer}) + "\n")
+                        log.flush()
+                        os.fsync(log.fileno())
+                    answers.append(answer)
+                    problems.append(problem)
+                yield batch[kept].assign(answer=pd.Series(answers, dtype=object, index=batch.index), problem=pd.Series(problems, dtype=object, index=batch.index))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", answer string, problem string"
     return rows.select(*kept).mapInPandas(run, schema)
+
+
+def read_journal(spark: SparkSession, journal: str) -> DataFrame:
+    """(sequence_id, answer) of the answers that earlier runs left in a journal, one row per sequence."""
+    lines = spark.read.schema("sequence_id string, answer string").json(journal)
+    return lines.filter("answer is not null").groupBy("sequence_id").agg(F.min("answer").alias("answer"))
+
+
+def scored(answered: DataFrame) -> DataFrame:
+    """Rows with ``answer`` and ``problem`` to the ``ai_`` columns."""
+    allow_repeated_keys(answered.sparkSession)
+    columns = answer_columns(F.col("answer"))
+    failed = F.col("problem").isNotNull()
+    out = {name: F.when(~failed, c).otherwise(F.concat(F.lit("error: "), "problem") if name == "ai_status" else "") for name, c in columns.items()}
+    return answered.select(*[c for c in answered.columns if c not in ("answer", "problem")], *[out[c].alias(c) for c in AI_COLUMNS])
+
+
+def review(rows: DataFrame, make_reviewer: Callable[[], Reviewer] = RuleReviewer, board_exists: Callable[[str], bool] | None = None, journal: str | None = None) -> DataFrame:
+    """``rows`` with the ``ai_`` columns. A row that fails gets blanks and a status that names the error; others go on.
+
+    ``board_exists`` checks a board's path on the executor (default: any path that is not blank). Answers are read and scored by
+    built-in expressions; only the reviewer itself runs in Python. Answers of an earlier run's ``journal`` are not asked for again.
+    """
+    if journal is None or not os.path.isdir(journal):
+        return scored(ask(rows, make_reviewer, board_exists, journal))
+    known = read_journal(rows.sparkSession, journal)
+    old = rows.join(known, "sequence_id").withColumn("problem", F.lit(None).cast("string"))
+    new = ask(rows.join(known.select("sequence_id"), "sequence_id", "left_anti"), make_reviewer, board_exists, journal)
+    return scored(old.select(*new.columns).unionByName(new))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -56,11 +57,18 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its source gives fewer partitions than there are cores (one small file, say).
 
     Meant for narrow work that costs far more than moving the rows; a large input has enough partitions and stays as it is.
+    Only plans without a shuffle are looked at: counting the partitions of others would run them.
     """
+    if MOVING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Operators of a logical plan that move rows.
+MOVING = re.compile(r"Join|Aggregate|Window|Sort|Repartition(?:By| \d+, true)|Rebalance|Distinct|Limit|Deduplicate|Intersect|Except")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per Spark application.
 

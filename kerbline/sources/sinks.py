@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
+import shutil
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -10,18 +13,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with header; an empty table gives an empty file. Rows stream through the driver one partition at a
-    time, which is meant for reports and samples; keep large tables in Parquet."""
+def write_csv(df: DataFrame, path: str, header_always: bool = False) -> None:
+    """One CSV file with header, rows in the order of ``df``. An empty table gives an empty file, or its header alone.
+
+    Spark writes the parts next to the target; only their bytes are joined here, and the file appears when it is complete.
+    """
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", newline="", encoding="utf-8") as f:
-        writer = None
-        for row in df.toLocalIterator():
-            if writer is None:
-                writer = csv.writer(f)
-                writer.writerow(df.columns)
-            writer.writerow(["" if v is None else v for v in row])
+    parts = target.with_name(f".{target.name}.parts-{uuid.uuid4().hex}")
+    flags = {n for n, t in df.dtypes if t == "boolean"}
+    text = [F.coalesce(F.initcap(F.col(f"`{c}`").cast("string")) if c in flags else F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]
+    options = {"emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    try:
+        df.select(*text).write.options(**options).csv(str(parts))
+        files = [f for f in sorted(parts.glob("part-*.csv")) if f.stat().st_size]
+        draft = parts / "whole"
+        with draft.open("wb") as out:
+            if files or header_always:
+                names = io.StringIO()
+                csv.writer(names, lineterminator="\n").writerow(df.columns)
+                out.write(names.getvalue().encode())
+            for f in files:
+                with f.open("rb") as part:
+                    shutil.copyfileobj(part, out)
+        draft.replace(target)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
 
 
 def union_fields(frames: Sequence[DataFrame], preferred: Sequence[str]) -> DataFrame:

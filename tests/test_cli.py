@@ -1,6 +1,8 @@
 import csv
 import json
+import os
 
+import numpy as np
 import pytest
 import yaml
 
@@ -27,6 +29,22 @@ def project(tmp_path):
     return tmp_path
 
 
+class GreyDecoder:
+    def probe(self, path):
+        return (100, 25.0, 8, 6)
+
+    def frames(self, path, indices):
+        return [np.full((6, 8, 3), i, np.uint8) for i in indices]
+
+
+class BrokenReviewer:
+    def __init__(self, model_id, max_new_tokens):
+        assert (model_id, max_new_tokens) == ("m", 700)
+
+    def review(self, prompt, board_path):
+        raise RuntimeError("down")
+
+
 def read(path):
     with open(path, newline="", encoding="utf-8") as f:
         return list(csv.DictReader(f))
@@ -39,19 +57,29 @@ def test_pipeline(spark, project):
     assert run("profile-json") | {"out": ""} == {"out": "", "documents": 6, "loaded": 5}
     assert run("sample-subset", "--n-front", "1") | {"out": ""} == {"out": "", "rule_ready": 3, "unknown": 1}
     assert run("profile-labels")["labels_loaded"] == 3
+    profile = project / "outputs_dir" / "label_profile"
+    assert len(read(profile / "label_v2_long_preview.csv")) == 6 and {r["class_value"] for r in read(profile / "label_v2_long_preview.csv")} == {"1", "2"}
+    assert {(r["group"], r["value"], r["count"]) for r in read(profile / "label_v2_summary.csv")} >= {
+        ("overview", "labels_loaded", "3"), ("overview", "sample_rows", "3"), ("overview", "label_errors", "0"), ("label_object_values", "Pole", "3"), ("class_values", "2", "3"), ("rows_per_label_file", "2", "3"),
+    }
     assert run("contact-plan")["sequences"] == 3
     reviews = project / "outputs_dir" / "reviews" / "rule_ready_sample"
-    ids = [r["sequence_id"] for r in read(project / "samples_dir" / "rule_ready_sample.csv")]
-    (reviews / "contact_sheet_summary.csv").write_text("sequence_id,chosen_contact_saved,topview_contact_saved,pair_mid_saved\n" + "".join(f"{i},1,1,1\n" for i in ids))
+    assert run("contact-sheets", "--decoder", "tests.test_cli:GreyDecoder") | {"out": ""} == {"out": "", "sequences": 3, "pairs_saved": 3}
     assert run("review-sheet")["rows"] == 3
-    (reviews / "review_board_summary.csv").write_text("sequence_id,review_board_path,review_board_saved\n" + "".join(f"{i},b/{i}.jpg,1\n" for i in ids))
+    assert run("review-boards") | {"out": ""} == {"out": "", "rows": 3, "boards_saved": 3}
     assert run("review-input")["rows"] == 3
+    assert all(os.path.exists(r["review_board_path"]) and r["review_board_saved"] == "1" for r in read(reviews / "review_input.csv"))
     assert run("auto-review", "--limit", "2")["reviewed"] == 2
-    assert run("auto-review", "--limit", "0")["reviewed"] == 1
+    journal = reviews / "auto_review.csv.journal"  # left by a run that was broken off
+    journal.mkdir()
+    last = read(reviews / "review_input.csv")[2]["sequence_id"]
+    (journal / "x.jsonl").write_text(json.dumps({"sequence_id": last, "answer": '{"ratio_scores": [], "overall_reason": "kept"}'}) + '\n{"sequence_id": "cut o')
+    assert run("auto-review", "--limit", "0", "--reviewer", "tests.test_cli:BrokenReviewer", "--model-id", "m")["reviewed"] == 1
+    assert [r["ai_reason"] for r in read(reviews / "auto_review.csv") if r["sequence_id"] == last] == ["kept"] and not journal.exists()
     assert {r["ai_status"] for r in read(reviews / "auto_review.csv")} == {"ok"} and len(read(reviews / "auto_review.csv")) == 3
     assert run("auto-review", "--limit", "0")["reviewed"] == 0
     assert (project / "outputs_dir" / "json_profile" / "report.md").read_text().startswith("# JSON metadata")
-    assert run("print-paths")["profile_name   "] == "t"
+    assert run("print-paths")["profile_name"] == "t"
     with pytest.raises(FileNotFoundError):
         run("enrich-manifest", "--manifest", str(project / "none.csv"))
     with pytest.raises(FileNotFoundError):
@@ -70,6 +98,11 @@ def test_csv_edges(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "e.csv"), ["x"]).count() == 0
     sinks.write_csv(spark.createDataFrame([], "a int"), str(tmp_path / "sub" / "o.csv"))
     assert (tmp_path / "sub" / "o.csv").read_bytes() == b""
+    sinks.write_csv(spark.createDataFrame([], "a int, b string"), str(tmp_path / "sub" / "o.csv"), header_always=True)
+    assert (tmp_path / "sub" / "o.csv").read_bytes() == b"a,b\n"
+    rows = [(i, f' x{i}, "q"\nnext ', None, i % 2 == 0) for i in range(50)]
+    sinks.write_csv(spark.createDataFrame(rows, "i int, t string, n string, f boolean").repartition(5).orderBy("i"), str(tmp_path / "o.csv"))
+    assert [(r["i"], r["t"], r["n"], r["f"]) for r in read(tmp_path / "o.csv")] == [(str(i), t, "", str(f)) for i, t, _, f in rows]
     a, b = spark.createDataFrame([(1, "x")], "i int, q string"), spark.createDataFrame([("y", 2.0)], "p string, r double")
     out = sinks.union_fields([a, b], ["p", "i"])
     assert out.columns == ["p", "i", "q", "r"] and {tuple(r) for r in out.collect()} == {("", "1", "x", ""), ("y", "", "", "2.0")}

@@ -80,13 +80,27 @@ def test_label_files(spark):
 ANSWER = {"ratio_scores": [{"ratio": 0.3, "object_visible_score_0_3": 3, "candidate_quality": "good"}, {"ratio": "0.60", "object_visible_score_0_3": "3", "candidate_quality": "GOOD"}, {"ratio": 0.2}, 5]}
 
 
-def test_answers():
-    got = review.score_answer("sure ```json\n" + json.dumps(ANSWER) + "\n``` bye")
-    assert (got["ai_best_ratio"], got["ai_keep_for_next_stage"], got["ai_status"]) == ("0.30", "1", "ok")  # the first of equals
-    assert review.score_answer('{"ratio_scores": 3}')["ai_candidate_quality"] == "bad"
-    assert [review.clamp_score(x) for x in ("2.0", 2.7, True, -1, 9, None, "3")] == [0, 2, 1, 0, 3, 0, 3]
+def answers(spark, texts):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "i int, answer string, problem string")
+    return [r.asDict() for r in review.scored(df).orderBy("i").collect()]
+
+
+def test_answers(spark):
     twice = {"ratio_scores": [{"ratio": "0.15", "candidate_quality": "bad"}, {"ratio": "0.15", "object_visible_score_0_3": 3, "candidate_quality": "good"}]}
-    assert review.score_answer(json.dumps(twice))["ai_candidate_quality"] == "bad"  # fields of the first entry of the winner
+    wild = ["2.0", 2.7, True, -1, 9, None, "3", " 2 ", [1], "x", False, -2.5]
+    many = {"ratio_scores": [{"ratio": 0.6, "object_visible_score_0_3": x, "reason": " r "} for x in wild], "model_best_ratio": 0.2, "confidence": None, "overall_reason": " why "}
+    got = answers(spark, [
+        "sure ```json\n" + json.dumps(ANSWER) + "\n``` bye", '{"ratio_scores": 3}', json.dumps(twice), json.dumps(many), "[1]", "no object", '{"a": 1} {"b": 2}', 'see {x}: ```{"model_best_ratio": "0.3"}```', None,
+    ])
+    assert (got[0]["ai_best_ratio"], got[0]["ai_keep_for_next_stage"], got[0]["ai_status"]) == ("0.30", "1", "ok")  # the first of equals
+    assert (got[1]["ai_candidate_quality"], got[1]["ai_best_ratio"], got[1]["ai_object_visible_score_0_3"], got[1]["ai_ratio_scores_json"], got[1]["ai_status"]) == ("bad", "", "", "[]", "ok")
+    assert got[2]["ai_candidate_quality"] == "bad"  # fields of the first entry of the winner
+    assert [x["object_visible_score_0_3"] for x in json.loads(got[3]["ai_ratio_scores_json"])] == [0, 2, 1, 0, 3, 0, 3, 2, 0, 0, 0, 0]
+    clean = [{"ratio": "0.60", "object_visible_score_0_3": n, "scene_clarity_score_0_3": 0, "topview_useful_score_0_3": 0, "candidate_quality": "bad", "reason": "r"} for n in [0, 2, 1, 0, 3, 0, 3, 2, 0, 0, 0, 0]]
+    assert got[3]["ai_ratio_scores_json"] == json.dumps(clean)
+    assert (got[3]["ai_model_best_ratio_raw"], got[3]["ai_confidence"], got[3]["ai_reason"]) == ("0.20", "", "why")
+    assert [x["ai_status"][:17] for x in got[4:7]] == ["error: ValueError"] * 3 and got[4]["ai_raw_text"] == ""
+    assert (got[7]["ai_model_best_ratio_raw"], got[7]["ai_status"], got[8]["ai_status"][:5]) == ("0.30", "ok", "error")
 
 
 def test_review_and_resume(spark, tmp_path):
@@ -138,6 +152,11 @@ def test_tiles(spark):
     got = {(r.sequence_id, r.camera_name, r.ratio): (r.frame_idx, r.time_sec, r.success) for r in tiles.collect()}
     assert got[("s", "front", 0.15)] == (15, 0.606, 1) and got[("s", "front", 0.9)] == (90, 3.636, 0) and got[("z", "front", 0.3)] == (-1, None, 0)
     assert media.tile_pairs(tiles).count() == 6
+    info = {r.path: tuple(r)[1:] for r in media.video_info(videos, FakeDecoder).collect()}
+    assert info["f"] == (True, 101, 25.0, 4, 4, 4.04) and info["bad"] == (False, 0, 0.0, 0, 0, 0.0)
+    drawn = []
+    media.review_board(np.zeros((484, 960, 3), np.uint8), np.zeros((484, 960, 3), np.uint8), ["s"], lambda im, text, x, y: drawn.append(text))
+    assert drawn == ["0.15", "0.30", "0.45", "0.60", "0.75", "0.90", "s"]
 
 
 def test_sheets_and_boards(spark, tmp_path):
