@@ -73,8 +73,8 @@ def profile_lines(lines: DataFrame, **columns: str) -> DataFrame:
     """(file, column_name, nonempty_count, sample_values) per column: the first five values in line order,
     those of lines without a number last and by value.
 
-    Missing marks (empty, NA, None) are no values. Lines are aggregated by (file, block), as they are partitioned already, and
-    blocks by steps of ``BLOCKS_AT_ONCE``: every state is bounded and only one small row a block and column is moved.
+    Missing marks (empty, NA, None) are no values. Lines are aggregated by (file, block), as they are partitioned already, then
+    ``BLOCKS_AT_ONCE`` blocks at a time, then by file: every state is bounded and only one row a block is moved.
     """
     ok = loaded_lines(lines, **columns)
     each = ok.select("file", "block", "line_no", F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("fields").alias("v"))).alias("z"))
@@ -82,12 +82,17 @@ def profile_lines(lines: DataFrame, **columns: str) -> DataFrame:
     rows = each.select("file", "block", F.col("z.n").alias("column_name"), "line_no", F.when(value != "", value).alias("v"))
     entry = F.when(F.col("v").isNotNull(), F.struct(F.col("line_no").isNull().alias("unnumbered"), "line_no", "v"))
     first = lambda values: F.slice(F.array_sort(values), 1, SAMPLE_VALUES)
-    found = rows.groupBy("file", "block", "column_name").agg(F.count("v").alias("n"), first(F.collect_list(entry)).alias("s"))
-    for _ in range(2):
-        found = found.withColumn("block", F.floor(F.col("block") / BLOCKS_AT_ONCE))
-        found = found.groupBy("file", "block", "column_name").agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("s"))).alias("s"))
-    found = found.groupBy("file", "column_name").agg(F.sum("n").alias("nonempty_count"), first(F.flatten(F.collect_list("s"))).alias("s"))
-    return found.select("file", "column_name", "nonempty_count", F.array_join(F.col("s.v"), "|").alias("sample_values"))
+    pack = F.collect_list(F.struct("column_name", "n", "s")).alias("c")
+    blocks = rows.groupBy("file", "block", "column_name").agg(F.count("v").alias("n"), first(F.collect_list(entry)).alias("s"))
+    packed = blocks.groupBy("file", "block").agg(pack).withColumn("block", F.floor(F.col("block") / BLOCKS_AT_ONCE))
+
+    def merged(df: DataFrame, *keys: str) -> DataFrame:
+        """Packed rows of equal keys as one row a column; one shuffle."""
+        each = df.repartition(*[F.col(k) for k in keys]).select(*keys, F.explode("c").alias("c")).select(*keys, "c.*")
+        return each.groupBy(*keys, "column_name").agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("s"))).alias("s"))
+
+    packed = merged(packed, "file", "block").groupBy("file", "block").agg(pack)
+    return merged(packed, "file").select("file", "column_name", F.col("n").alias("nonempty_count"), F.array_join(F.col("s.v"), "|").alias("sample_values"))
 
 
 def rows_per_file(lines: DataFrame, **columns: str) -> DataFrame:
