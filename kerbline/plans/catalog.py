@@ -80,16 +80,14 @@ def manifest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.manifest_profile(table(spark, sf_dir, MANIFEST))
 
 
-@query("select lang, source, grouping(lang, source)::bigint as level, count(*) as n from documents group by grouping sets ((lang), (source))")
+@query("select 'lang' as \"group\", coalesce(lang, '') as value, count(*) as \"count\" from documents group by 2 union all select 'source', coalesce(source, 'MISSING'), count(*) from documents group by 2")
 def profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n")).select("lang", "source", "level", "n")
+    return counter_profile(table(spark, sf_dir, "documents"), [Group("lang", "lang"), Group("source", "source", missing="MISSING")])
 
 
-@query("select event_type as value, count(*) as n, min(event_id) as first_seen from events group by 1 order by n desc, first_seen limit 3")
+@query("select 'event_type' as \"group\", event_type as value, count(*) as \"count\" from events group by 2 order by 3 desc, min(event_id) limit 3")
 def counter_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen"))
-    return counts.orderBy(F.desc("n"), "first_seen").limit(3)
+    return counter_profile(table(spark, sf_dir, "events"), [Group("event_type", "event_type", top=3)], first_seen="event_id")
 
 
 @query(rf"select distinct sequence_dir, regexp_replace(sequence_dir, '[/\\]', '__', 'g') as made_id from {MANIFEST}")
@@ -384,25 +382,30 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.round_robin(front, sampling.STRATA, 137).select("sequence_id")
 
 
-@query(
-    f"with {_ONE}, {_BASE}, {_dealt('front', 42, 100, 'f')}, {_dealt('rear', 43, 100, 'r')}, {_dealt('unknown', 44, 100, 'u')} "
-    "select 'ready' as sample, sequence_id from f union all select 'ready', sequence_id from r union all select 'unknown', sequence_id from u"
+_NAMES = f"list_filter(list_transform(string_split(coalesce(label_objects_json, ''), '|'), lambda x: {_strip('string_split(x, chr(58))[1]')}), lambda x: x <> '')"
+_WEATHERS = f"list_filter(list_transform(string_split(coalesce(weather_tags, ''), '|'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+_TARGET = f"coalesce(list_filter({_NAMES}, lambda x: lower(x) <> 'empty')[1], case when len({_NAMES}) > 0 then 'empty_control' else 'unknown' end)"
+_ROW = (
+    "sequence_id, sequence_dir, is_poc_ready, json_loaded, preferred_camera_rule, preferred_camera_rule_reason, driving_direction, approach, scene_tags, weather_tags, label_objects_json, "
+    f"{_TARGET} as target_object, {_TARGET} as primary_label_object, coalesce({_WEATHERS}[1], 'MISSING') as primary_weather, front_video, rear_video, topview_video, label_v2_csv, metadata_json"
 )
-def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready, unknown = sampling.build_samples(_manifest_once(spark, sf_dir))
-    return ready.select(F.lit("ready").alias("sample"), "sequence_id").unionByName(unknown.select(F.lit("unknown").alias("sample"), "sequence_id"))
 
 
-_NAMES = f"list_filter(list_transform(string_split(coalesce(label_objects_json, ''), '|'), lambda x: {_strip('string_split(x, chr(58))[1]')}), lambda x: x <> '')"
-_WEATHERS = f"list_filter(list_transform(string_split(coalesce(weather_tags, ''), '|'), lambda x: {_strip('x')}), lambda x: x <> '')"
+@query(f"select {_ROW} from {MANIFEST}")
+def sampling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sampling_rows(table(spark, sf_dir, MANIFEST))
 
 
 @query(
-    f"select sequence_id, coalesce(list_filter({_NAMES}, lambda x: lower(x) <> 'empty')[1], case when len({_NAMES}) > 0 then 'empty_control' else 'unknown' end) as target_object, "
-    f"coalesce({_WEATHERS}[1], 'MISSING') as primary_weather from {MANIFEST}"
+    f"with {_ONE}, {_BASE}, {_dealt('front', 42, 100, 'f')}, {_dealt('rear', 43, 100, 'r')}, {_dealt('unknown', 44, 100, 'u')}, "
+    "p as (select 'ready' as sample, sequence_id from f union all select 'ready', sequence_id from r union all select 'unknown', sequence_id from u) "
+    f"select sample, b.* from p join (select {_ROW} from base) b using (sequence_id)"
 )
-def sampling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sampling_rows(table(spark, sf_dir, MANIFEST)).select("sequence_id", "target_object", "primary_weather")
+def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready, unknown = sampling.build_samples(_manifest_once(spark, sf_dir))
+    return ready.withColumn("sample", F.lit("ready")).unionByName(unknown.withColumn("sample", F.lit("unknown")))
 
 
 @query(f"select sequence_id, {_CAMERA.format(d='''coalesce(driving_direction, '')''')} as camera, case when {_CAMERA.format(d='''coalesce(driving_direction, '')''')} = 'unknown' then 'no_direction_rule' else 'json_driving_direction' end as reason from {MANIFEST}")
@@ -498,17 +501,14 @@ def nonempty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview(table(spark, sf_dir, MANIFEST), {c: labels.nonempty_count(c) for c in columns})
 
 
-@query("select user_id, array_to_string(list(event_id::varchar order by ts, event_id)[1:5], '|') as first_events from events group by 1")
-def first_k_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    first = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(labels.Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("k <= 5")
-    return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_id"].cast("string")), "|").alias("first_events"))
-
-
-@query("select user_id, event_id, k from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k from events) where k <= 2")
-def head_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = labels.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(order).cast("bigint").alias("k")).filter("k <= 2")
+@query(
+    "with f as (select distinct file_path from label_v2_csv where file_path is not null) select sequence_id, label_v2_csv, "
+    f"case when {_strip('coalesce(label_v2_csv, ' + chr(39) * 2 + ')')} = '' then 'missing_label_v2_csv_path' else 'label_v2_csv_not_found' end as error "
+    f"from {MANIFEST} m where label_v2_csv is null or label_v2_csv not in (select file_path from f)"
+)
+def label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = table(spark, sf_dir, "label_v2_csv").filter("file_path is not null").select(F.col("file_path").alias("path"), F.lit(None).cast("string").alias("error")).distinct()
+    return labels.label_errors(table(spark, sf_dir, MANIFEST).select("sequence_id", "label_v2_csv"), there)
 
 
 # --- review -------------------------------------------------------------------------------------------------------
@@ -541,35 +541,95 @@ def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHOSEN = f"case when lower({_strip('coalesce(preferred_camera_rule, ' + chr(39) * 2 + ')')}) = 'rear' then 'rear' else 'front' end"
 
 
-@query(
-    f"with f as (select distinct unnest([front_video, rear_video, topview_video]) as path from {MANIFEST}), "
+_PLAN = (
+    f"f as (select distinct unnest([front_video, rear_video, topview_video]) as path from {MANIFEST}), "
     f"s as (select sequence_id, {_CHOSEN} as camera, trim(coalesce(case when {_CHOSEN} = 'rear' then rear_video else front_video end, '')) as chosen, trim(coalesce(topview_video, '')) as top, "
-    "coalesce(driving_direction, '') as d, coalesce(approach, '') as a, coalesce(primary_label_object, '') as o from sequence_sample) "
-    "select sequence_id, camera as preferred_camera_rule, chosen as chosen_video, (chosen in (select path from f where path is not null))::int as chosen_video_exists, "
-    "(top in (select path from f where path is not null))::int as topview_video_exists, "
-    "sequence_id || ' | cam=' || camera || ' | dir=' || d || ' | approach=' || a || ' | obj=' || o as label_text from s"
+    "coalesce(driving_direction, '') as d, coalesce(approach, '') as a, coalesce(primary_label_object, '') as o, coalesce(weather_tags, '') as w from sequence_sample), "
+    "plan as (select sequence_id, camera as preferred_camera_rule, d as driving_direction, a as approach, o as primary_label_object, w as weather_tags, chosen as chosen_video, top as topview_video, "
+    "(chosen in (select path from f where path is not null))::int as chosen_video_exists, (top in (select path from f where path is not null))::int as topview_video_exists, "
+    "sequence_id || ' | cam=' || camera || ' | dir=' || d || ' | approach=' || a || ' | obj=' || o as label_text from s)"
 )
-def contact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _contact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, MANIFEST).select(F.explode(F.array("front_video", "rear_video", "topview_video")).alias("path")).filter("path is not null")
-    plan = review.contact_plan(table(spark, sf_dir, "sequence_sample"), paths)
-    return plan.select("sequence_id", "preferred_camera_rule", "chosen_video", "chosen_video_exists", "topview_video_exists", "label_text")
+    return review.contact_plan(table(spark, sf_dir, "sequence_sample"), paths)
+
+
+@query(f"with {_PLAN} select *, chosen_video_exists * topview_video_exists as pair_possible from plan")
+def contact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contact_plan(spark, sf_dir)
+
+
+#: What a run is taken to have saved: every second sheet, and pairs of which both videos exist.
+_SAVED = "v as (select distinct sequence_id, 1 as chosen_contact_saved, (length(sequence_id) % 2)::int as topview_contact_saved, (length(sequence_id) % 3 = 0)::int as pair_mid_saved from sequence_sample where sequence_id is not null)"
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("sequence_id")
+    flags = {"chosen_contact_saved": F.lit(1), "topview_contact_saved": n % 2, "pair_mid_saved": (n % 3 == 0).cast("int")}
+    return table(spark, sf_dir, "sequence_sample").filter("sequence_id is not null").select("sequence_id").distinct().withColumns(flags)
 
 
 @query(
-    f"select sequence_id, coalesce(preferred_camera_rule, '') as preferred_camera_rule, coalesce(target_object, '') as target_object, '' as chosen_contact_saved, "
-    f"'out/' || sequence_id || '/' || {_CHOSEN} || '_contact.jpg' as chosen_contact_path, 'out/' || sequence_id || '/pair_' || {_CHOSEN} || '_mid.jpg' as pair_mid_path, '' as best_ratio, '' as notes "
-    "from sequence_sample"
+    f"with {_PLAN}, {_SAVED} select sequence_id, preferred_camera_rule, driving_direction, approach, primary_label_object, weather_tags, chosen_video_exists, topview_video_exists, "
+    "coalesce(chosen_contact_saved, 0) as chosen_contact_saved, coalesce(topview_contact_saved, 0) as topview_contact_saved, coalesce(pair_mid_saved, 0) as pair_mid_saved, "
+    "case when pair_mid_saved = 1 then concat_ws('/', 'out', sequence_id, 'pair_' || preferred_camera_rule || '_mid.jpg') else '' end as pair_mid_path from plan left join v using (sequence_id)"
+)
+def contact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.contact_summary(review.artifact_paths(_contact_plan(spark, sf_dir), "out"), _saved(spark, sf_dir))
+
+
+_SHEET_OWN = "preferred_camera_rule preferred_camera_rule_reason driving_direction approach weather_tags primary_label_object scene_tags metadata_json label_objects_json target_object".split()
+_SHEET = (
+    f"sheet as (select coalesce(s.sequence_id, '') as sequence_id, {', '.join(f'coalesce({c}, {chr(39) * 2}) as {c}' for c in _SHEET_OWN)}, "
+    + ", ".join(f"coalesce({c}::varchar, '') as {c}" for c in ("chosen_contact_saved", "topview_contact_saved", "pair_mid_saved"))
+    + f", concat_ws('/', 'out', s.sequence_id, {_CHOSEN} || '_contact.jpg') as chosen_contact_path, concat_ws('/', 'out', s.sequence_id, 'topview_contact.jpg') as topview_contact_path, "
+    f"concat_ws('/', 'out', s.sequence_id, 'pair_' || {_CHOSEN} || '_mid.jpg') as pair_mid_path, {', '.join(f'{chr(39) * 2} as {c}' for c in review.HUMAN_COLUMNS)} "
+    "from sequence_sample s left join v on v.sequence_id = s.sequence_id)"
 )
+
+
+def _review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review_sheet(table(spark, sf_dir, "sequence_sample"), _saved(spark, sf_dir), "out")
+
+
+@query(f"with {_SAVED}, {_SHEET} select * from sheet")
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nothing = spark.createDataFrame([], "sequence_id string, chosen_contact_saved int, topview_contact_saved int, pair_mid_saved int")
-    sheet = review.review_sheet(table(spark, sf_dir, "sequence_sample"), nothing, "out")
-    return sheet.select("sequence_id", "preferred_camera_rule", "target_object", "chosen_contact_saved", "chosen_contact_path", "pair_mid_path", "best_ratio", "notes")
+    return _review_sheet(spark, sf_dir)
 
 
-@query()
+@query(
+    f"with {_SAVED}, {_SHEET} select s.*, coalesce('b/' || v.sequence_id, '') as review_board_path, coalesce(v.pair_mid_saved::varchar, '') as review_board_saved "
+    "from sheet s left join v on v.sequence_id = s.sequence_id"
+)
+def review_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = _saved(spark, sf_dir).select("sequence_id", F.concat(F.lit("b/"), "sequence_id").alias("review_board_path"), F.col("pair_mid_saved").alias("review_board_saved"))
+    return review.review_input(_review_sheet(spark, sf_dir), boards)
+
+
+def _byte(k: str) -> str:
+    return f"('0x' || substr(h, 2 * ({k}) + 1, 2))::int"
+
+
+#: The stand-in reviewer: scores are bytes of a hash of the board's path.
+_ANSWERS = (
+    "b as (select *, sha256(concat_ws('/', 'out', sequence_id, 'ratio_review_board.jpg')) as h from sequence_sample), "
+    f"i as (select b.*, list_transform(range(0, 5), lambda i: {{'r': ['0.15', '0.30', '0.45', '0.60', '0.75'][i + 1], 'o': {_byte('3 * i')} % 4, 's': {_byte('3 * i + 1')} % 4, 't': {_byte('3 * i + 2')} % 4, 'q': {_byte('i')} % 4}}) as items from b), "
+    "t as (select *, list_transform(items, lambda x: 4 * x.o + 2 * x.t + x.s + 3 - x.q) as totals from i), "
+    "w as (select *, items[list_position(totals, list_max(totals))] as x, '[' || array_to_string(list_transform(items, lambda x: '{\"ratio\": \"' || x.r || '\", \"object_visible_score_0_3\": ' || x.o || ', \"scene_clarity_score_0_3\": ' || x.s || "
+    "', \"topview_useful_score_0_3\": ' || x.t || ', \"candidate_quality\": \"' || ['good', 'good_enough', 'borderline', 'bad'][x.q + 1] || '\", \"reason\": \"\"}'), ', ') || ']' as js from t)"
+)
+
+
+@query(
+    f"with {_ANSWERS} select sequence_id, x.r as ai_best_ratio, '0.60' as ai_model_best_ratio_raw, x.o::varchar as ai_object_visible_score_0_3, x.s::varchar as ai_scene_clarity_score_0_3, x.t::varchar as ai_topview_useful_score_0_3, "
+    "case when x.q < 2 then '1' else '0' end as ai_keep_for_next_stage, ['good', 'good_enough', 'borderline', 'bad'][x.q + 1] as ai_candidate_quality, 'low' as ai_confidence, js as ai_ratio_scores_json, 'rule' as ai_reason, "
+    "'{\"ratio_scores\": ' || js || ', \"model_best_ratio\": \"0.60\", \"confidence\": \"low\", \"overall_reason\": \"rule\"}' as ai_raw_text, 'ok' as ai_status from w"
+)
 def auto_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.artifact_paths(table(spark, sf_dir, "sequence_sample"), "out").withColumn("review_board_saved", F.lit("1"))
-    return review.review(rows).select("sequence_id", "ai_best_ratio", "ai_candidate_quality", "ai_keep_for_next_stage", "ai_status")
+    return review.review(rows).select("sequence_id", *review.AI_COLUMNS)
 
 
 _ITEM = (
