@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.documents import allow_repeated_keys, resolved_camera
-from kerbline.functions.review import QUALITIES, RATIO_BOUNDS, SCORES, answer_columns
+from kerbline.functions.review import QUALITIES, RATIO_BOUNDS, SCORES, answer_columns, prompt
 from kerbline.functions.text import or_blank, strip
 from kerbline.session import ship_package
 
@@ -106,20 +106,6 @@ def review_input(sheet: DataFrame, boards: DataFrame, order: str = "sequence_id"
     return lookup(sheet, boards, "sequence_id", ["review_board_path", "review_board_saved"], order)
 
 
-PROMPT = """You judge candidate frames of a parking sequence. The board shows six rows, one per position in the video
-(0.15, 0.30, 0.45, 0.60, 0.75, 0.90); left is the {camera} camera, right the view from above.
-Sequence: {sequence_id}. Direction: {driving_direction}. Approach: {approach}. Weather: {weather_tags}. Scene: {scene_tags}.
-Object to find: {target_object}. Objects in the metadata: {label_objects_json}.
-For every position give whole scores from 0 to 3 for object_visible_score_0_3, scene_clarity_score_0_3 and
-topview_useful_score_0_3, and a candidate_quality out of good, good_enough, borderline and bad. Answer with one JSON
-object: {{"ratio_scores": [{{"ratio": "0.15", ...}}, ...], "model_best_ratio": "...", "confidence": "...", "overall_reason": "..."}}."""
-
-
-def prompt_of(row: dict) -> str:
-    keys = ("sequence_id", "driving_direction", "approach", "weather_tags", "scene_tags", "target_object", "label_objects_json")
-    return PROMPT.format(camera=row.get("preferred_camera_rule") or "front", **{k: row.get(k) or "" for k in keys})
-
-
 class Reviewer(Protocol):
     def review(self, prompt: str, board_path: str) -> str: ...
 
@@ -161,7 +147,8 @@ def ask(
     that is broken off loses at most the row in work (see ``read_journal``).
     """
     ship_package(rows.sparkSession)
-    kept = [c for c in rows.columns if c not in (*AI_COLUMNS, "answer", "problem")]
+    kept = [c for c in rows.columns if c not in (*AI_COLUMNS, "answer", "problem", "prompt")]
+    asked = rows.select(*kept).withColumn("prompt", prompt(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reviewer = make_reviewer()
@@ -176,7 +163,7 @@ def ask(
                     answer, problem = None, board_problem(row, board_exists)
                     if problem is None:
                         try:
-                            answer = reviewer.review(prompt_of(row), str(row["review_board_path"]).strip())
+                            answer = reviewer.review(row["prompt"], str(row["review_board_path"]).strip())
                         except Exception as e:  # noqa: BLE001
                             problem = f"{type(e).__name__}: {e}"
                     if log and answer is not None:
@@ -188,7 +175,7 @@ def ask(
                 yield batch[kept].assign(answer=pd.Series(answers, dtype=object, index=batch.index), problem=pd.Series(problems, dtype=object, index=batch.index))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", answer string, problem string"
-    return rows.select(*kept).mapInPandas(run, schema)
+    return asked.mapInPandas(run, schema)
 
 
 def read_journal(spark: SparkSession, journal: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,12 @@ from kerbline.functions import documents as D
 from kerbline.functions import geometry as G
 from kerbline.functions import review as R
 from kerbline.functions.text import last_segment, strip
-from kerbline.operators import inventory, labels, metadata, review, sampling
+from kerbline.operators import inventory, labels, media, metadata, review, sampling
 from kerbline.operators.profile import Group, counter_profile, overview
 from kerbline.plans.curation import loaded_sql
+from kerbline.session import shared_folder
+from kerbline.sources import sinks, tables
+from kerbline.sources.inventory import list_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -501,6 +505,34 @@ def nonempty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview(table(spark, sf_dir, MANIFEST), {c: labels.nonempty_count(c) for c in columns})
 
 
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of files as ``labels.profile_files`` gives them, from the stored tables."""
+    files = table(spark, sf_dir, "label_sequence_profile").groupBy(F.col("label_v2_csv").alias("path")).agg(F.max("columns").alias("c"), F.max("num_label_rows").alias("num_label_rows"))
+    counts = table(spark, sf_dir, "label_column_profile").select(F.col("label_v2_csv").alias("path"), F.lower(F.trim("column_name")).alias("k"), "nonempty_count").distinct()
+    counts = counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "nonempty_count"))).alias("m"))
+    columns = F.split("c", r"\|")
+    nonempty = F.transform(columns, lambda c: F.coalesce(F.try_element_at("m", F.lower(F.trim(c))), F.lit(0)))
+    return files.join(counts, "path").select("path", F.lit(None).cast("string").alias("error"), "num_label_rows", columns.alias("columns"), nonempty.alias("nonempty"))
+
+
+def _filled(role: str) -> str:
+    return f"coalesce((select max(nonempty_count) from k where k.f = j.label_v2_csv and k.n = lower(trim(j.{role}))), 0) as {role[:-4]}_nonempty_rows"
+
+
+@query(
+    "with p as (select label_v2_csv as f, max(columns) as columns, max(num_label_rows) as num_label_rows, string_split(max(columns), '|') as cols from label_sequence_profile group by 1), "
+    "k as (select distinct label_v2_csv as f, lower(trim(column_name)) as n, nonempty_count from label_column_profile), "
+    f"j as (select s.sequence_id, s.preferred_camera_rule, s.driving_direction, {_TARGET} as target_object, s.label_objects_json, s.label_v2_csv, p.num_label_rows, len(p.cols)::int as num_columns, "
+    + ", ".join(f"{_find_sql(n)} as {r}" for r, n in labels.CANDIDATES.items())
+    + ", p.columns from sequence_sample s join p on p.f = s.label_v2_csv where p.f in (select f from k)) "
+    "select *, (xmin_col <> '' and ymin_col <> '' and xmax_col <> '' and ymax_col <> '')::int as bbox_available, (polygon_x_col <> '' and polygon_y_col <> '')::int as polygon_available, "
+    + ", ".join(map(_filled, ("object_col", "class_col", "distance_col")))
+    + " from j"
+)
+def sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.sequence_profile(table(spark, sf_dir, "sequence_sample"), _profiled(spark, sf_dir))
+
+
 @query(
     "with f as (select distinct file_path from label_v2_csv where file_path is not null) select sequence_id, label_v2_csv, "
     f"case when {_strip('coalesce(label_v2_csv, ' + chr(39) * 2 + ')')} = '' then 'missing_label_v2_csv_path' else 'label_v2_csv_not_found' end as error "
@@ -691,6 +723,64 @@ def ratio_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", R.ratio_key(F.col("l_discount") * 10).alias("ratio"), R.score(F.col("l_linenumber").cast("string")).alias("score"))
 
 
+@query(
+    "select sequence_id, 'You judge candidate frames of a parking sequence. The board shows six rows, one per position in the video' || chr(10) || '(0.15, 0.30, 0.45, 0.60, 0.75, 0.90); left is the ' "
+    "|| coalesce(nullif(preferred_camera_rule, ''), 'front') || ' camera, right the view from above.' || chr(10) || 'Sequence: ' || coalesce(sequence_id, '') || '. Direction: ' || coalesce(driving_direction, '') || '. Approach: ' || coalesce(approach, '') "
+    "|| '. Weather: ' || coalesce(weather_tags, '') || '. Scene: ' || coalesce(scene_tags, '') || '.' || chr(10) || 'Object to find: ' || coalesce(target_object, '') || '. Objects in the metadata: ' || coalesce(label_objects_json, '') || '.' || chr(10) "
+    "|| 'For every position give whole scores from 0 to 3 for object_visible_score_0_3, scene_clarity_score_0_3 and' || chr(10) || 'topview_useful_score_0_3, and a candidate_quality out of good, good_enough, borderline and bad. Answer with one JSON' || chr(10) "
+    "|| 'object: {\"ratio_scores\": [{\"ratio\": \"0.15\", ...}, ...], \"model_best_ratio\": \"...\", \"confidence\": \"...\", \"overall_reason\": \"...\"}.' as prompt from sequence_sample"
+)
+def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sequence_sample")
+    return rows.select("sequence_id", R.prompt(rows.columns).alias("prompt"))
+
+
+@query(
+    "with t as (select 'q' || user_id::varchar as sequence_id, case event_id % 2 when 0 then 'front' else 'topview' end as camera, round((event_id % 6)::double * 0.15::double + 0.15::double, 2) as ratio, event_id::int as frame, value as t from events) "
+    "select c.sequence_id, c.ratio, c.frame as chosen_frame, c.t as chosen_time, p.frame as topview_frame, p.t as topview_time from t c join t p on c.sequence_id = p.sequence_id and c.ratio = p.ratio where c.camera <> 'topview' and p.camera = 'topview'"
+)
+def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    tiles = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("q"), "user_id").alias("sequence_id"), F.when(e % 2 == 0, "front").otherwise("topview").alias("camera_name"), F.round(e % 6 * 0.15 + 0.15, 2).alias("ratio"),
+        e.cast("int").alias("frame_idx"), F.col("value").alias("time_sec"), F.lit(1).alias("success"),
+    )
+    pairs = media.tile_pairs(tiles)
+    return pairs.select("sequence_id", "ratio", *[F.col(f"{side}.{c}").alias(f"{side}_{n}") for side in ("chosen", "topview") for c, n in (("frame_idx", "frame"), ("time_sec", "time"))])
+
+
+# --- files --------------------------------------------------------------------------------------------------------
+
+_TABLES = (
+    "customer documents embeddings eval_items events label_column_profile label_sequence_profile label_v2_csv lineitem metadata_json nation orders part region rig_speed_units sample_targets "
+    "sequence_manifest_enriched sequence_sample supplier"
+).split()
+
+
+@query(f"select unnest([{', '.join(f'{chr(39)}{t}.parquet{chr(39)}' for t in _TABLES)}]) as path")
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the tables' folder."""
+    return list_files(spark, sf_dir).select("path")
+
+
+@query(f"select {', '.join(f'coalesce({c}::varchar, {chr(39) * 2}) as {c}' for c in ('sequence_id', 'sequence_dir', 'weather_tags', 'scene_tags', 'label_objects_json', 'json_loaded'))}, case when is_poc_ready then 'True' when not is_poc_ready then 'False' else '' end as is_poc_ready from sequence_sample")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as one CSV file, in the shared folder if the session names one, and read again."""
+    columns = ["sequence_id", "sequence_dir", "weather_tags", "scene_tags", "label_objects_json", "json_loaded", "is_poc_ready"]
+    at = f"{shared_folder(spark)}/kerbline-{uuid.uuid4().hex}.csv"
+    sinks.write_csv(table(spark, sf_dir, "sequence_sample").select(*columns), at)
+    return tables.read_csv(spark, at, columns)
+
+
+@query(
+    "select o_orderkey::varchar as o_orderkey, o_orderstatus, '' as c_custkey, '' as c_name, o_custkey::varchar as o_custkey from orders "
+    "union all select '', '', c_custkey::varchar, c_name, '' from customer"
+)
+def union_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    return sinks.union_fields([orders, table(spark, sf_dir, "customer").select("c_name", "c_custkey")], ["o_orderkey", "none", "c_custkey"])
+
+
 # --- geometry -----------------------------------------------------------------------------------------------------
 
 

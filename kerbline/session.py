@@ -27,21 +27,26 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, as a path where it is one of a file system.
 
-    The shared folder named by ``spark.checkpoint.dir`` is used. A session in one process (a test, a laptop) may do without and
-    gets a temporary folder; a cluster may not, as its machines do not share one.
+    A session in one process (a test, a laptop) may do without and gets a temporary folder; a cluster may not, as its
+    machines do not share one.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_kerbline_folder", None)
     if folder is None:
-        if not sc.master.split("[")[0] == "local":
+        if sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="kerbline-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = sc._kerbline_folder = tempfile.mkdtemp(prefix="kerbline-shared-")
+    return folder.removeprefix("file://")
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint()`` usable, in the session's shared folder."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or shared_folder(spark))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

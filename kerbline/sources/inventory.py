@@ -1,7 +1,8 @@
 """File inventory: one row per regular file below a root.
 
 Spark's own file sources skip names that start with a dot or an underscore and empty files; this source lists them
-all. Each top-level directory is one partition, so a large tree is walked by many tasks.
+all. The tree is opened level by level until it has ``BRANCHES`` branches; each is walked by a task of its own, so that one
+top-level directory with most of the files is walked by many.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from kerbline.session import ship_package
 
 SCHEMA = "path string, bytes bigint"
+BRANCHES = 256
 
 
 class _Branch(InputPartition):
@@ -29,8 +31,15 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(f"no such directory: {root}")
 
     def partitions(self) -> list[InputPartition]:
-        with os.scandir(self.root) as found:
-            return [_Branch("", False), *(_Branch(e.name, True) for e in sorted(found, key=lambda e: e.name) if e.is_dir())]
+        opened, front = [], [""]
+        while front and len(front) < BRANCHES:
+            opened += [_Branch(name, False) for name in front]
+            below = []
+            for name in front:
+                with os.scandir(os.path.join(self.root, name)) as found:
+                    below += sorted(os.path.join(name, e.name) for e in found if e.is_dir(follow_symlinks=False))
+            front = below
+        return opened + [_Branch(name, True) for name in front]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, _Branch)
