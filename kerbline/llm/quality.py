@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -52,8 +53,6 @@ _CJK = r"\p{Hiragana}\p{Katakana}\p{Han}ー"
 _OTHER = rf"[[\p{{L}}\p{{N}}]--[{_CJK}]][[\p{{L}}\p{{M}}\p{{N}}]--[{_CJK}]]*+"
 _WORD = regex.compile(rf"(?V1)(?:\p{{Hiragana}}\p{{M}}*+)++|(?:[\p{{Katakana}}ー]\p{{M}}*+)++|(?:\p{{Han}}\p{{M}}*+)++|{_OTHER}(?:['’]{_OTHER})?")
 _HIRAGANA = regex.compile(r"\p{Hiragana}")
-#: What the plain word pattern does not know.
-_UNUSUAL = regex.compile(rf"[{_CJK}\p{{M}}]")
 _BLOCKS = regex.compile(r"\n[ \t\r\f\v]*+\n\s*+")
 _SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Cf}\U0001F000-\U0001FAFF\u2600-\u27BF\u2300-\u23FF\u2B00-\u2BFF\s.,;:!?'\"()\-–—…、。！？「」’‘“”¿¡]")
 _ODD_CHAR = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}�▀-◿\u0080-¦¨-º¼-¾×÷ÂÃâ€](?<![\n\t\r])")
@@ -112,14 +111,50 @@ class _Flags(dict):
 
 _FLAGS = _Flags()
 
+#: What a character can be, as bits of its class.
+SYMBOL, DIGIT, ODD, BLANK, JAPANESE, MARK = 1, 2, 4, 8, 16, 32
+
+
+class _Classes(dict):
+    """For a character's code: the class of the character, as a character."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        bits = (
+            bool(_SYMBOL.match(c)) * SYMBOL | c.isdecimal() * DIGIT | bool(_ODD_CHAR.match(c)) * ODD | c.isspace() * BLANK | bool(_IDEOGRAPH.match(c)) * JAPANESE
+            | (unicodedata.category(c)[0] == "M") * MARK
+        )
+        self[code] = found = chr(64 + bits)
+        return found
+
+
+_CLASSES = _Classes()
+
+
+def character_counts(text: str) -> list[int]:
+    """How many characters of a text have each of the bits of ``_Classes``."""
+    classes = text.translate(_CLASSES)
+    out = [0] * 6
+    for c in set(classes):
+        bits, n = ord(c) - 64, classes.count(c)
+        for k in range(6):
+            if bits >> k & 1:
+                out[k] += n
+    return out
+
 
 def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
     """(statistics of a block that the mixture models, the counts that add up to those of the document)."""
     lines = [x for x in block.split("\n") if x.strip()]
     n_lines = len(lines)
     ascii_only = block.isascii()
-    unusual = not ascii_only and bool(_UNUSUAL.search(block))
-    ideographs = unusual and bool(_IDEOGRAPH.search(block))
+    ideographs = unusual = False
+    if ascii_only:  # the same counts by deletion
+        raw = block.encode()
+        solid, symbols, digits, odd_chars = (len(raw.translate(None, x)) for x in (_BLANK, _NOT_SYMBOL, _NOT_DIGIT, _NOT_CONTROL))
+    else:
+        symbols, digits, odd_chars, blank, japanese, marks = character_counts(block)
+        solid, ideographs, unusual = len(block) - blank, japanese > 0, japanese + marks > 0
     found = (_ASCII_WORD if ascii_only else _WORD if unusual else _LATIN_WORD).findall(block)
     n = len(found)
     joined = " ".join(found)
@@ -127,11 +162,6 @@ def block_counts(block: str) -> tuple[list[float], tuple[int, ...]]:
     lower = joined.lower().split(" ") if n else []
     flags = sum(map(_FLAGS.__getitem__, found))
     common, odd_words = flags & 0xFFFFFFFF, flags >> 32
-    if ascii_only:  # the same counts by deletion
-        raw = block.encode()
-        solid, symbols, digits, odd_chars = (len(raw.translate(None, x)) for x in (_BLANK, _NOT_SYMBOL, _NOT_DIGIT, _NOT_CONTROL))
-    else:
-        solid, symbols, digits, odd_chars = len("".join(block.split())), len(_SYMBOL.findall(block)), sum(map(str.isdecimal, block)), len(_ODD_CHAR.findall(block))
     solid = solid or 1
     ends = len(_ENDED.findall(block))
     cells, width = 0.0, 0
