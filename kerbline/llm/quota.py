@@ -41,7 +41,7 @@ RANGES = 1024
 #: Targets up to this number are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_TARGETS = 10_000
 #: Priority bins of an adjustment, adjustments at most, and rounds over all fields that may pass without a better result.
-BINS, ADJUSTMENTS, PATIENCE = 128, 64, 4
+BINS, ADJUSTMENTS, PATIENCE = 128, 64, 2
 #: Records at the n-th priority that are put in order at most before the bins are refined.
 BOUNDARY = 10_000
 SALTS = 64
