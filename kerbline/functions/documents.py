@@ -57,10 +57,15 @@ def value_text(raw: Column, kind: Column) -> Column:
     return F.when(raw.isNull(), "").when(nested, spaced(raw)).when(kind == "BOOLEAN", F.initcap(raw)).otherwise(raw)
 
 
-def tags_of(document: Column, subcategory: str) -> Column:
-    """Names of the tags of a subcategory; only the part behind the last dot of its name counts, in any case."""
-    kept = F.filter(document["tags"], lambda t: F.lower(last_segment(naming(t["tagSubCategory"]["name"]))) == subcategory)
-    return F.filter(F.transform(kept, lambda t: naming(t["name"])), lambda x: x != "")
+def named_tags(document: Column) -> Column:
+    """(subcategory, name) of each tag; of a subcategory only the part behind the last dot counts, in lower case."""
+    return F.transform(document["tags"], lambda t: F.struct(F.lower(last_segment(naming(t["tagSubCategory"]["name"]))).alias("subcategory"), naming(t["name"]).alias("name")))
+
+
+def tags_of(tags: Column | str, subcategory: str) -> Column:
+    """Names of the ``named_tags`` of a subcategory."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    return F.transform(F.filter(tags, lambda t: (t["subcategory"] == subcategory) & (t["name"] != "")), lambda t: t["name"])
 
 
 def first_field(document: Column, name: str) -> Column:

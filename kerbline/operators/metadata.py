@@ -73,18 +73,18 @@ def key_counts(parsed: DataFrame) -> DataFrame:
 def flat(parsed: DataFrame) -> DataFrame:
     """One row per readable document: names, joined tags, speeds and sizes."""
     doc = F.col("doc")
-    direction = join_distinct(D.tags_of(doc, D.DIRECTION))
-    return parsed.filter("ok").select(
+    direction = join_distinct(D.tags_of("_tags", D.DIRECTION))
+    return parsed.filter("ok").withColumn("_tags", D.named_tags(doc)).select(
         "record_id",
         "sequence_id",
         strip(or_blank("doc.name")).alias("json_name"),
         strip(or_blank("doc.status")).alias("json_status"),
         direction.alias("driving_direction"),
         D.preferred_camera(direction).alias("preferred_camera_from_json"),
-        join_distinct(D.tags_of(doc, D.APPROACH)).alias("approach"),
-        join_distinct(D.tags_of(doc, D.WEATHER)).alias("weather_tags"),
-        join_distinct(D.tags_of(doc, D.SCENE)).alias("scene_tags"),
-        join_distinct(D.tags_of(doc, D.OBJECTS)).alias("label_objects_json"),
+        join_distinct(D.tags_of("_tags", D.APPROACH)).alias("approach"),
+        join_distinct(D.tags_of("_tags", D.WEATHER)).alias("weather_tags"),
+        join_distinct(D.tags_of("_tags", D.SCENE)).alias("scene_tags"),
+        join_distinct(D.tags_of("_tags", D.OBJECTS)).alias("label_objects_json"),
         or_blank("doc.maxSpeedInKph").alias("max_speed_kph"),
         or_blank("doc.minSpeedInKph").alias("min_speed_kph"),
         D.first_field(doc, "avg speed").alias("avg_speed"),
@@ -103,13 +103,13 @@ def enrich(manifest: DataFrame, documents: DataFrame, *, path: str = "metadata_j
     D.allow_repeated_keys(manifest.sparkSession)
     order = [c for c in ("received_at", "record_id") if c in documents.columns]
     latest = documents.filter(F.col(path).isNotNull()).groupBy(path).agg(F.max_by(payload, F.struct(*order) if order else F.length(payload)).alias("payload"))
-    rows = parse(manifest.drop("payload").join(latest, path, "left"))
+    rows = parse(manifest.drop("payload").join(latest, path, "left")).withColumn("_tags", D.named_tags(F.col("doc")))
     exists = F.col("text").isNotNull()
     # absent arrays are fine, null ones and other shapes are not
     broken = lambda key: F.col(f"doc.{key}").isNull() & F.array_contains(F.json_object_keys("text"), key)
     loaded = F.col("ok") & ~broken("tags") & ~broken("customFieldValues")
     doc = F.col("doc")
-    direction = get_or_blank(D.tags_of(doc, D.DIRECTION), 0)
+    direction = get_or_blank(D.tags_of("_tags", D.DIRECTION), 0)
     camera = F.when(loaded, D.preferred_camera(direction)).otherwise("unknown")
     reason = F.when(~exists, "no_metadata").when(~loaded, "json_parse_error").otherwise(D.camera_reason(camera))
     return rows.withColumns(
@@ -119,17 +119,17 @@ def enrich(manifest: DataFrame, documents: DataFrame, *, path: str = "metadata_j
             "sequence_name_json": strip(or_blank("doc.name")),
             "sequence_status_json": strip(or_blank("doc.status")),
             "driving_direction": direction,
-            "approach": get_or_blank(D.tags_of(doc, D.APPROACH), 0),
-            "scene_tags": join_distinct(D.tags_of(doc, D.SCENE)),
-            "weather_tags": join_distinct(D.tags_of(doc, D.WEATHER)),
-            "label_objects_json": join_distinct(D.tags_of(doc, D.OBJECTS)),
+            "approach": get_or_blank(D.tags_of("_tags", D.APPROACH), 0),
+            "scene_tags": join_distinct(D.tags_of("_tags", D.SCENE)),
+            "weather_tags": join_distinct(D.tags_of("_tags", D.WEATHER)),
+            "label_objects_json": join_distinct(D.tags_of("_tags", D.OBJECTS)),
             "max_speed_kph": or_blank("doc.maxSpeedInKph"),
             "min_speed_kph": or_blank("doc.minSpeedInKph"),
             "avg_speed": D.first_field(doc, "avg speed"),
             "preferred_camera_rule": camera,
             "preferred_camera_rule_reason": reason,
         }
-    ).drop("payload", "text", "ok", "doc")
+    ).drop("payload", "text", "ok", "doc", "_tags")
 
 
 def manifest_profile(enriched: DataFrame, first_seen: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.documents import allow_repeated_keys, resolved_camera
-from kerbline.functions.review import QUALITIES, RATIO_BOUNDS, SCORES, answer_columns, prompt
+from kerbline.functions.review import QUALITIES, RATIO_BOUNDS, SCORES, answer_steps, prompt
 from kerbline.functions.text import or_blank, strip
 from kerbline.session import ship_package
 
@@ -187,10 +187,12 @@ def read_journal(spark: SparkSession, journal: str) -> DataFrame:
 def scored(answered: DataFrame) -> DataFrame:
     """Rows with ``answer`` and ``problem`` to the ``ai_`` columns."""
     allow_repeated_keys(answered.sparkSession)
-    columns = answer_columns(F.col("answer"))
+    rows = answered
+    for step in answer_steps("answer"):
+        rows = rows.withColumns(step)
     failed = F.col("problem").isNotNull()
-    out = {name: F.when(~failed, c).otherwise(F.concat(F.lit("error: "), "problem") if name == "ai_status" else "") for name, c in columns.items()}
-    return answered.select(*[c for c in answered.columns if c not in ("answer", "problem")], *[out[c].alias(c) for c in AI_COLUMNS])
+    out = {c: F.when(~failed, F.col(c)).otherwise(F.concat(F.lit("error: "), "problem") if c == "ai_status" else "") for c in AI_COLUMNS}
+    return rows.select(*[c for c in answered.columns if c not in ("answer", "problem", *AI_COLUMNS)], *[out[c].alias(c) for c in AI_COLUMNS])
 
 
 def review(rows: DataFrame, make_reviewer: Callable[[], Reviewer] = RuleReviewer, board_exists: Callable[[str], bool] | None = None, journal: str | None = None) -> DataFrame:
