@@ -42,6 +42,15 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").limit(n).drop("_row")
 
 
+def _write(df: DataFrame, path: str, groups: Sequence[str] = ()) -> None:
+    """A CSV of counts, the most frequent first (within groups, which come in the given order), or of anything else as it is."""
+    if "count" in df.columns:
+        place = F.array_position(F.lit(list(groups)), F.col("group")) if groups else None
+        values = [c for c in df.columns if c not in ("group", "count")]
+        df = df.orderBy(*([place] if place is not None else []), F.desc("count"), *values)
+    sinks.write_csv(df, path)
+
+
 def _documents(spark: SparkSession, paths: Profile, manifest: DataFrame) -> DataFrame:
     named = manifest.select(strip("metadata_json").alias("path")).filter("path <> ''").distinct()
     return tables.read_documents(spark, str(paths.raw_data_root), named).withColumnRenamed("path", "metadata_json")
@@ -59,7 +68,7 @@ def enrich_manifest(spark: SparkSession, a: argparse.Namespace, paths: Profile)
     rich = metadata.enrich(rows, _documents(spark, paths, rows)).cache()
     out, summary = a.out or str(paths.manifests_dir / "sequence_manifest_enriched.csv"), a.summary_out or str(paths.manifests_dir / "enriched_manifest_profile.csv")
     sinks.write_csv(rich, out)
-    sinks.write_csv(metadata.manifest_profile(rich), summary)
+    _write(metadata.manifest_profile(rich), summary, metadata.MANIFEST_GROUPS)
     return {"out": out, **sinks.run_summary(rich, {"sequences": F.count("*"), "json_loaded": F.sum("json_loaded")})}
 
 
@@ -77,7 +86,7 @@ def profile_json(spark: SparkSession, a: argparse.Namespace, paths: Profile) ->
     }
     root = paths.outputs_dir / "json_profile"
     for name, df in made.items():
-        sinks.write_csv(df, str(root / f"json_{name}.csv"))
+        _write(df, str(root / f"json_{name}.csv"), metadata.DOCUMENT_GROUPS if name == "profile" else ())
     shown = {k: made[k] for k in ("overview", "top_level_keys", "tag_subcategories", "custom_field_names", "profile")}
     (root / "report.md").write_text(sinks.markdown_report("JSON metadata", shown), encoding="utf-8")
     return {"out": str(root), **sinks.run_summary(parsed, {"documents": F.count("*"), "loaded": F.count_if("ok")})}
@@ -102,7 +111,7 @@ def profile_labels(spark: SparkSession, a: argparse.Namespace, paths: Profile) -
     made = {"summary": summary, "sequence_profile": sequences, "column_profile": labels.column_profile(rows, profiled), "long_preview": labels.long_preview(rows, profiled), "errors": errors}
     root = paths.outputs_dir / "label_profile"
     for name, df in made.items():
-        sinks.write_csv(df, str(root / f"label_v2_{name}.csv"))
+        _write(df, str(root / f"label_v2_{name}.csv"), labels.SUMMARY_GROUPS if name == "summary" else ())
     return {"out": str(root), "sample_rows": n, "labels_loaded": sequences.count()}
 
 

@@ -32,8 +32,9 @@ def document_text(payload: Column | str) -> Column:
 def is_object(text: Column | str) -> Column:
     """Whether a text is exactly one JSON object; built-in parsers alone accept text behind it. Null is false."""
     text = F.col(text) if isinstance(text, str) else text
-    boxed = F.concat(F.lit("["), text, F.lit("]"))
-    whole = F.try_parse_json(boxed).isNotNull() & (F.json_array_length(boxed) == 1)
+    # boxed in brackets, text behind the object is an error or a second member
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
     return F.coalesce(text.startswith("{") & whole, F.lit(False))
 
 

@@ -133,6 +133,8 @@ FILE_SCHEMA = (
     "path string, error string, num_label_rows long, columns array<string>, nonempty array<long>, samples array<string>, "
     "preview array<map<string,string>>, counts array<struct<column:string,value:string,n:long>>"
 )
+#: Groups of a label summary, in the order of its report.
+SUMMARY_GROUPS = ("overview", "columns", "label_object_values", "class_values", "target_object_from_json", "rows_per_label_file")
 #: Roles whose values are counted.
 COUNTED = ("object_col", "class_col")
 

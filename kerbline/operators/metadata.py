@@ -132,6 +132,11 @@ def enrich(manifest: DataFrame, documents: DataFrame, *, path: str = "metadata_j
     ).drop("payload", "text", "ok", "doc", "_tags")
 
 
+#: Groups of the profiles, in the order of their reports.
+MANIFEST_GROUPS = ("driving_direction", "preferred_camera_rule", "json_loaded", "is_poc_ready", "weather_tags", "scene_tags", "label_objects_json")
+DOCUMENT_GROUPS = ("driving_direction", "preferred_camera", "status", "weather", "scene", "approach", "label_objects")
+
+
 def manifest_profile(enriched: DataFrame, first_seen: str | None = None) -> DataFrame:
     """(group, value, count) over seven groups of the enriched manifest."""
     groups = [

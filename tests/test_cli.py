@@ -62,6 +62,10 @@ def test_pipeline(spark, project):
     assert {(r["group"], r["value"], r["count"]) for r in read(profile / "label_v2_summary.csv")} >= {
         ("overview", "labels_loaded", "3"), ("overview", "sample_rows", "3"), ("overview", "label_errors", "0"), ("label_object_values", "Pole", "3"), ("class_values", "2", "3"), ("rows_per_label_file", "2", "3"),
     }
+    groups = [r["group"] for r in read(profile / "label_v2_summary.csv")]
+    assert list(dict.fromkeys(groups)) == ["overview", "columns", "label_object_values", "class_values", "target_object_from_json", "rows_per_label_file"]
+    directions = [r for r in read(project / "manifests_dir" / "enriched_manifest_profile.csv") if r["group"] == "driving_direction"]
+    assert [(r["value"], r["count"]) for r in directions] == [("Forward", "2"), ("Reverse", "2"), ("?", "1"), ("MISSING", "1")]
     assert run("contact-plan")["sequences"] == 3
     reviews = project / "outputs_dir" / "reviews" / "rule_ready_sample"
     assert run("contact-sheets", "--decoder", "tests.test_cli:GreyDecoder") | {"out": ""} == {"out": "", "sequences": 3, "pairs_saved": 3}
