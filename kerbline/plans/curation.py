@@ -222,6 +222,52 @@ _TAGS = (
 )
 
 
+_ROLE_COLUMNS = "class_col object_col distance_col xmin_col ymin_col xmax_col ymax_col polygon_x_col polygon_y_col".split()
+
+
+def _drift_sql() -> str:
+    """CTE r: renames (c, k, a, b); state: of each column of each file the type of its last values, the name it then had and its first
+    name; f: files, numbered in each campaign; gone and new: names that vanished and appeared."""
+    low = lambda x: f"lower({_TEXT.format(x=x)})"
+    return (
+        f"with recursive p as (select campaign_id as c, sequence_id as s, label_v2_csv as l, arg_max(struct_pack(at := recorded_at, columns := coalesce(columns, ''), {', '.join(f'{r} := {r}' for r in _ROLE_COLUMNS)}), profiled_at) as x "
+        "from label_sequence_profile where campaign_id is not null group by all), "
+        "f as (select c, s, l, x, row_number() over (partition by c order by x.at nulls first, s, l) as k from p), "
+        f"n0 as (select c, k, s, l, {low('unnest(string_split(x.columns, chr(124)))')} as name, generate_subscripts(string_split(x.columns, chr(124)), 1) as place from f where x.columns <> ''), "
+        "n1 as (select c, k, s, l, name, min(place) as place from n0 group by all), "
+        f"t as (select sequence_id as s, label_v2_csv as l, {low('column_name')} as name, any_value(case when regexp_full_match(sample_values, '[0-9]+(\\|[0-9]+)*') then 'integer' "
+        "when regexp_full_match(sample_values, '[0-9]+([.,][0-9]+)?(\\|[0-9]+([.,][0-9]+)?)*') then 'decimal' else 'text' end) as kind "
+        f"from label_column_profile where {_TEXT.format(x='sample_values')} <> '' group by all), "
+        "gone as (select a.c, a.k + 1 as k, a.name, a.place from n1 a join f on f.c = a.c and f.k = a.k + 1 where not exists (select 1 from n1 b where b.c = a.c and b.k = a.k + 1 and b.name = a.name)), "
+        "new as (select b.c, b.k, b.name, b.place from n1 b where b.k > 1 and not exists (select 1 from n1 a where a.c = b.c and a.k = b.k - 1 and a.name = b.name)), "
+        f"ro as ({' union all '.join(f'select c, k, {chr(39)}{r}{chr(39)} as role, {low(f'coalesce(x.{r}, {chr(39) * 2})')} as name from f' for r in _ROLE_COLUMNS)}), "
+        "pr as (select b.c, b.k, a.name as x, b.name as y from ro a join ro b on a.c = b.c and a.k + 1 = b.k and a.role = b.role), "
+        "by_role as (select distinct g.c, g.k, g.name as a, n.name as b from gone g join new n on n.c = g.c and n.k = g.k join pr on pr.c = g.c and pr.k = g.k and pr.x = g.name and pr.y = n.name), "
+        "by_place as (select distinct g.c, g.k, g.name as a, n.name as b from gone g join new n on n.c = g.c and n.k = g.k and n.place = g.place join pr on pr.c = g.c and pr.k = g.k "
+        "where (pr.x = '' or pr.y = '') and pr.x in ('', g.name) and pr.y in ('', n.name) "
+        "and not (pr.x <> g.name and g.name in (select o.x from pr o where o.c = g.c and o.k = g.k)) and not (pr.y <> n.name and n.name in (select o.y from pr o where o.c = g.c and o.k = g.k))), "
+        "r as (select * from by_role union all select * from by_place q where not exists (select 1 from by_role e where e.c = q.c and e.k = q.k and (e.a = q.a or e.b = q.b))), "
+        "node as (select n1.*, t.kind, coalesce(r.a, case when exists (select 1 from n1 o where o.c = n1.c and o.k = n1.k - 1 and o.name = n1.name) then n1.name end) as before "
+        "from n1 left join r on r.c = n1.c and r.k = n1.k and r.b = n1.name left join t on t.s = n1.s and t.l = n1.l and t.name = n1.name), "
+        "state as (select c, k, s, l, name, kind, case when kind is not null then name end as named, name as first, null::varchar as was, null::varchar as old from node where before is null "
+        "union all select n.c, n.k, n.s, n.l, n.name, coalesce(n.kind, o.kind), case when n.kind is not null then n.name else o.named end, o.first, case when n.kind <> o.kind then o.kind end, o.named "
+        "from state o join node n on n.c = o.c and n.k = o.k + 1 and n.before = o.name) "
+    )
+
+
+def _changes_sql() -> str:
+    return _drift_sql() + (
+        "select distinct f.s as sequence_id, change_kind, old_name, new_name from (select c, k, 'renamed' as change_kind, a as old_name, b as new_name from r "
+        "union all select c, k, 'removed', name, '' from gone g where not exists (select 1 from r where r.c = g.c and r.k = g.k and r.a = g.name) "
+        "union all select c, k, 'added', '', name from new g where not exists (select 1 from r where r.c = g.c and r.k = g.k and r.b = g.name) "
+        "union all select c, k, 'type_changed', old, name from state where was is not null) join f using (c, k)"
+    )
+
+
+def _fields_of_files_sql() -> str:
+    return _drift_sql() + "select c as campaign_id, s as sequence_id, l as label_v2_csv, name as column_name, first as field_name from state"
+
+
 # fixed values, written out here for themselves: spellings of units and what one of each is in km/h
 _UNITS = {
     "km/h": (r"km\s?/\s?h|kmh|kph|km/hr|kilomet(?:re|er)s? (?:per|an) hour|kilomet(?:re|er)s?/h|kilometern? (?:pro|je) stunde|stundenkilometern?", "1"),
@@ -269,4 +315,4 @@ def _speeds_sql(every: bool = False) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _rejects_sql(), "p1_rows": _typed_sql(), "p2_found": _NODES, "p2_rows": _RECORD_ROWS, "p2_links": _LINKS, "p2_columns": _COLUMNS, "p2_tags": _TAGS, "p5_found": _speeds_sql(), "p5_converted": _speeds_sql(every=True)}
+    return {"p1_found": _rejects_sql(), "p1_rows": _typed_sql(), "p2_found": _NODES, "p2_rows": _RECORD_ROWS, "p2_links": _LINKS, "p2_columns": _COLUMNS, "p2_tags": _TAGS, "p3_found": _changes_sql(), "p3_fields": _fields_of_files_sql(), "p5_found": _speeds_sql(), "p5_converted": _speeds_sql(every=True)}
