@@ -268,6 +268,16 @@ def _fields_of_files_sql() -> str:
     return _drift_sql() + "select c as campaign_id, s as sequence_id, l as label_v2_csv, name as column_name, first as field_name from state"
 
 
+def _unified_rows_sql() -> str:
+    return (
+        f"with u as (select label_v2_csv as file, column_name as n, min(field_name) as u from ({_fields_of_files_sql()}) group by 1, 2), "
+        "m as (select file, map(list(n), list(u)) as m from u group by 1), "
+        f"d as ({loaded_sql()} select record_id, file_path as file, line_no, names, fields from d), "
+        "k as (select record_id, line_no, fields, list_transform(names, lambda n: coalesce(map_extract(m, n)[1], n)) as keys from d left join m using (file)) "
+        "select record_id, line_no, '{' || array_to_string(list_transform(list_filter(range(1, len(keys) + 1), lambda i: list_position(keys, keys[i]) = i), lambda i: to_json(keys[i])::varchar || ':' || to_json(fields[i])::varchar), ',') || '}' as label_values from k"
+    )
+
+
 # fixed values, written out here for themselves: spellings of units and what one of each is in km/h
 _UNITS = {
     "km/h": (r"km\s?/\s?h|kmh|kph|km/hr|kilomet(?:re|er)s? (?:per|an) hour|kilomet(?:re|er)s?/h|kilometern? (?:pro|je) stunde|stundenkilometern?", "1"),
@@ -315,4 +325,4 @@ def _speeds_sql(every: bool = False) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _rejects_sql(), "p1_rows": _typed_sql(), "p2_found": _NODES, "p2_rows": _RECORD_ROWS, "p2_links": _LINKS, "p2_columns": _COLUMNS, "p2_tags": _TAGS, "p3_found": _changes_sql(), "p3_fields": _fields_of_files_sql(), "p5_found": _speeds_sql(), "p5_converted": _speeds_sql(every=True)}
+    return {"p1_found": _rejects_sql(), "p1_rows": _typed_sql(), "p2_found": _NODES, "p2_rows": _RECORD_ROWS, "p2_links": _LINKS, "p2_columns": _COLUMNS, "p2_tags": _TAGS, "p3_found": _changes_sql(), "p3_fields": _fields_of_files_sql(), "p3_rows": _unified_rows_sql(), "p5_found": _speeds_sql(), "p5_converted": _speeds_sql(every=True)}
