@@ -36,6 +36,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.unmet_targets(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets"))
 
 
+def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target with the priority of its category's last record and the records that come first for its minimum."""
+    return quota.shortfalls(table(spark, sf_dir, "sequence_sample"), table(spark, sf_dir, "sample_targets")).drop("key")
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(spark, sf_dir)[0]
 
@@ -69,17 +74,23 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_sample, p4_report, p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p4_found, p4_targets, p4_sample, p4_report, p6_ids, p7_found, p7_cleaned, p8_found, p8_statistics)}
 
 
 _TEXT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-_UNMET = (
+_COUNTED = (
     "with p as (select count(distinct sequence_id) as n from sequence_sample), c as (select sequence_id, 'preferred_camera_rule' as f, preferred_camera_rule as v from sequence_sample "
     "union all select sequence_id, 'approach', approach from sequence_sample union all select sequence_id, 'target_object', target_object from sequence_sample "
     "union all select sequence_id, 'weather_tags', list_filter(string_split(coalesce(weather_tags, ''), '|'), lambda x: trim(x, chr(32) || chr(9)) <> '')[1] from sequence_sample), "
-    f"h as (select f, lower({_TEXT.format(x='v')}) as k, count(distinct sequence_id) as n from c group by all) "
-    "select field_name, category from sample_targets t left join h on h.f = t.field_name "
-    f"and h.k = lower({_TEXT.format(x='t.category')}), p where coalesce(h.n, 0) * 1000 < target_permille * (p.n // 10) or coalesce(h.n, 0) < min_rows"
+    f"h as (select f, lower({_TEXT.format(x='v')}) as k, count(distinct sequence_id) as n from c group by all), "
+    "t as (select t.*, coalesce(h.n, 0)::bigint as available, p.n // 10 as sample_size from sample_targets t left join h on h.f = t.field_name "
+    f"and h.k = lower({_TEXT.format(x='t.category')}), p) "
+)
+_IS_UNMET = "(available * 1000 < target_permille * sample_size or available < min_rows)"
+_UNMET = f"{_COUNTED} select field_name, category from t where {_IS_UNMET}"
+_TARGETS = (
+    f"{_COUNTED} select field_name, category, target_permille, min_rows, available, sample_size, case when available > 0 and target_permille > 0 then (available::double - 0.5::double) * 1000 / target_permille end as last_priority, "
+    f"least(available, min_rows)::bigint as floor_rows, {_IS_UNMET} as unmet from t"
 )
 
 
@@ -126,4 +137,4 @@ def _statistics_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _UNMET, "p8_statistics": _statistics_sql()}
+    return {"p4_found": _UNMET, "p4_targets": _TARGETS, "p8_statistics": _statistics_sql()}
