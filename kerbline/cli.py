@@ -134,7 +134,7 @@ def contact_sheets(spark: SparkSession, a: argparse.Namespace, paths: Profile) -
     """Contact sheets and middle pairs of a sample, and the summary that the review sheet reads."""
     root = paths.outputs_dir / "reviews" / a.sample_name
     plan = review.contact_plan(_first(_sample(spark, a, paths), a.limit), list_files(spark, str(paths.raw_data_root)))
-    plan = review.artifact_paths(plan, str(root)).drop("review_board_path")
+    plan = review.artifact_paths(plan, str(root), a.suffix).drop("review_board_path")
     saved = media.contact_sheets(plan, str(paths.raw_data_root), _made(a.decoder), _made(a.codec)).persist()
     out = root / "contact_sheet_summary.csv"
     sinks.write_csv(review.contact_summary(plan, saved), str(out))
@@ -145,7 +145,7 @@ def review_boards(spark: SparkSession, a: argparse.Namespace, paths: Profile) ->
     """Review boards of the sequences of a review sheet, and the summary that the review input reads."""
     root = paths.outputs_dir / "reviews" / a.sample_name
     rows = _first(tables.read_csv(spark, _need(root / "contact_review_sheet.csv")), a.limit)
-    rows = review.artifact_paths(rows.drop("chosen_contact_path", "topview_contact_path", "pair_mid_path"), str(root))
+    rows = review.artifact_paths(rows.drop("chosen_contact_path", "topview_contact_path", "pair_mid_path"), str(root), a.suffix)
     boards = media.review_boards(rows, _made(a.codec)).persist()
     out = root / "review_board_summary.csv"
     sinks.write_csv(boards, str(out))
@@ -155,7 +155,7 @@ def review_boards(spark: SparkSession, a: argparse.Namespace, paths: Profile) ->
 def review_sheet(spark: SparkSession, a: argparse.Namespace, paths: Profile) -> dict:
     root = paths.outputs_dir / "reviews" / a.sample_name
     contacts = tables.read_csv(spark, _need(root / "contact_sheet_summary.csv"))
-    sheet = review.review_sheet(_sample(spark, a, paths), contacts, str(root))
+    sheet = review.review_sheet(_sample(spark, a, paths), contacts, str(root), suffix=a.suffix)
     sinks.write_csv(sheet, str(root / "contact_review_sheet.csv"))
     return {"out": str(root), "rows": sheet.count()}
 
@@ -210,10 +210,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     add(sample_subset, text("--manifest"), number("--n-front", 100), number("--n-rear", 100), number("--n-unknown", 100), number("--seed", 42))
     add(profile_labels, text("--sample-csv"), number("--limit", 0))
     add(contact_plan, text("--sample-csv"), name, number("--limit", 20))
-    codec = ("--codec", {"default": "kerbline.operators.media:NumpyCodec", "help": "module:name of a codec"})
-    add(contact_sheets, text("--sample-csv"), name, number("--limit", 20), ("--decoder", {"required": True, "help": "module:name of a decoder"}), codec)
-    add(review_sheet, name)
-    add(review_boards, name, number("--limit", 0), codec)
+    codec = ("--codec", {"default": "kerbline.operators.media:PngCodec", "help": "module:name of a codec"})
+    suffix = ("--suffix", {"default": "png", "help": "of the image files, as the codec makes them"})
+    add(contact_sheets, text("--sample-csv"), name, number("--limit", 20), ("--decoder", {"required": True, "help": "module:name of a decoder"}), codec, suffix)
+    add(review_sheet, name, suffix)
+    add(review_boards, name, number("--limit", 0), codec, suffix)
     add(review_input, name)
     add(auto_review, text("--review-sheet"), text("--out"), name, number("--limit", 20), number("--start-idx", 0), ("--overwrite", {"action": "store_true"}),
         ("--reviewer", {"default": "kerbline.operators.review:RuleReviewer", "help": "module:name of a reviewer, made with model_id and max_new_tokens"}), text("--model-id"), number("--max-new-tokens", 700))

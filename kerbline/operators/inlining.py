@@ -9,10 +9,9 @@ of their parent row as keys.
 Two passes of a vectorised Python parser run over the payloads, since no built-in expression walks a document of
 unknown depth: the first returns distinct edges per batch, which are reduced by a grouping; the second
 writes the rows, and looks for them only where the graph has any. The graph has the size of the schema, not of the data. Up
-to ``LOCAL_EDGES`` edges it is analysed on the driver; a larger one (keys that are data) is analysed on the cluster with
-the same result, and only the names that tasks must know reach them: those of elements that are single objects in
-one place and repeated, shared or recursive in another. Nothing else is shared between tasks, and the second pass has no
-shuffle, so a hot record id or group cannot matter.
+to ``LOCAL_EDGES`` edges it is analysed on the driver and broadcast; the second pass then has no shuffle, so a hot record id
+or group cannot matter. A larger one (keys that are data) is analysed on the cluster with the same result, and each
+document meets those of its own names that ask for tables in a join, so no set of names outgrows a task.
 
 Defined results: a null payload, a payload that is not exactly one JSON object (blanks around it and a leading byte
 order mark aside) and absent, null or scalar root keys give no rows; of repeated keys the last counts; NaN and
@@ -31,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from kerbline.session import checkpoint_ready, ship_package, spread
+from kerbline.session import broadcast_if_small, checkpoint_ready, ship_package, spread
 
 ROOTS = ("tags", "customFieldValues")
+#: Names up to this number are broadcast; more meet the documents in a shuffle.
+MAX_BROADCAST_NAMES = 100_000
 #: Edges that the driver analyses itself, and that a task remembers having sent.
 LOCAL_EDGES = 20_000
 ROW_SCHEMA = (
@@ -62,11 +63,14 @@ def parse_object(payload: str | None) -> dict | None:
     if not text.startswith("{"):
         return None
     try:
-        return _DECODER.decode(text)
+        document = _DECODER.decode(text)
     except RecursionError:
-        return _parse_deep(text)
+        document = _parse_deep(text)
     except ValueError:
         return None
+    if document and ("\\ud" in text or "\\uD" in text):
+        _clean_all(document)
+    return document
 
 
 def _parse_deep(text: str) -> dict | None:
@@ -114,6 +118,24 @@ def _parse_deep(text: str) -> dict | None:
             return None
 
 
+def _clean(text: str) -> str:
+    """Lone surrogates, which JSON can spell but UTF-8 cannot, become replacement characters."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _clean_all(document: dict) -> None:
+    todo: list = [document]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            items = [(_clean(k), _clean(v) if isinstance(v, str) else v) for k, v in node.items()]
+            node.clear()
+            node.update(items)
+        else:
+            node[:] = [_clean(v) if isinstance(v, str) else v for v in node]
+        todo += [v for v in (node.values() if isinstance(node, dict) else node) if isinstance(v, (dict, list))]
+
+
 def _text(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
@@ -253,26 +275,50 @@ def shred(
     """
     graph = schema_graph(records, payload, roots)
     edges = [tuple(e) for e in graph.limit(local_edges + 1).collect()]
+    rows = records.select(F.col(id_col).cast("bigint").alias("i"), F.col(payload).alias("p"))
     if len(edges) <= local_edges:
-        own, objects = tables_of(edges), frozenset(child for _, child, _ in edges)
+        known = records.sparkSession.sparkContext.broadcast((tables_of(edges), None if attributes else frozenset(child for _, child, _ in edges)))
+        rows = spread(rows).withColumn("own", F.lit(None).cast("array<string>"))
     else:
-        own, objects = frozenset(r.element for r in single_tables(graph.persist(StorageLevel.MEMORY_AND_DISK)).toLocalIterator()), None
-    known = records.sparkSession.sparkContext.broadcast((own, None if attributes else objects))
+        known = records.sparkSession.sparkContext.broadcast((frozenset(), None))
+        rows = _with_own_tables(rows, single_tables(graph.persist(StorageLevel.MEMORY_AND_DISK)), roots)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_table, with_objects = known.value
+        tables, with_objects = known.value
         for batch in batches:
-            rows: list[tuple] = []
-            for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[tuple] = []
+            for record, text, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 document = parse_object(text)
                 if document:
-                    rows += [(record, *r) for r in rows_of(document, roots, own_table, attributes, with_objects)]
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+                    out += [(record, *r) for r in rows_of(document, roots, tables if own is None else frozenset(own), attributes, with_objects)]
+                if len(out) > 20_000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    return rows.select("i", "p", "own").mapInArrow(scan, ROW_SCHEMA)
+
+
+def _with_own_tables(rows: DataFrame, tables: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """``rows`` (p: payload) with ``own``: those of ``tables`` (element) that the payload has as single objects.
 
-    return spread(records.select(F.col(id_col).cast("bigint").alias("i"), F.col(payload).alias("p"))).mapInArrow(scan, ROW_SCHEMA)
+    Equal payloads share the answer, by their hash; nothing has the size of the graph but the join that finds it.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, names = [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                document = parse_object(text)
+                found = {child for _, child, repeated in edges_of(document, roots) if not repeated} if document else ()
+                hashes += [h] * len(found)
+                names += found
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(names, pa.string())], names=["h", "element"])
+
+    keyed = spread(rows).withColumn("h", F.sha2("p", 256))
+    pairs = keyed.select("h", "p").filter("p is not null").mapInArrow(scan, "h string, element string")
+    own = pairs.join(broadcast_if_small(tables, MAX_BROADCAST_NAMES), "element").groupBy("h").agg(F.collect_set("element").alias("own"))
+    return keyed.join(own, "h", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
 
 
 _ROW_TYPES = (
@@ -287,23 +333,10 @@ _ROW_TYPES = (
 )
 
 
-def _clean(value: object) -> object:
-    """Lone surrogates, which JSON can spell but UTF-8 cannot, become replacement characters."""
-    if isinstance(value, str):
-        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    if isinstance(value, dict):
-        return {_clean(k): _clean(v) for k, v in value.items()}
-    return value
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    try:
-        columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in _ROW_TYPES]
-        columns[-1] = [None if m is None else list(m.items()) for m in columns[-1]]
-        arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, _ROW_TYPES)]
-    except UnicodeEncodeError:
-        return _batch([tuple(map(_clean, r)) for r in rows])
-    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in _ROW_TYPES])
+    columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in _ROW_TYPES]
+    columns[-1] = [None if m is None else list(m.items()) for m in columns[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _ROW_TYPES)], names=[name for name, _ in _ROW_TYPES])
 
 
 def element_table(shredded: DataFrame, element: str, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,9 @@ come in through the ``Decoder`` protocol; the layout itself is plain numpy.
 
 from __future__ import annotations
 
+import os
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -179,14 +182,78 @@ class NumpyCodec:
             return None
 
     def write(self, path: str, image: np.ndarray) -> bool:
-        import os
-
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:  # the name stays as it is
             np.save(f, image)
         return True
 
 
+class PngCodec:
+    """PNG files of 8-bit colour, without a library: written unfiltered, read with any row filter (not interlaced)."""
+
+    SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+    def write(self, path: str, image: np.ndarray) -> bool:
+        height, width = image.shape[:2]
+        rows = np.zeros((height, 1 + 3 * width), np.uint8)
+        rows[:, 1:] = image.reshape(height, 3 * width)
+        chunks = ((b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(rows.tobytes(), 6)), (b"IEND", b""))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(self.SIGNATURE)
+            for kind, data in chunks:
+                f.write(struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data)))
+        return True
+
+    def read(self, path: str) -> np.ndarray | None:
+        try:
+            with open(path, "rb") as f:
+                content = f.read()
+            if not content.startswith(self.SIGNATURE):
+                return None
+            at, packed, size = len(self.SIGNATURE), b"", None
+            while at < len(content):
+                n, kind = struct.unpack(">I4s", content[at : at + 8])
+                data, at = content[at + 8 : at + 8 + n], at + 12 + n
+                if kind == b"IHDR":
+                    size = struct.unpack(">IIBBBBB", data)
+                elif kind == b"IDAT":
+                    packed += data
+            if size is None or size[2:] != (8, 2, 0, 0, 0):
+                return None
+            return self._rows(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(size[1], 1 + 3 * size[0]), size[0])
+        except (OSError, ValueError, struct.error, zlib.error):
+            return None
+
+    @staticmethod
+    def _rows(raw: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(raw), width, 3), np.uint8)
+        above = np.zeros((width, 3), np.uint8)
+        for y, line in enumerate(raw):
+            filtered, kind = line[1:].reshape(width, 3), line[0]
+            if kind == 0:
+                out[y] = filtered
+            elif kind == 1:
+                out[y] = np.cumsum(filtered, axis=0, dtype=np.uint64).astype(np.uint8)
+            elif kind == 2:
+                out[y] = filtered + above
+            elif kind in (3, 4):
+                left, corner = np.zeros(3, int), np.zeros(3, int)
+                for x in range(width):
+                    up = above[x].astype(int)
+                    if kind == 3:
+                        guess = (left + up) // 2
+                    else:  # the neighbour nearest to left + up - corner
+                        distance = np.stack([abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)])
+                        guess = np.choose(distance.argmin(axis=0), [left, up, corner])
+                    left, corner = (filtered[x] + guess) % 256, up
+                    out[y, x] = left
+            else:
+                raise ValueError("unknown row filter")
+            above = out[y]
+        return out
+
+
 SHEET_SCHEMA = "sequence_id string, chosen_contact_saved int, topview_contact_saved int, pair_mid_saved int"
 PAIR_RATIO = 0.60
 

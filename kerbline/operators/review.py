@@ -57,16 +57,16 @@ def unreviewed(rows: DataFrame, done: DataFrame, *, start: int = 0, limit: int =
     return rows.join(ids, strip(or_blank(rows["sequence_id"])) == ids["_id"], "left_anti")
 
 
-def artifact_paths(rows: DataFrame, root: str) -> DataFrame:
+def artifact_paths(rows: DataFrame, root: str, suffix: str = "jpg") -> DataFrame:
     """``rows`` with the paths of each sequence's contact sheets, middle pair and review board."""
     camera = resolved_camera("preferred_camera_rule")
     at = lambda *parts: F.concat_ws("/", F.lit(root), F.col("sequence_id"), F.concat(*parts))
     return rows.withColumns(
         {
-            "chosen_contact_path": at(camera, F.lit("_contact.jpg")),
-            "topview_contact_path": at(F.lit("topview_contact.jpg")),
-            "pair_mid_path": at(F.lit("pair_"), camera, F.lit("_mid.jpg")),
-            "review_board_path": at(F.lit("ratio_review_board.jpg")),
+            "chosen_contact_path": at(camera, F.lit(f"_contact.{suffix}")),
+            "topview_contact_path": at(F.lit(f"topview_contact.{suffix}")),
+            "pair_mid_path": at(F.lit("pair_"), camera, F.lit(f"_mid.{suffix}")),
+            "review_board_path": at(F.lit(f"ratio_review_board.{suffix}")),
         }
     )
 
@@ -92,10 +92,10 @@ def contact_summary(plan: DataFrame, saved: DataFrame) -> DataFrame:
     return rows.select(*own, *flags, F.when(F.col("pair_mid_saved") == 1, F.col("pair_mid_path")).otherwise("").alias("pair_mid_path"))
 
 
-def review_sheet(sample: DataFrame, contacts: DataFrame, root: str, order: str = "sequence_id") -> DataFrame:
+def review_sheet(sample: DataFrame, contacts: DataFrame, root: str, order: str = "sequence_id", suffix: str = "jpg") -> DataFrame:
     """The 24 columns of a review sheet: sample, saved flags of its contact sheets, paths, blanks to fill in."""
     rows = lookup(sample, contacts, "sequence_id", ["chosen_contact_saved", "topview_contact_saved", "pair_mid_saved"], order)
-    rows = artifact_paths(rows, root)
+    rows = artifact_paths(rows, root, suffix)
     own = "sequence_id preferred_camera_rule preferred_camera_rule_reason driving_direction approach weather_tags primary_label_object scene_tags metadata_json label_objects_json target_object".split()
     made = "chosen_contact_saved topview_contact_saved pair_mid_saved chosen_contact_path topview_contact_path pair_mid_path".split()
     return rows.select(*[or_blank(F.col(c).cast("string")).alias(c) for c in own], *made, *[F.lit("").alias(c) for c in HUMAN_COLUMNS])

@@ -1,5 +1,6 @@
 import json
 
+from kerbline.operators import inlining
 from kerbline.operators.inlining import _parse_deep, element_columns, element_table, object_nodes, parse_object, shred, tables_of
 
 SCHEMA = "record_id long, payload string"
@@ -21,6 +22,8 @@ def test_paths_and_parents(spark):
 def test_invalid_payloads_give_nothing(spark):
     bad = [None, "", "[]", '[{"tags":[{}]}]', '{"tags":[{}]} ok', '{"tags":[{}]}{}', "{'tags':[{}]}", '{"tags":[{}', '{"tags":[{"a":NaN}]}', '"{}"', '{"tags":[{}],}', "{\"tags\":[{\"a\":\"\n\"}]}"]
     assert nodes(spark, bad) == set()
+    odd = '{"tags":[{"\\ud800":[{}],"b\\uDC00":{"c":[{}]}}]}'  # keys that are no text
+    assert nodes(spark, [odd]) == {(0, "", "tags[0]"), (0, "tags[0]", "tags[0].\ufffd[0]"), (0, "tags[0]", "tags[0].b\ufffd.c[0]")}
     good = ['\ufeff {"tags":[{}]}\n', ' \ufeff{"tags":{}}', '{"tags":[],"tags":[{}]}', '{"tags":null,"customFieldValues":[{"a":"\\ud800"}]}']
     assert {n for n, _, _ in nodes(spark, good)} == {0, 1, 2, 3}
 
@@ -57,12 +60,14 @@ def test_singletons_are_inlined_and_cycles_are_not(spark):
     assert [r.attributes for r in row] == [{"a.b.c": "1"}]
 
 
-def test_a_graph_of_any_size_gives_the_same_tables(spark):
+def test_a_graph_of_any_size_gives_the_same_tables(spark, monkeypatch):
     shapes = [{"a": {"b": {"c": 1}}}, {"b": {"a": 2}, "z": {"y": {"x": 1}}}, {"x": [{"q": 1}, 3], "only": {"single": {"s": [1, 2]}}}, {"loop": {"mid": {"loop": {"v": 1}}}}, {"self": {"self": {}}, "m": [1, 2]}]
     payloads = [json.dumps({"tags": [d], "customFieldValues": [{"k": d}]}) for d in shapes] + [json.dumps({"tags": shapes})]
     df = spark.createDataFrame(list(enumerate(payloads)), SCHEMA)
     local, cluster = (sorted(map(repr, shred(df, local_edges=n).collect())) for n in (1000, 2))
     assert local == cluster and len(local) > 30
+    monkeypatch.setattr(inlining, "MAX_BROADCAST_NAMES", 0)
+    assert local == sorted(map(repr, shred(df.repartition(3), local_edges=0).collect()))
     assert sorted(map(repr, object_nodes(df).collect())) == sorted(map(repr, object_nodes(df, local_edges=0).collect()))
 
 

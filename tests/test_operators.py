@@ -139,6 +139,29 @@ def test_images():
     assert media.text_block(im.copy(), ["x"], 0, 0).shape == im.shape
 
 
+def test_png_files(tmp_path):
+    import struct
+    import zlib
+
+    r = np.random.default_rng(1)
+    im, codec, path = r.integers(0, 256, (7, 5, 3), dtype=np.uint8), media.PngCodec(), str(tmp_path / "a" / "x.png")
+    assert codec.write(path, im) and (codec.read(path) == im).all()
+    assert codec.read(str(tmp_path / "none.png")) is None and codec.read(__file__) is None
+    # the same image with every row filter, made by the definition of the format
+    before, lines = np.zeros((5, 3), int), b""
+    for y, row in enumerate(im.astype(int)):
+        left = np.vstack([np.zeros((1, 3), int), row[:-1]])
+        corner = np.vstack([np.zeros((1, 3), int), before[:-1]])
+        p = left + before - corner
+        paeth = np.where((abs(p - left) <= abs(p - before)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - before) <= abs(p - corner), before, corner))
+        guess = [0 * row, left, before, (left + before) // 2, paeth][y % 5]
+        lines += bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        before = row
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    (tmp_path / "f.png").write_bytes(codec.SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b""))
+    assert (codec.read(str(tmp_path / "f.png")) == im).all()
+
+
 def test_tiles(spark):
     class FakeDecoder:
         def probe(self, path):
