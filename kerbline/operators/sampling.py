@@ -44,22 +44,28 @@ def _hash(seed: int, *parts: Column) -> Column:
 def round_robin(rows: DataFrame, strata: Sequence[str], n: int, seed: int = 42, key: str = "sequence_id") -> DataFrame:
     """``n`` rows dealt over the strata (see the module).
 
-    A row's place in its stratum is the number of rows in earlier ranges of its hash plus its place inside the range, and only
-    ranges that hold rows up to the ``n``-th are looked at: a stratum that holds most rows does not reach one task,
-    whatever ``n`` is.
+    Up to the session's limit for it (``spark.sql.optimizer.windowGroupLimitThreshold``) Spark itself drops the rows behind the
+    ``n``-th of a stratum before the shuffle. Beyond it a row's place in its stratum is the number of rows in earlier ranges of its
+    hash plus its place inside the range, and only ranges that hold rows up to the ``n``-th are looked at. Either way a
+    stratum that holds most rows does not reach one task.
     """
     if n <= 0:
         return rows.limit(0)
     parts = [D.stratum(F.col(s)) for s in strata]
     numbered = rows.withColumn("_stratum", F.concat_ws("\x1f", *parts) if parts else F.lit(""))
-    numbered = numbered.withColumn("_order", _hash(seed, or_blank(F.col(key).cast("string")))).withColumn("_range", F.substring("_order", 1, HASH_DIGITS))
-    earlier = Window.partitionBy("_stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = numbered.groupBy("_stratum", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    ranges = ranges.filter(F.col("_before") < n).select("_stratum", "_range", "_before")
-    inside = Window.partitionBy("_stratum", "_range").orderBy("_order", key)
-    numbered = numbered.join(broadcast_if_small(ranges, MAX_BROADCAST_RANGES), ["_stratum", "_range"])
-    dealt = numbered.withColumn("_round", F.row_number().over(inside) + F.col("_before")).filter(F.col("_round") <= n)
-    return dealt.orderBy("_round", _hash(seed, F.col("_stratum")), "_stratum").limit(n).drop("_stratum", "_order", "_range", "_before", "_round").select(*rows.columns)
+    numbered = numbered.withColumn("_order", _hash(seed, or_blank(F.col(key).cast("string"))))
+    if n <= int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        numbered = numbered.withColumn("_round", F.row_number().over(Window.partitionBy("_stratum").orderBy("_order", key)))
+    else:
+        numbered = numbered.withColumn("_range", F.substring("_order", 1, HASH_DIGITS))
+        earlier = Window.partitionBy("_stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = numbered.groupBy("_stratum", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        ranges = ranges.filter(F.col("_before") < n).select("_stratum", "_range", "_before")
+        inside = Window.partitionBy("_stratum", "_range").orderBy("_order", key)
+        numbered = numbered.join(broadcast_if_small(ranges, MAX_BROADCAST_RANGES), ["_stratum", "_range"])
+        numbered = numbered.withColumn("_round", F.row_number().over(inside) + F.col("_before"))
+    dealt = numbered.filter(F.col("_round") <= n)
+    return dealt.orderBy("_round", _hash(seed, F.col("_stratum")), "_stratum").limit(n).select(*rows.columns)
 
 
 def build_samples(enriched: DataFrame, n_front: int = 100, n_rear: int = 100, n_unknown: int = 100, seed: int = 42, target_object_strata: bool = False) -> tuple[DataFrame, DataFrame]:
