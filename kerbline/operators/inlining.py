@@ -45,6 +45,10 @@ EDGE_SCHEMA = "parent string, child string, repeated boolean"
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null))')
 
 
+#: A spelled surrogate without the other half of its pair.
+_LONE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]")
+
+
 def _reject(text: str) -> None:
     raise ValueError(text)
 
@@ -68,7 +72,7 @@ def parse_object(payload: str | None) -> dict | None:
         document = _parse_deep(text)
     except ValueError:
         return None
-    if document and ("\\ud" in text or "\\uD" in text):
+    if document and ("\\ud" in text or "\\uD" in text) and _LONE.search(text):
         _clean_all(document)
     return document
 
